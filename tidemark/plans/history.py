@@ -328,25 +328,26 @@ class History:
         ]
         kept = [keep_keys.alias("_keep")] if keep_keys is not None else []
         out = df.select(*keys, *kept, *extra, *values, *derived)
-        if parts:
-            out = partitioning.gather(out, parts)
-        elif files_wanted:
+        if files_wanted and not parts:
             out = out.coalesce(files_wanted)
         added, row_id = F.lit(batch).cast("long"), F.monotonically_increasing_id()
         if keep_keys is not None:
             added = F.when(F.col("_keep"), F.col("_added_in")).otherwise(added)
             row_id = F.when(F.col("_keep"), F.col("_row_id")).otherwise(row_id)
         stored = [stored_name(f) for f in self.schema]
-        writer = (
-            out.select(added.alias("_added_in"), row_id.alias("_row_id"), *extra, *stored, *parts)
-            .write.mode(mode)
-            .option("partitionOverwriteMode", "static")
-        )
-        if parts:
-            writer = writer.partitionBy(*parts)
-        elif files_wanted and rows_total:
-            writer = writer.option("maxRecordsPerFile", -(-rows_total // files_wanted))
-        writer.parquet(self.rows_path(batch, self.spec_id))
+
+        def write(rows: DataFrame) -> None:
+            writer = (
+                rows.select(added.alias("_added_in"), row_id.alias("_row_id"), *extra, *stored, *parts)
+                .write.mode(mode)
+                .partitionBy(*parts)
+                .option("partitionOverwriteMode", "static")
+            )
+            if files_wanted and rows_total and not parts:
+                writer = writer.option("maxRecordsPerFile", -(-rows_total // files_wanted))
+            writer.parquet(self.rows_path(batch, self.spec_id))
+
+        partitioning.write_gathered(out, parts, write)
 
     def written(self, batch: int, extra: T.StructType = T.StructType([])) -> DataFrame:
         """Row keys (and bookkeeping columns) of a batch folder as written."""

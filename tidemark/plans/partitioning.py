@@ -7,7 +7,7 @@ directories a writer made.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,10 +69,19 @@ def with_partitions(df: DataFrame, spec: Sequence[tuple[str, str]], names: Seque
     })
 
 
-def gather(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Bring rows of one partition value together without making a hot value one task.
+def write_gathered(df: DataFrame, names: Sequence[str], write: Callable[[DataFrame], None]) -> None:
+    """Bring rows of one partition value together, then write, without making a hot value one task.
 
-    REBALANCE hashes on the columns and lets adaptive execution split partitions above the
-    advisory size and merge small ones.
+    REBALANCE hashes on the columns and adaptive execution splits partitions above the advisory size. Merging
+    small ones is turned off meanwhile: a value sits in one partition anyway, so merging would not save a
+    file and only leave one task to write many directories.
     """
-    return df.hint("rebalance", *names) if names else df
+    if not names:
+        return write(df)
+    conf, setting = df.sparkSession.conf, "spark.sql.adaptive.coalescePartitions.enabled"
+    before = conf.get(setting)
+    conf.set(setting, "false")
+    try:
+        write(df.hint("rebalance", *names))
+    finally:
+        conf.set(setting, before)

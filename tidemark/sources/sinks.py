@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans import files
-from tidemark.plans.partitioning import check_spec, gather, with_partitions
+from tidemark.plans.partitioning import check_spec, with_partitions, write_gathered
 
 
 def partition_columns(spec: Sequence[tuple[str, str]]) -> list[str]:
@@ -24,9 +24,8 @@ def write_partitioned(df: DataFrame, path: str, spec: Sequence[tuple[str, str]],
     """
     spec = check_spec(spec, df.schema)
     names = partition_columns(spec)
-    out = gather(with_partitions(df, spec, names), names) if spec else df
-    writer = out.write.mode(mode)
-    (writer.partitionBy(*names) if names else writer).parquet(path)
+    out = with_partitions(df, spec, names)
+    write_gathered(out, names, lambda rows: rows.write.mode(mode).partitionBy(*names).parquet(path))
 
 
 def write_sized(df: DataFrame, path: str, target_bytes: int, mode: str = "error",

@@ -79,7 +79,7 @@ SELECT * FROM (
   SELECT 1 AS position, 's_suppkey' AS col_name, 'bigint' AS data_type, CAST(NULL AS VARCHAR) AS comment,
          count(s_suppkey) AS non_null_count FROM supplier
   UNION ALL SELECT 2, 'vendor', 'string', 'Vendor name', count(s_name) FROM supplier
-  UNION ALL SELECT 3, 'rating', 'float', NULL, 0 FROM supplier
+  UNION ALL SELECT 3, 'rating', 'float', NULL, count(CAST(NULL AS FLOAT)) FROM supplier
   UNION ALL SELECT 4, 's_nationkey', 'bigint', NULL, count(s_nationkey) FROM supplier
   UNION ALL SELECT 5, 's_acctbal', 'double', NULL, count(s_acctbal) FROM supplier
 )
