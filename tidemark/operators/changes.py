@@ -49,6 +49,14 @@ class _Target:
     def total(self) -> int:
         return int(self.h.commits[self.head].summary["total_rows"]) if self.head is not None else 0
 
+    def emptied(self, matched: dict[int, int]) -> list[int]:
+        """Batches of which every row is matched, as far as the log alone can tell."""
+        return [
+            b for b in self.seen.batches
+            if not self.hits[b] and self.h.commits[b].origins == [b]
+            and matched.get(b) == int(self.h.commits[b].summary["added_rows"])
+        ]
+
     def few(self, matched: dict[int, int]) -> bool:
         """Do the removals still fit the bound with the matched rows added?"""
         listed = self.h.removed_rows(r for rs in self.hits.values() for r in rs)
@@ -72,17 +80,19 @@ def delete_where(h: History, cond: Column | str, *, branch: str | None = None, w
     _require_deterministic(matching, "a delete condition")
     matched = count_by_origin(matching.select(*ROW_KEY))
     removed = sum(matched.values())
-    effect: dict = {}
-    if removed and removed == target.total:
-        effect = {"supersedes": target.seen.batches}  # nothing is left: no row has to be written
-    elif removed and target.few(matched):
-        h.write_removals(batch, matching)
-        effect = {"removed": matched}
-    elif removed:
-        touched, rows = target.rewrite(matched)
+    emptied = target.seen.batches if removed == target.total else target.emptied(matched)
+    gone = target.origins(emptied)
+    rest = {o: n for o, n in matched.items() if o not in gone}
+    effect: dict = {"supersedes": emptied}  # whole batches go without a row being listed or written
+    if rest and target.few(rest):
+        others = [b for b in target.seen.batches if b not in emptied]
+        h.write_removals(batch, h.rows_of(others, target.hits).where(cond))
+        effect["removed"] = rest
+    elif rest:
+        touched, rows = target.rewrite(rest)
         keep = ~F.coalesce(cond, F.lit(False))
         h.write_rows(batch, rows.where(keep), keep_keys=F.lit(True))
-        effect = {"has_rows": True, "supersedes": touched, "folded": target.seen.removals,
+        effect = {"has_rows": True, "supersedes": [*emptied, *touched], "folded": target.seen.removals,
                   "origins": sorted(target.origins(touched))}
     return h.commit("delete", snapshot_id=batch, removed_rows=removed, spec_id=h.spec_id, branch=branch,
                     wap_id=wap_id, at=at, summary=summary, **effect)

@@ -41,22 +41,22 @@ def write_new_text(spark: SparkSession, path: str, text: str) -> None:
         raise RuntimeError(f"{path} exists already: another writer moved this history on")
 
 
-def data_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One row (path, length) per Parquet file below `paths`; the content is never read."""
+def data_files(spark: SparkSession, paths: list[str], pattern: str = "*.parquet") -> DataFrame:
+    """One row (path, length) per file below `paths`; the content is never read."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.parquet")
+        .option("pathGlobFilter", pattern)
         .load(paths)
         .select("path", "length")
     )
 
 
-def size_of(spark: SparkSession, paths: list[str]) -> tuple[int, int]:
-    """(number of Parquet files, bytes) below `paths`."""
+def size_of(spark: SparkSession, paths: list[str], pattern: str = "*.parquet") -> tuple[int, int]:
+    """(number of files, bytes) below `paths`."""
     if not paths:
         return 0, 0
-    row = data_files(spark, paths).agg(
+    row = data_files(spark, paths, pattern).agg(
         F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")
     ).first()
     return row["files"], row["bytes"]

@@ -36,8 +36,7 @@ def write_sized(df: DataFrame, path: str, target_bytes: int, mode: str = "error"
     row count; nothing is shuffled.
     """
     if input_bytes is None:
-        inputs = df.inputFiles()
-        _, input_bytes = files.size_of(df.sparkSession, inputs)
+        _, input_bytes = files.size_of(df.sparkSession, df.inputFiles(), "*")
     n = max(1, -(-input_bytes // target_bytes))
     rows = df.count()
     (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import snapshots as snap
@@ -15,6 +15,11 @@ from tidemark.workloads.changes import EARLY, LATE, with_ratio
 from tidemark.workloads.registry import history_of, hour, query, table
 
 
+def _parent() -> Column:
+    # The first snapshot has no parent; shown as 0 so that the column is an integer to every reader.
+    return F.coalesce("parent_id", F.lit(0)).cast("long").alias("parent_id")
+
+
 def _changed_lineitem(spark: SparkSession, sf_dir: str) -> History:
     """1: rows shipped before 1995. 2: the others. 3: delete quantity > 45. 4: update flag R to Q."""
     lineitem = table(spark, sf_dir, "lineitem")
@@ -28,7 +33,7 @@ _EARLY = "l_shipdate < TIMESTAMP '1995-01-01'"
 _KEPT = "NOT coalesce(l_quantity > 45, false)"
 _LOG = f"""
 SELECT * FROM (
-  SELECT CAST(1 AS BIGINT) AS snapshot_id, CAST(NULL AS BIGINT) AS parent_id, 'append' AS operation,
+  SELECT CAST(1 AS BIGINT) AS snapshot_id, CAST(0 AS BIGINT) AS parent_id, 'append' AS operation,
          count(*) AS added_rows, CAST(0 AS BIGINT) AS removed_rows, count(*) AS total_rows
   FROM lineitem WHERE {_EARLY}
   UNION ALL SELECT 2, 1, 'append', count(*) FILTER (WHERE NOT {_EARLY}), 0, count(*) FROM lineitem
@@ -42,7 +47,7 @@ SELECT * FROM (
 
 def _log_rows(df: DataFrame) -> DataFrame:
     facts = [F.col("summary")[n].cast("long").alias(n) for n in ("added_rows", "removed_rows", "total_rows")]
-    return df.select("snapshot_id", "parent_id", "operation", *facts)
+    return df.select("snapshot_id", _parent(), "operation", *facts)
 
 
 @query(_LOG)
@@ -62,7 +67,7 @@ def current_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 SELECT * FROM (
-  SELECT CAST(1 AS BIGINT) AS seq, CAST(1 AS BIGINT) AS snapshot_id, CAST(NULL AS BIGINT) AS parent_id,
+  SELECT CAST(1 AS BIGINT) AS seq, CAST(1 AS BIGINT) AS snapshot_id, CAST(0 AS BIGINT) AS parent_id,
          true AS is_current_ancestor, count(*) AS total_rows FROM lineitem WHERE {_EARLY}
   UNION ALL SELECT 2, 2, 1, true, count(*) FROM lineitem
   UNION ALL SELECT 3, 3, 2, false, count(*) FROM lineitem WHERE {_KEPT}
@@ -73,7 +78,7 @@ SELECT * FROM (
 def history_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = snap.rollback(_changed_lineitem(spark, sf_dir), 2)
     sizes = snap.snapshots(h).select("snapshot_id", F.col("summary")["total_rows"].cast("long").alias("total_rows"))
-    log = snap.history(h).select("seq", "snapshot_id", "parent_id", "is_current_ancestor")
+    log = snap.history(h).select("seq", "snapshot_id", _parent(), "is_current_ancestor")
     return log.join(sizes, "snapshot_id").select("seq", "snapshot_id", "parent_id", "is_current_ancestor", "total_rows")
 
 
