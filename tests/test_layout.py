@@ -1,0 +1,226 @@
+import glob
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import rows
+from tidemark.operators.changes import delete_where, update_where
+from tidemark.operators.maintenance import (
+    add_partition_field, compact, drop_partition_field, partition_spec, read_range, set_partition_spec,
+)
+from tidemark.operators.snapshots import create_branch, read_at
+from tidemark.operators.stats import file_stats, partition_stats
+from tidemark.operators.writes import append, create_history
+from tidemark.sources.sinks import write_partitioned, write_sized
+
+EVENTS = "id long, ts timestamp_ntz, level string"
+
+
+def events(spark, *items):
+    return spark.createDataFrame(
+        [(i, ts and datetime.fromisoformat(ts), level) for i, ts, level in items], EVENTS
+    )
+
+
+@pytest.fixture
+def logs(spark):
+    return events(
+        spark, (1, "2024-01-01 00:30:00", "info"), (2, "2024-01-01 23:59:59", "warn"),
+        (3, "2024-01-02 00:00:00", "info"), (4, None, "info"), (5, "1969-12-31 23:10:00", None),
+    )
+
+
+def parquet_files(path):
+    return glob.glob(f"{path}/**/*.parquet", recursive=True)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_write_partitioned(spark, logs, tmp_path):
+    path = str(tmp_path / "by")
+    write_partitioned(logs, path, [("day", "ts"), ("hour", "ts"), ("identity", "level")])
+    back = spark.read.parquet(path)
+    assert rows(back.select(*logs.columns)) == rows(logs)
+    assert rows(back.select("id", F.col("ts_day").cast("string"), "ts_hour")) == [
+        (1, "2024-01-01", 473352), (2, "2024-01-01", 473375), (3, "2024-01-02", 473376), (4, None, None),
+        (5, "1969-12-31", -1),
+    ]
+    write_partitioned(logs, str(tmp_path / "plain"), [])
+    assert spark.read.parquet(str(tmp_path / "plain")).count() == 5
+
+
+def test_partition_values_do_not_depend_on_the_session_zone(spark, tmp_path):
+    df = spark.sql("select timestamp_micros(1704067200000000L + 1800000000L) as ts")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    seen = set()
+    try:
+        for i, zone in enumerate(["UTC", "Asia/Kolkata", "America/New_York"]):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            write_partitioned(df, str(tmp_path / str(i)), [("day", "ts"), ("hour", "ts")])
+            seen.add(tuple(spark.read.parquet(str(tmp_path / str(i))).selectExpr(
+                "cast(ts_day as string)", "ts_hour").first()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert seen == {("2024-01-01", 473352)}
+
+
+def test_bad_specs(spark, logs, tmp_path):
+    for spec in ([("week", "ts")], [("day", "nope")], [("hour", "level")], [("day", "level")]):
+        with pytest.raises(ValueError):
+            write_partitioned(logs, str(tmp_path / "x"), spec)
+
+
+def test_a_hot_partition_value_is_split(spark, tmp_path):
+    advisory = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(advisory)
+    df = spark.range(0, 400_000, 1, 8).select(
+        "id", F.sha2(F.col("id").cast("string"), 256).alias("pad"),
+        F.when(F.col("id") < 390_000, "hot").otherwise("cold").alias("k"),
+    )
+    try:
+        spark.conf.set(advisory, "4MB")
+        write_partitioned(df, str(tmp_path / "hot"), [("identity", "k")])
+    finally:
+        spark.conf.set(advisory, before)
+    assert len(parquet_files(tmp_path / "hot" / "k_identity=hot")) > 1
+    assert spark.read.parquet(str(tmp_path / "hot")).count() == 400_000
+
+
+def test_write_sized(spark, tmp_path):
+    df = spark.range(0, 50_000, 1, 1).withColumn("pad", F.sha2(F.col("id").cast("string"), 256))
+    df.write.parquet(str(tmp_path / "in"))
+    source = spark.read.parquet(str(tmp_path / "in"))
+    size = sum(len(open(f, "rb").read()) for f in parquet_files(tmp_path / "in"))
+    n = write_sized(source, str(tmp_path / "out"), size // 4)
+    assert n in (4, 5) and len(parquet_files(tmp_path / "out")) == n
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 50_000
+    source.repartition(20).write.parquet(str(tmp_path / "many"))
+    many = spark.read.parquet(str(tmp_path / "many"))
+    assert write_sized(many, str(tmp_path / "one"), 1 << 30) == 1
+    assert len(parquet_files(tmp_path / "one")) == 1
+
+
+def test_partition_spec_applies_to_new_rows_only(spark, logs, path):
+    h = create_history(logs, path, spec=[("day", "ts")])
+    h = drop_partition_field(h, "day", "ts")
+    h = add_partition_field(h, "hour", "ts")
+    h = add_partition_field(h, "identity", "level")
+    assert partition_spec(h) == [("hour", "ts"), ("identity", "level")]
+    h = append(h, events(spark, (6, "2024-01-02 05:00:00", "warn")))
+    assert rows(read_at(h)) == rows(logs.union(events(spark, (6, "2024-01-02 05:00:00", "warn"))))
+    old, new = h.rows_path(1), h.rows_path(2)
+    assert any("p2_day=2024-01-01" in f for f in parquet_files(old))
+    assert any("p2_hour=473381/p3_identity=warn" in f for f in parquet_files(new))
+    h = set_partition_spec(h, [("day", "ts")])  # a spec that was in use comes back under its id
+    assert h.spec_id == 0
+    with pytest.raises(ValueError, match="not a partition field"):
+        drop_partition_field(h, "hour", "ts")
+    h = update_where(delete_where(h, "id = 6"), {"level": "'x'"}, "id = 1")
+    assert rows(read_at(h).where("id in (1, 6)").select("id", "level")) == [(1, "x")]
+
+
+def test_read_range_prunes_directories_of_every_spec(spark, logs, path):
+    h = create_history(logs, path, spec=[("day", "ts")])
+    h = set_partition_spec(h, [("hour", "ts")])
+    h = append(h, events(spark, (6, "2024-01-02 05:00:00", "warn"), (7, "2024-01-02 06:00:00", "warn")))
+    found = read_range(h, "ts", "2024-01-01 12:00:00", "2024-01-02 06:00:00")
+    assert rows(found.select("id")) == [(2,), (3,), (6,)]
+    plan = plan_of(found)
+    assert "p2_day" in plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "p2_hour" in plan.split("PartitionFilters: [")[2].split("PushedFilters")[0]
+    assert rows(read_range(h, "ts", None, "1970-01-01").select("id")) == [(5,)]
+    assert rows(read_range(h, "ts", "2024-01-02 06:00:00").select("id")) == [(7,)]
+    assert rows(read_range(h, "id", 2, 4).select("id")) == [(2,), (3,)]
+    assert read_range(h, "ts").count() == 7
+
+
+def test_read_range_after_rename_and_on_identity(spark, path):
+    from tidemark.operators.evolve import rename_column
+
+    h = create_history(spark.createDataFrame([(1, 5), (2, 6), (3, 7)], "id int, vendor int"), path,
+                       spec=[("identity", "vendor")])
+    h = rename_column(h, "vendor", "supplier")
+    found = read_range(h, "supplier", 5, 7)
+    assert rows(found) == [(1, 5), (2, 6)]
+    assert "p2_identity" in plan_of(found).split("PartitionFilters: [")[1].split("PushedFilters")[0]
+
+
+def small_files(spark, path, **kw):
+    df = spark.range(0, 2000, 1, 1).withColumn("pad", F.sha2(F.col("id").cast("string"), 256))
+    return create_history(df.repartition(20), path, **kw)
+
+
+def test_compact_merges_files_and_keeps_everything(spark, path):
+    h = small_files(spark, path)
+    h = append(h, read_at(h).where("id < 10").coalesce(1))
+    h = delete_where(h, "id >= 1000 and id < 1100")
+    before = read_at(h)
+    new, counts = compact(h, target_bytes=64 << 20)
+    assert (counts.files_before, counts.files_after) == (21, 1)
+    assert read_at(new).exceptAll(before).count() == before.exceptAll(read_at(new)).count() == 0
+    assert new.commits[4].operation == "replace"
+    assert read_at(new, snapshot_id=1).count() == 2000
+    assert not any(new.removals_of(new.visible(4)).values())
+    assert compact(new, target_bytes=64 << 20)[0] is new
+
+
+def test_compact_to_small_targets_cuts_files(spark, path):
+    h = small_files(spark, path)
+    h, counts = compact(h, 1 << 30)
+    total, files_after = counts.bytes_before, counts.files_after
+    assert files_after == 1
+    h, counts = compact(h, target_bytes=total // 5)
+    assert 4 <= counts.files_after <= 7
+    assert read_at(h).count() == 2000
+
+
+def test_compact_rewrites_old_specs_and_settles(spark, path):
+    h = small_files(spark, path)
+    df = read_at(h).withColumn("k", (F.col("id") % 3).cast("int"))
+    h = create_history(df.repartition(8), path + "-k")
+    h = set_partition_spec(h, [("identity", "k")])
+    h, counts = compact(h)
+    assert counts.files_after == 3 and h.commits[h.head()].spec_id == 1
+    assert compact(h)[0] is h
+    assert read_at(h).count() == 2000
+
+
+def test_compact_on_a_branch(spark, path):
+    h = create_branch(small_files(spark, path), "b")
+    h, counts = compact(h, branch="b")
+    assert counts.files_after == 1 and h.head("main") == 1 and read_at(h, branch="b").count() == 2000
+
+
+def test_compact_of_nothing(spark, path):
+    h = delete_where(small_files(spark, path), "id >= 0")
+    assert compact(h)[0] is h
+
+
+def test_file_stats(spark, tmp_path):
+    path = str(tmp_path / "t")
+    a = spark.createDataFrame([(1, "b", None), (3, "a", 2.5)], "k int, s string, x double").coalesce(1)
+    a.write.parquet(path)
+    a.selectExpr("k + 10 as k", "s", "cast(null as double) as x").write.mode("append").parquet(path)
+    stats = file_stats(spark.read.parquet(path))
+    assert rows(stats.select("record_count", "column", "type", "null_count", "lower_bound", "upper_bound")) == [
+        (2, "k", "int", 0, "1", "3"), (2, "k", "int", 0, "11", "13"), (2, "s", "string", 0, "a", "b"),
+        (2, "s", "string", 0, "a", "b"), (2, "x", "double", 1, "2.5", "2.5"), (2, "x", "double", 2, None, None),
+    ]
+    facts = stats.select("file_path", "file_format", "file_size_in_bytes").distinct().collect()
+    assert len(facts) == 2 and all(r[1] == "PARQUET" and r[2] > 0 for r in facts)
+
+
+def test_partition_stats(spark, logs, tmp_path):
+    path = str(tmp_path / "t")
+    logs.coalesce(1).write.parquet(path)
+    logs.coalesce(1).where("id = 1").write.mode("append").parquet(path)
+    df = spark.read.parquet(path)
+    assert rows(partition_stats(df, [("hour", "ts"), ("identity", "level")])) == [
+        (datetime(1969, 12, 31, 23), None, 1, 1), (datetime(2024, 1, 1, 0), "info", 2, 2),
+        (datetime(2024, 1, 1, 23), "warn", 1, 1), (datetime(2024, 1, 2, 0), "info", 1, 1), (None, "info", 1, 1),
+    ]
+    by_day = partition_stats(df, [("day", "ts")]).selectExpr("cast(ts_day as string)", "record_count", "file_count")
+    assert rows(by_day) == [("1969-12-31", 1, 1), ("2024-01-01", 3, 2), ("2024-01-02", 1, 1), (None, 1, 1)]

@@ -95,9 +95,11 @@ def test_drop_branch(spark, h):
 
 
 def test_stale_writer_is_refused(spark, h):
-    append(h, df(spark, 4))
-    with pytest.raises(RuntimeError, match="another writer"):
-        append(h, df(spark, 5))
+    new = append(h, df(spark, 4))
+    for change in (lambda: append(h, df(spark, 5)), lambda: delete_where(h, "v = 1"), lambda: compact(h)):
+        with pytest.raises(RuntimeError, match="another writer"):
+            change()
+    assert rows(read_at(new)) == [(1,), (2,), (3,), (4,)]
 
 
 def test_staging_needs_opt_in(spark, h):

@@ -117,6 +117,7 @@ def compact(h: History, target_bytes: int = DEFAULT_TARGET_BYTES, *, branch: str
     if not chosen or settled:
         return h, CompactCounts(before.files, before.files, before.bytes, 0)
 
+    h.writable()
     batch = h.next_snapshot_id
     rows = h.rows_of(chosen, hits)
     kept = rows.count()

@@ -132,7 +132,7 @@ class History:
             "commits": [asdict(c) for c in commits],
             "ref_log": lines,
         }
-        files.write_new_text(self.spark, f"{self.path}/log/{new.version:010d}.json", json.dumps(record))
+        files.write_new_text(self.spark, self._log_file(new.version), json.dumps(record))
         return new
 
     def commit(self, operation: str, *, snapshot_id: int, added_rows: int = 0, removed_rows: int = 0,
@@ -162,9 +162,15 @@ class History:
         moves = [] if wap_id is not None else [(branch, snapshot_id)]
         return self.save([new], moves, at)
 
-    def writable(self, wap_id: str | None) -> None:
+    def writable(self, wap_id: str | None = None) -> None:
+        """Called before any file is written: a writer behind the log must not touch a newer batch."""
         if wap_id is not None and self.properties.get("wap.enabled") != "true":
             raise ValueError("staging under a wap_id needs enable_wap(h) first")
+        if files.exists(self.spark, self._log_file(self.version + 1)):
+            raise RuntimeError(f"another writer moved the history at {self.path} on; load it again")
+
+    def _log_file(self, version: int) -> str:
+        return f"{self.path}/log/{version:010d}.json"
 
     # -- snapshots ------------------------------------------------------------------------------
 
