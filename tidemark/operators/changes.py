@@ -18,6 +18,9 @@ from pyspark.sql import types as T
 from tidemark.plans.fields import check_incoming, col, find, stored_name
 from tidemark.plans.history import ROW_KEY, History, count_by_origin
 
+MAX_BROADCAST_KEYS = 1_000_000
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+
 _PREVIOUS = T.StructType([T.StructField("_prev_in", T.LongType()), T.StructField("_prev_id", T.LongType())])
 
 
@@ -171,10 +174,10 @@ def upsert(h: History, src: DataFrame, key: Sequence[str] | None = None, *, bran
     if missing:
         raise ValueError(f"key columns {missing} are not in the source")
     _require_deterministic(src, "an upsert source")
-    total = _check_keys(src, key)
+    total, key_bytes = _check_keys(src, key)
     target, batch = _Target(h, branch), h.next_snapshot_id
 
-    h.write_rows(batch, _classified(target.live(), src, key, h.schema), extra=_PREVIOUS.names)
+    h.write_rows(batch, _classified(target.live(), src, key, h.schema, _fits(total, key_bytes)), extra=_PREVIOUS.names)
     stored_key = [T.StructField(stored_name(f), f.dataType) for f in (find(h.schema, n) for n in key)]
     written = h.written(batch, T.StructType(_PREVIOUS.fields + stored_key))
     replaced = written.where(F.col("_prev_in").isNotNull()).select(
@@ -200,21 +203,28 @@ def upsert(h: History, src: DataFrame, key: Sequence[str] | None = None, *, bran
     return new, counts
 
 
-def _check_keys(src: DataFrame, key: list[str]) -> int:
-    """Size of the source; raises on a repeated or NULL key."""
-    no_key = F.lit(False)
+def _check_keys(src: DataFrame, key: list[str]) -> tuple[int, int]:
+    """(rows, bytes of their keys) of the source; raises on a repeated or NULL key."""
+    no_key, width = F.lit(False), F.lit(0)
     for n in key:
         no_key = no_key | col(n).isNull()
+        width = width + F.coalesce(F.octet_length(col(n).cast("string")), F.lit(0))
     row = (
         src.groupBy(*[col(n) for n in key]).agg(F.count("*").alias("_n"))
-        .agg(F.sum("_n").alias("total"), F.max("_n").alias("most"), F.count_if(no_key).alias("nulls"))
+        .agg(F.sum("_n").alias("total"), F.max("_n").alias("most"), F.count_if(no_key).alias("nulls"),
+             F.sum(width).alias("bytes"))
         .first()
     )
     if row["nulls"]:
         raise ValueError("the source has rows with a NULL key")
     if (row["most"] or 0) > 1:
         raise ValueError("the source has more than one row for a key")
-    return row["total"] or 0
+    return row["total"] or 0, row["bytes"] or 0
+
+
+def _fits(rows: int, key_bytes: int) -> bool:
+    """Are a source's keys, as counted, small enough to broadcast?"""
+    return rows <= MAX_BROADCAST_KEYS and key_bytes <= MAX_BROADCAST_BYTES
 
 
 def _count_written(written: DataFrame, key: list[str]) -> int:
@@ -227,18 +237,19 @@ def _count_written(written: DataFrame, key: list[str]) -> int:
     return row["total"] or 0
 
 
-def _classified(live: DataFrame, src: DataFrame, key: list[str], schema: T.StructType) -> DataFrame:
+def _classified(live: DataFrame, src: DataFrame, key: list[str], schema: T.StructType, few: bool) -> DataFrame:
     """Source rows to write, with the row key of the row each replaces (NULL for an insert).
 
-    The target is first cut down to the source's keys: a small source is broadcast against it, a large one
-    is merged with it, and in both cases only matches go on to the outer join.
+    The target is first cut down to the source's keys, by broadcasting them if they are `few`, else by a
+    shuffle on the key that the outer join after it shares. Only matches go on to that join.
     """
     given = [n for n in src.columns if n not in key]
     values = {n: col(n).cast(schema[n].dataType).alias(n) for n in src.columns}
     src = src.select(*[values[n] for n in src.columns])
     old = live.select(*[col(n) for n in key], *[col(n).alias(f"_old_{n}") for n in live.columns if n not in key])
     old = old.withColumn("_found", F.lit(True))
-    matches = old.join(src.select(*[col(n) for n in key]), key, "left_semi")
+    keys = src.select(*[col(n) for n in key])
+    matches = old.join(F.broadcast(keys) if few else keys, key, "left_semi")
     joined = src.join(matches, key, "left_outer")
     differs = F.col("_found").isNull()
     for n in given:
