@@ -137,6 +137,14 @@ def test_read_range_prunes_directories_of_every_spec(spark, logs, path):
     assert read_range(h, "ts").count() == 7
 
 
+def test_batches_of_one_partitioned_spec_are_read_together(spark, logs, path):
+    h = create_history(logs, path, spec=[("day", "ts")])
+    h = append(h, logs.where("id < 3"))
+    h = append(h, logs.limit(0))
+    assert rows(read_at(h)) == rows(logs.union(logs.where("id < 3")))
+    assert "Union" not in plan_of(read_at(h))
+
+
 def test_read_range_after_rename_and_on_identity(spark, path):
     from tidemark.operators.evolve import rename_column
 
@@ -224,3 +232,33 @@ def test_partition_stats(spark, logs, tmp_path):
     ]
     by_day = partition_stats(df, [("day", "ts")]).selectExpr("cast(ts_day as string)", "record_count", "file_count")
     assert rows(by_day) == [("1969-12-31", 1, 1), ("2024-01-01", 3, 2), ("2024-01-02", 1, 1), (None, 1, 1)]
+
+
+def test_stats_of_a_history(spark, logs, path):
+    h = create_history(logs.coalesce(1), path, spec=[("day", "ts")])
+    h = set_partition_spec(h, [("hour", "ts"), ("identity", "level")])
+    h = append(h, events(spark, (6, "2024-01-02 05:00:00", "warn")))
+    h = delete_where(h, "id = 1")  # stays in its file
+    found = partition_stats(h).selectExpr("spec_id", "cast(ts_day as string)", "ts_hour", "level", "record_count")
+    assert rows(found) == [
+        (0, "1969-12-31", None, None, 1), (0, "2024-01-01", None, None, 2), (0, "2024-01-02", None, None, 1),
+        (0, None, None, None, 1), (1, None, datetime(2024, 1, 2, 5), "warn", 1),
+    ]
+    stats = file_stats(h, ["id"])
+    assert rows(stats.select("record_count", "column", "lower_bound", "upper_bound")) == [
+        (1, "id", "3", "3"), (1, "id", "4", "4"), (1, "id", "5", "5"), (1, "id", "6", "6"), (2, "id", "1", "2"),
+    ]
+    empty = delete_where(h, "true")
+    assert file_stats(empty).count() == 0 and partition_stats(empty).count() == 0
+
+
+def test_target_file_size_property(spark, path):
+    df = spark.range(0, 60_000, 1, 1).withColumn("pad", F.sha2(F.col("id").cast("string"), 256))
+    small = create_history(df, path, properties={"target_file_bytes": str(1 << 20)})
+    assert len(parquet_files(small.rows_path(1))) > 2
+    large = create_history(df.repartition(16), path + "2", properties={"target_file_bytes": str(1 << 30)})
+    assert len(parquet_files(large.rows_path(1))) == 1
+    assert read_at(small).count() == read_at(large).count() == 60_000
+    by_key = create_history(df.withColumn("k", F.lit("hot")), path + "3", spec=[("identity", "k")],
+                            properties={"target_file_bytes": str(1 << 20)})
+    assert len(parquet_files(by_key.rows_path(1))) >= 1 and read_at(by_key).count() == 60_000

@@ -90,13 +90,14 @@ class CompactCounts:
     batches_rewritten: int
 
 
-def compact(h: History, target_bytes: int = DEFAULT_TARGET_BYTES, *, branch: str | None = None,
+def compact(h: History, target_bytes: int | None = None, *, branch: str | None = None,
             at: datetime | None = None) -> tuple[History, CompactCounts]:
     """Rewrite batches with small files, listed removals or an old spec into files near `target_bytes`.
 
     Rows keep their keys, so staged changes stay applicable; batches already in shape are left alone.
     Without partitions input splits are merged in place; nothing is shuffled.
     """
+    target_bytes = target_bytes or h.target_file_bytes or DEFAULT_TARGET_BYTES
     seen = h.visible(h.head(branch))
     hits = h.removals_of(seen)
     sizes = _batch_sizes(h, seen.batches)
@@ -121,7 +122,8 @@ def compact(h: History, target_bytes: int = DEFAULT_TARGET_BYTES, *, branch: str
     batch = h.next_snapshot_id
     rows = h.rows_of(chosen, hits)
     kept = rows.count()
-    h.write_rows(batch, rows, keep_keys=F.lit(True), files_wanted=wanted, rows_total=kept)
+    h.write_rows(batch, rows, keep_keys=F.lit(True), files_wanted=wanted, rows_total=kept,
+                 target_bytes=target_bytes)
     new_files, _ = files.size_of(h.spark, [h.rows_path(batch, h.spec_id)])
     origins = sorted({o for b in chosen for o in h.commits[b].origins})
     new = h.commit("replace", snapshot_id=batch, spec_id=h.spec_id, has_rows=kept > 0, supersedes=chosen,

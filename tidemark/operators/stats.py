@@ -3,37 +3,63 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.analytics import unpivot
 from tidemark.plans.fields import col
+from tidemark.plans.history import History
 from tidemark.plans.partitioning import check_spec, hour_start, with_partitions
 
 _FILE = ["file_path", "file_format", "file_size_in_bytes", "record_count"]
 
 
-def file_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def _file_columns() -> list[Column]:
+    return [F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size_in_bytes")]
+
+
+def _by_spec(h: History, branch: str | None) -> dict[int, DataFrame]:
+    """Per spec in use, the stored rows of a branch with the file each is in."""
+    batches: dict[int, list[int]] = {}
+    for b in h.visible(h.head(branch)).batches:
+        batches.setdefault(h.commits[b].spec_id, []).append(b)
+    return {s: h.scan(s, members, extra=_file_columns()) for s, members in sorted(batches.items())}
+
+
+def file_stats(source: DataFrame | History, columns: Sequence[str] | None = None, *,
+               branch: str | None = None) -> DataFrame:
     """One row per (file, column): file facts, null count, lower and upper bound (as text).
 
-    `df` is a file scan, possibly filtered. Bounds of columns without an order are NULL.
+    `source` is a file scan, possibly filtered, or a history: then all files of a branch head are listed, with
+    the rows stored in them (removed ones too, until compaction). Bounds of columns without an order are NULL.
     """
-    fields = [f for f in df.schema if columns is None or f.name in columns]
+    schema = source.schema
+    fields = [f for f in schema if columns is None or f.name in columns]
+    if isinstance(source, History):
+        parts = list(_by_spec(source, branch).values()) or [
+            source.rows_of([], {}).withColumns({"file_path": F.lit(""), "file_size_in_bytes": F.lit(0)})
+        ]
+        scan = reduce(DataFrame.union, parts)
+        # user columns by position: they may carry any name
+        where = {f.name: f"_v{i}" for i, f in enumerate(schema)}
+        scan = scan.toDF("_added_in", "_row_id", *where.values(), "file_path", "file_size_in_bytes")
+    else:
+        where = {f.name: f"_v{i}" for i, f in enumerate(fields)}
+        scan = source.select(*[col(n).alias(v) for n, v in where.items()], *_file_columns())
     aggregates = [F.count("*").alias("record_count")]
     for i, f in enumerate(fields):
+        value = F.col(where[f.name])
         ordered = not isinstance(f.dataType, (T.MapType, T.VariantType))
-        aggregates.append(F.count_if(col(f.name).isNull()).alias(f"_n{i}"))
+        aggregates.append(F.count_if(value.isNull()).alias(f"_n{i}"))
         aggregates += [
-            (agg(col(f.name)) if ordered else F.lit(None)).cast("string").alias(f"_{tag}{i}")
+            (agg(value) if ordered else F.lit(None)).cast("string").alias(f"_{tag}{i}")
             for tag, agg in (("lo", F.min), ("hi", F.max))
         ]
-    path = F.col("_metadata.file_path")
     per_file = (
-        df.select(*[col(f.name) for f in fields], path.alias("file_path"),
-                  F.col("_metadata.file_size").alias("file_size_in_bytes"))
-        .groupBy("file_path", "file_size_in_bytes").agg(*aggregates)
+        scan.groupBy("file_path", "file_size_in_bytes").agg(*aggregates)
         .withColumn("file_format", F.upper(F.regexp_extract("file_path", r"\.([A-Za-z]+)$", 1)))
     )
     return unpivot(per_file, T.StructType(fields), {
@@ -43,15 +69,31 @@ def file_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     }, keep=_FILE)
 
 
-def partition_stats(df: DataFrame, spec: Sequence[tuple[str, str]]) -> DataFrame:
-    """Rows and files per partition of `df` (a file scan) under a spec; hours shown as their start time."""
+def partition_stats(source: DataFrame | History, spec: Sequence[tuple[str, str]] | None = None, *,
+                    branch: str | None = None) -> DataFrame:
+    """Rows and files per partition; hours are shown as their start time.
+
+    A file scan is grouped by the given spec. A history is grouped by the spec each of its files was written
+    under, with that spec's id; columns another spec has are NULL.
+    """
+    if isinstance(source, History):
+        parts = [
+            _partition_stats(df, [(t, f.name) for t, f in source.spec(s)]).withColumn("spec_id", F.lit(s))
+            for s, df in _by_spec(source, branch).items()
+        ]
+        if not parts:
+            return source.spark.createDataFrame([], "record_count long, file_count long, spec_id int")
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if spec is None:
+        raise ValueError("a file scan needs the spec to group by")
+    return _partition_stats(source.withColumn("file_path", F.col("_metadata.file_path")), spec)
+
+
+def _partition_stats(df: DataFrame, spec: Sequence[tuple[str, str]]) -> DataFrame:
     names = [f"{name}_{transform}" if transform != "identity" else name
              for transform, name in check_spec(spec, df.schema)]
     derived = [f"_p{i}" for i in range(len(spec))]
-    per_file = (
-        with_partitions(df.withColumn("_file", F.col("_metadata.file_path")), spec, derived)
-        .groupBy(*derived, "_file").agg(F.count("*").alias("_n"))
-    )
+    per_file = with_partitions(df, spec, derived).groupBy(*derived, "file_path").agg(F.count("*").alias("_n"))
     shown = [
         (hour_start(F.col(d)) if transform == "hour" else F.col(d)).alias(n)
         for d, n, (transform, _) in zip(derived, names, spec)

@@ -253,8 +253,12 @@ class History:
 
     # -- reads ----------------------------------------------------------------------------------
 
-    def _scan(self, spec_id: int, batches: list[int], prune: Prune | None) -> DataFrame:
-        """Rows of batches that share a partition spec, under their current column names."""
+    def scan(self, spec_id: int, batches: list[int], prune: Prune | None = None,
+             extra: Iterable[Column] = ()) -> DataFrame:
+        """Rows of batches that share a partition spec, under their current column names.
+
+        `extra` may add columns of the scan itself, such as the file a row is in.
+        """
         spec = self.spec(spec_id)
         schema = T.StructType(
             _KEY_SCHEMA.fields
@@ -264,14 +268,18 @@ class History:
                 for t, f in spec
             ]
         )
-        df = self.spark.read.schema(schema).parquet(*[self.rows_path(b) for b in batches])
+        df = (
+            self.spark.read.schema(schema.add("batch", T.LongType()))
+            .option("basePath", f"{self.path}/rows/spec={spec_id}")
+            .parquet(*[self.rows_path(b) for b in batches])
+        )
         for transform, f in spec:
             bound = prune(transform, f, F.col(self._partition_name(transform, f))) if prune else None
             if bound is not None:
                 df = df.where(bound)
         return df.select(*ROW_KEY, *[
             F.col(stored_name(f)).alias(f.name, metadata=f.metadata) for f in self.schema
-        ])
+        ], *extra)
 
     def read_removals(self, removals: Iterable[int]) -> DataFrame:
         paths = [self.removals_path(r) for r in sorted(set(removals))]
@@ -284,7 +292,7 @@ class History:
             groups.setdefault((self.commits[b].spec_id, bool(hits[b])), []).append(b)
         parts = []
         for (spec_id, dirty), members in sorted(groups.items()):
-            df = self._scan(spec_id, members, prune)
+            df = self.scan(spec_id, members, prune)
             if dirty:
                 ids = {r for b in members for r in hits[b]}
                 gone = self.read_removals(ids)
@@ -311,13 +319,14 @@ class History:
 
     def write_rows(self, batch: int, df: DataFrame, *, keep_keys: Column | None = None,
                    extra: Iterable[str] = (), mode: str = "overwrite",
-                   files_wanted: int | None = None, rows_total: int | None = None) -> None:
+                   files_wanted: int | None = None, rows_total: int | None = None,
+                   target_bytes: int | None = None) -> None:
         """Write rows into a batch folder under the current spec.
 
         `df` holds user columns by name; where it has row keys, rows for which `keep_keys` is true keep
         them. Other rows are numbered after any shuffle, in the task that writes them. `files_wanted`
         merges input splits and, with `rows_total`, cuts files that would come out larger, both without
-        a shuffle; a partitioned spec rebalances on its columns instead.
+        a shuffle; a partitioned spec rebalances on its columns to about `target_bytes` instead.
         """
         spec = self.spec(self.spec_id)
         parts = [self._partition_name(t, f) for t, f in spec]
@@ -353,7 +362,16 @@ class History:
                 writer = writer.option("maxRecordsPerFile", -(-rows_total // files_wanted))
             writer.parquet(self.rows_path(batch, self.spec_id))
 
-        partitioning.write_gathered(out, parts, write)
+        if files_wanted and not parts:
+            write(out)
+        else:
+            partitioning.write_gathered(out, parts, write, target_bytes or self.target_file_bytes)
+
+    @property
+    def target_file_bytes(self) -> int | None:
+        """The size new files should come out at, where the table sets one."""
+        value = self.properties.get("target_file_bytes")
+        return int(value) if value else None
 
     def written(self, batch: int, extra: T.StructType = T.StructType([])) -> DataFrame:
         """Row keys (and bookkeeping columns) of a batch folder as written."""

@@ -7,9 +7,10 @@ directories a writer made.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,19 +70,34 @@ def with_partitions(df: DataFrame, spec: Sequence[tuple[str, str]], names: Seque
     })
 
 
-def write_gathered(df: DataFrame, names: Sequence[str], write: Callable[[DataFrame], None]) -> None:
+def write_gathered(df: DataFrame, names: Sequence[str], write: Callable[[DataFrame], None],
+                   target_bytes: int | None = None) -> None:
     """Bring rows of one partition value together, then write, without making a hot value one task.
 
-    REBALANCE hashes on the columns and adaptive execution splits partitions above the advisory size. Merging
-    small ones is turned off meanwhile: a value sits in one partition anyway, so merging would not save a
-    file and only leave one task to write many directories.
+    REBALANCE hashes on the columns (without any, it evens out rows) and adaptive execution splits what is
+    above the target size. Merging small shuffle partitions is turned off for partitioned writes: a value
+    sits in one of them anyway, so merging would save no file and leave one task to write many directories.
     """
-    if not names:
+    if not names and not target_bytes:
         return write(df)
-    conf, setting = df.sparkSession.conf, "spark.sql.adaptive.coalescePartitions.enabled"
-    before = conf.get(setting)
-    conf.set(setting, "false")
-    try:
+    settings = {}
+    if names:
+        settings["spark.sql.adaptive.coalescePartitions.enabled"] = "false"
+    if target_bytes:
+        settings["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = str(target_bytes)
+        settings["spark.sql.adaptive.coalescePartitions.parallelismFirst"] = "false"
+    with session_settings(df.sparkSession, settings):
         write(df.hint("rebalance", *names))
+
+
+@contextmanager
+def session_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Set session options for the duration of a write."""
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        yield
     finally:
-        conf.set(setting, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,13 +53,13 @@ def write_json_arrays(df: DataFrame, path: str, mode: str = "error") -> None:
     def as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opener = "["
         for batch in batches:
-            lines = []
-            for line in batch.column(0).to_pylist():
-                lines.append(opener + line)
+            lines = batch.column(0)
+            if len(lines):
+                first = pa.array([opener + lines[0].as_py()], lines.type)
+                rest = pc.binary_join_element_wise(pa.scalar(",", lines.type), lines.slice(1), "")
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([first, rest])], ["value"])
                 opener = ","
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
-        tail = "]" if opener == "," else "[]"
-        yield pa.RecordBatch.from_arrays([pa.array([tail], pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if opener == "," else "[]"])], ["value"])
 
     lines = df.select(F.to_json(F.struct("*")).alias("value"))
     lines.mapInArrow(as_array, "value string").write.mode(mode).text(path)

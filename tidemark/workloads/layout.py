@@ -67,16 +67,27 @@ def partition_stats_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _respecified(spark: SparkSession, sf_dir: str) -> History:
-    """events up to mid-month by day, later ones by hour and type."""
+    """events up to mid-month by day, later ones by hour."""
     events = table(spark, sf_dir, "events")
     h = create_history(events.where("ts < timestamp_ntz'2024-01-15'"), work_path(spark, "events"),
                        spec=[("day", "ts")])
     h = maintenance.drop_partition_field(h, "day", "ts")
     h = maintenance.add_partition_field(h, "hour", "ts")
-    h = maintenance.add_partition_field(h, "identity", "event_type")
     return append(h, events.where("ts >= timestamp_ntz'2024-01-15'"))
 
 
+@query("""
+SELECT 0 AS spec_id, strftime(ts, '%Y-%m-%d') AS day, CAST(NULL AS TIMESTAMP) AS hour, count(*) AS record_count
+FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 2
+UNION ALL SELECT 2, NULL, date_trunc('hour', ts), count(*)
+FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 3
+""")
+def partitions_of_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = partition_stats(_respecified(spark, sf_dir))
+    return stats.select("spec_id", F.col("ts_day").cast("string").alias("day"), F.col("ts_hour").alias("hour"),
+                        "record_count")
+
+
 @query("SELECT * FROM events")
 def partition_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_at(_respecified(spark, sf_dir))
