@@ -1,8 +1,13 @@
+from datetime import datetime, timedelta, timezone
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from tidemark.operators import changes
 from tidemark.operators.changes import UpsertCounts, delete_where, update_where, upsert
+from tidemark.operators.maintenance import expire, stored_rows
 from tidemark.operators.snapshots import read_at, snapshots
 from tidemark.operators.writes import append, create_history, load_history, overwrite
 from tidemark.plans import files
@@ -151,17 +156,45 @@ def test_overwrite_keeps_old_rows_in_history(spark, path):
     assert rows(read_at(h, snapshot_id=1)) == [(1,), (2,)]
 
 
-def test_removals_over_the_limit_fold_into_rewritten_batches(spark, path):
-    h = make(spark, path, [(i,) for i in range(100)], "id long", properties={"max_removed_rows": "10"})
-    h = append(h, spark.createDataFrame([(i,) for i in range(100, 120)], "id long"))
+def test_removals_over_the_limit_rewrite_the_files_they_touch(spark, path):
+    h = create_history(spark.range(0, 100, 1, 10), path, properties={"max_removed_rows": "10"})
+    h = append(h, spark.range(100, 120, 1, 2))
     h = delete_where(h, "id < 8")
     assert h.commits[3].removed == {1: 8}
-    h = delete_where(h, "id < 16")  # 8 + 8 is too many: batch 1 is rewritten, batch 2 is not touched
-    assert h.commits[4].has_rows and h.commits[4].supersedes == [1] and not h.commits[4].removed
-    assert h.visible(h.head()).batches == [2, 4]
-    assert all(not r for r in h.removals_of(h.visible(h.head())).values())
+    h = delete_where(h, "id < 16")  # 8 + 8 is too many: two of ten files are rewritten
+    assert h.commits[4].has_rows and not h.commits[4].supersedes and not h.commits[4].removed
+    assert list(h.commits[4].drops) == [1] and len(h.commits[4].drops[1]) == 2
+    assert h.written(4).count() == 4
+    assert h.visible(h.head()).batches == [1, 2, 4]
     assert read_at(h).count() == 104
     assert read_at(h, snapshot_id=3).count() == 112
+    h = delete_where(h, "id >= 12 and id < 101")
+    assert h.commits[5].supersedes == [1, 4] and list(h.commits[5].drops) == [2]
+    assert rows(read_at(h)) == sorted([(i,) for i in range(101, 120)], key=str)
+
+
+def test_whole_batches_are_rewritten_when_files_are_too_many_to_name(spark, path, monkeypatch):
+    monkeypatch.setattr(changes, "MAX_NAMED_FILES", 3)
+    h = create_history(spark.range(0, 100, 1, 10), path, properties={"max_removed_rows": "0"})
+    h = update_where(h, {"id": "-id"}, "id % 10 = 3")
+    assert h.commits[2].supersedes == [1] and not h.commits[2].drops
+    h = delete_where(h, "id = 50")
+    assert read_at(h).count() == 99 and read_at(h).where("id < 0").count() == 10
+
+
+def test_rewritten_files_go_with_expiry(spark, path):
+    data = spark.range(0, 100, 1, 10).selectExpr("id", "concat('a b/', id % 2) as g")
+    h = create_history(data, path, spec=[("identity", "g")], properties={"max_removed_rows": "0"})
+    h = delete_where(h, "id < 50 and g = 'a b/0'")
+    h = append(h, data.limit(3))
+    before = rows(read_at(h))
+    h, counts = expire(h, older_than=datetime.now(timezone.utc) + timedelta(days=1))
+    stored = sum(1 for _ in Path(path).rglob("*.parquet"))
+    assert counts.deleted_files + counts.deleted_batches > 0
+    assert rows(read_at(h)) == rows(read_at(load_history(spark, path))) == before
+    assert rows(stored_rows(h).select("id", "g")) == before
+    assert expire(h, older_than=datetime.now(timezone.utc) + timedelta(days=1))[1].deleted_files == 0
+    assert sum(1 for _ in Path(path).rglob("*.parquet")) == stored
 
 
 def test_many_removals_are_read_without_a_broadcast_hint(spark, path):

@@ -1,13 +1,13 @@
 """Row-level changes: update, delete and upsert.
 
 A change that hits few rows lists them as removals, which reads broadcast. One that would push the removals
-past the history's `max_removed_rows` rewrites the batches it touches instead, in a pass without a shuffle
-for updates and deletes.
+past the history's `max_removed_rows` rewrites the files it touches instead, in a pass without a shuffle for
+updates and deletes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -15,11 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.plans import files
 from tidemark.plans.fields import check_incoming, col, find, stored_name
-from tidemark.plans.history import ROW_KEY, History, count_by_origin
+from tidemark.plans.history import ROW_KEY, History, batch_of, count_by_origin, stored_file
 
 MAX_BROADCAST_KEYS = 1_000_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+MAX_NAMED_FILES = 10_000  # files one commit lists by name
 
 _PREVIOUS = T.StructType([T.StructField("_prev_in", T.LongType()), T.StructField("_prev_id", T.LongType())])
 
@@ -46,7 +48,7 @@ class _Target:
         self.hits = self.h.removals_of(self.seen)
 
     def live(self) -> DataFrame:
-        return self.h.rows_of(self.seen.batches, self.hits)
+        return self.h.rows_of(self.seen, self.hits)
 
     @property
     def total(self) -> int:
@@ -56,7 +58,7 @@ class _Target:
         """Batches of which every row is matched, as far as the log alone can tell."""
         return [
             b for b in self.seen.batches
-            if not self.hits[b] and self.h.commits[b].origins == [b]
+            if not self.hits[b] and not self.seen.dropped.get(b) and self.h.commits[b].origins == [b]
             and matched.get(b) == int(self.h.commits[b].summary["added_rows"])
         ]
 
@@ -65,10 +67,31 @@ class _Target:
         listed = self.h.removed_rows(r for rs in self.hits.values() for r in rs)
         return listed + sum(matched.values()) <= self.h.max_removed_rows
 
-    def rewrite(self, matched: dict[int, int]) -> tuple[list[int], DataFrame]:
-        """The batches that hold matched rows, and their live rows."""
-        touched = self.h.holding(self.seen, matched)
-        return touched, self.h.rows_of(touched, self.hits)
+    def rewrite(self, matched: dict[int, int],
+                matching: Callable[[DataFrame], DataFrame]) -> tuple[dict, DataFrame]:
+        """The rows to write again for a change, and what the commit has to say about their files.
+
+        `matching` filters rows down to those that change. Only files that hold any are rewritten, as long as
+        their names stay few enough to keep in the log; past that, the batches as a whole.
+        """
+        h, touched = self.h, self.h.holding(self.seen, matched)
+        named = h.rows_of(self.seen, self.hits, touched, extra=[stored_file().alias("_file")])
+        found = matching(named).select("_file").distinct().limit(MAX_NAMED_FILES + 1).collect()
+        names: dict[int, list[str]] = {}
+        for r in found:
+            names.setdefault(batch_of(r["_file"]), []).append(r["_file"])
+        if len(found) > MAX_NAMED_FILES:
+            whole, drops, only = touched, {}, None
+        else:
+            touched, only = list(names), [r["_file"] for r in found]
+            stored = files.count_per_folder(h.spark, {b: h.rows_path(b) for b in touched})
+            whole = [b for b in touched if len(names[b]) + len(self.seen.dropped.get(b, ())) >= stored[b]]
+            drops = {b: sorted(names[b]) for b in touched if b not in whole}
+        effect = {
+            "has_rows": True, "supersedes": whole, "drops": drops, "folded": self.seen.removals,
+            "origins": sorted(self.origins(touched)),
+        }
+        return effect, h.rows_of(self.seen, self.hits, touched, only=only)
 
     def origins(self, batches: Sequence[int]) -> set[int]:
         return {o for b in batches for o in self.h.commits[b].origins}
@@ -89,14 +112,12 @@ def delete_where(h: History, cond: Column | str, *, branch: str | None = None, w
     effect: dict = {"supersedes": emptied}  # whole batches go without a row being listed or written
     if rest and target.few(rest):
         others = [b for b in target.seen.batches if b not in emptied]
-        h.write_removals(batch, h.rows_of(others, target.hits).where(cond))
+        h.write_removals(batch, h.rows_of(target.seen, target.hits, others).where(cond))
         effect["removed"] = rest
     elif rest:
-        touched, rows = target.rewrite(rest)
-        keep = ~F.coalesce(cond, F.lit(False))
-        h.write_rows(batch, rows.where(keep), keep_keys=F.lit(True))
-        effect = {"has_rows": True, "supersedes": [*emptied, *touched], "folded": target.seen.removals,
-                  "origins": sorted(target.origins(touched))}
+        effect, rows = target.rewrite(rest, lambda df: df.where(cond))
+        effect["supersedes"] = sorted({*emptied, *effect["supersedes"]})
+        h.write_rows(batch, rows.where(~F.coalesce(cond, F.lit(False))), keep_keys=F.lit(True))
     return h.commit("delete", snapshot_id=batch, removed_rows=removed, spec_id=h.spec_id, branch=branch,
                     wap_id=wap_id, at=at, summary=summary, **effect)
 
@@ -130,12 +151,10 @@ def update_where(h: History, set: dict[str, Column | str], where: Column | str |
         h.write_removals(batch, matching)
         effect = {"has_rows": True, "removed": matched, "origins": [batch]}
     elif changed:
-        touched, rows = target.rewrite(matched)
-        hit = F.coalesce(cond, F.lit(False))
-        rows = rows.withColumn("_hit", hit)
+        effect, rows = target.rewrite(matched, lambda df: df.where(cond))
+        effect["origins"].append(batch)
+        rows = rows.withColumn("_hit", F.coalesce(cond, F.lit(False)))
         h.write_rows(batch, _assign(rows, new_values, F.col("_hit")), keep_keys=~F.col("_hit"))
-        effect = {"has_rows": True, "supersedes": touched, "folded": target.seen.removals,
-                  "origins": sorted(target.origins(touched) | {batch})}
     return h.commit("overwrite", snapshot_id=batch, added_rows=changed, removed_rows=changed, spec_id=h.spec_id,
                     branch=branch, wap_id=wap_id, at=at, summary=summary, **effect)
 
@@ -193,11 +212,9 @@ def upsert(h: History, src: DataFrame, key: Sequence[str] | None = None, *, bran
         h.write_removals(batch, replaced)
         effect["removed"] = matched
     elif removed:
-        touched, rows = target.rewrite(matched)
-        kept = rows.join(replaced, ROW_KEY, "left_anti")
-        h.write_rows(batch, kept, keep_keys=F.lit(True), mode="append")
-        effect.update(supersedes=touched, folded=target.seen.removals,
-                      origins=sorted(target.origins(touched) | {batch}))
+        effect, rows = target.rewrite(matched, lambda df: df.join(replaced, ROW_KEY, "left_semi"))
+        effect["origins"].append(batch)
+        h.write_rows(batch, rows.join(replaced, ROW_KEY, "left_anti"), keep_keys=F.lit(True), mode="append")
     new = h.commit("overwrite" if removed else "append", snapshot_id=batch, added_rows=added, removed_rows=removed,
                    spec_id=h.spec_id, branch=branch, wap_id=wap_id, at=at, summary=summary, **effect)
     return new, counts

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import replace
 from datetime import datetime
 
@@ -168,17 +169,20 @@ def _check_conflicts(h: History, head: int | None, base: int | None, source) ->
     now, then = h.visible(head), h.visible(base)
     new_removals = set(now.removals) - set(then.removals)
 
-    def changed_since(batches: list[int]) -> bool:
+    def changed_since(batches: Iterable[int]) -> bool:
+        batches = set(batches)
         origins = {o for b in batches for o in h.commits[b].origins}
-        return not set(batches) <= set(now.batches) or any(
-            not origins.isdisjoint(h.commits[r].removed) for r in new_removals
+        return (
+            not batches <= set(now.batches)
+            or any(now.dropped.get(b) != then.dropped.get(b) for b in batches)
+            or any(not origins.isdisjoint(h.commits[r].removed) for r in new_removals)
         )
 
-    if source.supersedes and changed_since(source.supersedes):
-        raise ValueError("conflict: batches the snapshot rewrites were changed on the branch meanwhile")
+    if changed_since([*source.supersedes, *source.drops]):
+        raise ValueError("conflict: files the snapshot rewrites were changed on the branch meanwhile")
     if source.removed and changed_since(h.holding(then, source.removed)):
         gone = h.read_removals([source.snapshot_id])
-        alive = h.rows_of(h.holding(now, source.removed), h.removals_of(now)).select(*ROW_KEY)
+        alive = h.rows_of(now, h.removals_of(now), h.holding(now, source.removed)).select(*ROW_KEY)
         lost = gone.join(alive, ROW_KEY, "left_anti").limit(1).count()
         if lost:
             raise ValueError("conflict: rows the snapshot removes are no longer live on the branch")

@@ -23,10 +23,13 @@ def _file_columns() -> list[Column]:
 
 def _by_spec(h: History, branch: str | None) -> dict[int, DataFrame]:
     """Per spec in use, the stored rows of a branch with the file each is in."""
-    batches: dict[int, list[int]] = {}
-    for b in h.visible(h.head(branch)).batches:
+    seen, batches = h.visible(h.head(branch)), {}
+    for b in seen.batches:
         batches.setdefault(h.commits[b].spec_id, []).append(b)
-    return {s: h.scan(s, members, extra=_file_columns()) for s, members in sorted(batches.items())}
+    return {
+        s: h.scan(s, members, dropped={n for b in members for n in seen.dropped.get(b, ())}, extra=_file_columns())
+        for s, members in sorted(batches.items())
+    }
 
 
 def file_stats(source: DataFrame | History, columns: Sequence[str] | None = None, *,
@@ -40,7 +43,7 @@ def file_stats(source: DataFrame | History, columns: Sequence[str] | None = None
     fields = [f for f in schema if columns is None or f.name in columns]
     if isinstance(source, History):
         parts = list(_by_spec(source, branch).values()) or [
-            source.rows_of([], {}).withColumns({"file_path": F.lit(""), "file_size_in_bytes": F.lit(0)})
+            source.live(None).withColumns({"file_path": F.lit(""), "file_size_in_bytes": F.lit(0)})
         ]
         scan = reduce(DataFrame.union, parts)
         # user columns by position: they may carry any name

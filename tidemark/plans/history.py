@@ -8,7 +8,7 @@ Data on shared storage, below one folder:
 * ``log/<version>.json``: what each change added to commits, refs, ref log and schema.
 
 A snapshot shows the batches its ancestors wrote, less those a later ancestor replaced, less the removed
-rows. Removals stay few (``max_removed_rows``), so reads broadcast them; larger changes rewrite the batches
+rows. Removals stay few (``max_removed_rows``), so reads broadcast them; larger changes rewrite the files
 they touch instead, which leaves reads free of any join.
 """
 
@@ -46,11 +46,13 @@ class Commit:
     has_rows: bool = False
     removed: dict[int, int] = field(default_factory=dict)  # _added_in -> rows listed in its removals
     supersedes: list[int] = field(default_factory=list)  # batches its own batch stands in for
+    drops: dict[int, list[str]] = field(default_factory=dict)  # batch -> files its own batch stands in for
     origins: list[int] = field(default_factory=list)  # _added_in values its batch may hold
     folded: list[int] = field(default_factory=list)  # removals its batch has applied already
     expired: bool = False
     rows_gone: bool = False  # expiry has deleted its batch
     removals_gone: bool = False
+    files_gone: list[str] = field(default_factory=list)  # files of its batch that expiry has deleted
 
 
 @dataclass(frozen=True)
@@ -59,6 +61,7 @@ class Visible:
 
     batches: list[int]
     removals: list[int]
+    dropped: dict[int, set[str]] = field(default_factory=dict)  # files of the batches that do not count
 
 
 @dataclass(frozen=True)
@@ -97,7 +100,8 @@ class History:
         for line in lines:
             head = json.loads(line["value"])
             for raw in head.pop("commits"):
-                raw["removed"] = {int(k): v for k, v in raw["removed"].items()}
+                for name in ("removed", "drops"):
+                    raw[name] = {int(k): v for k, v in raw[name].items()}
                 commits[raw["snapshot_id"]] = Commit(**raw)
             ref_log += head.pop("ref_log")
         head["schema"] = T.StructType.fromJson(head["schema"])
@@ -197,17 +201,20 @@ class History:
         return self.commits[self.commits[snapshot_id].source_id]
 
     def visible(self, snapshot_id: int | None) -> Visible:
-        batches: dict[int, None] = {}
+        batches: dict[int, set[str]] = {}
         removals: list[int] = []
         for s in self.lineage(snapshot_id):
             c = self.source_of(s)
             for b in c.supersedes:
                 batches.pop(b, None)
+            for b, names in c.drops.items():
+                if b in batches:
+                    batches[b] = batches[b].union(names)
             if c.has_rows:
-                batches[c.snapshot_id] = None
+                batches[c.snapshot_id] = set()
             if c.removed:
                 removals.append(c.snapshot_id)
-        return Visible(list(batches), removals)
+        return Visible(list(batches), removals, {b: names for b, names in batches.items() if names})
 
     def removals_of(self, seen: Visible) -> dict[int, list[int]]:
         """Per visible batch, the removals that may hit its rows."""
@@ -253,11 +260,12 @@ class History:
 
     # -- reads ----------------------------------------------------------------------------------
 
-    def scan(self, spec_id: int, batches: list[int], prune: Prune | None = None,
-             extra: Iterable[Column] = ()) -> DataFrame:
+    def scan(self, spec_id: int, batches: list[int], prune: Prune | None = None, dropped: Iterable[str] = (),
+             only: Iterable[str] | None = None, extra: Iterable[Column] = ()) -> DataFrame:
         """Rows of batches that share a partition spec, under their current column names.
 
-        `extra` may add columns of the scan itself, such as the file a row is in.
+        Files in `dropped` are left out and, if given, none but those in `only` are read; Spark applies both
+        to the file listing. `extra` may add columns of the scan itself, such as the file a row is in.
         """
         spec = self.spec(spec_id)
         schema = T.StructType(
@@ -273,6 +281,10 @@ class History:
             .option("basePath", f"{self.path}/rows/spec={spec_id}")
             .parquet(*[self.rows_path(b) for b in batches])
         )
+        if dropped:
+            df = df.where(~stored_file().isin(sorted(dropped)))
+        if only is not None:
+            df = df.where(stored_file().isin(sorted(only)))
         for transform, f in spec:
             bound = prune(transform, f, F.col(self._partition_name(transform, f))) if prune else None
             if bound is not None:
@@ -285,14 +297,18 @@ class History:
         paths = [self.removals_path(r) for r in sorted(set(removals))]
         return self.spark.read.schema(_KEY_SCHEMA).parquet(*paths)
 
-    def rows_of(self, batches: list[int], hits: dict[int, list[int]], prune: Prune | None = None) -> DataFrame:
-        """Live rows of `batches` with their row keys. Batches no removal hits are not joined."""
-        groups: dict[tuple[int, bool], list[int]] = {}
-        for b in batches:
-            groups.setdefault((self.commits[b].spec_id, bool(hits[b])), []).append(b)
+    def rows_of(self, seen: Visible, hits: dict[int, list[int]], batches: Iterable[int] | None = None,
+                prune: Prune | None = None, only: Iterable[str] | None = None,
+                extra: Iterable[Column] = ()) -> DataFrame:
+        """Live rows with their row keys, of some or all visible batches. Batches no removal hits are not joined."""
+        extra = list(extra)
+        groups: dict[tuple[int, bool, bool], list[int]] = {}
+        for b in seen.batches if batches is None else batches:
+            groups.setdefault((self.commits[b].spec_id, b in seen.dropped, bool(hits.get(b))), []).append(b)
         parts = []
-        for (spec_id, dirty), members in sorted(groups.items()):
-            df = self.scan(spec_id, members, prune)
+        for (spec_id, _, dirty), members in sorted(groups.items()):
+            dropped = {name for b in members for name in seen.dropped.get(b, ())}
+            df = self.scan(spec_id, members, prune, dropped, only, extra)
             if dirty:
                 ids = {r for b in members for r in hits[b]}
                 gone = self.read_removals(ids)
@@ -313,7 +329,7 @@ class History:
     def live(self, snapshot_id: int | None, prune: Prune | None = None) -> DataFrame:
         """All rows a snapshot shows, with their row keys."""
         seen = self.visible(snapshot_id)
-        return self.rows_of(seen.batches, self.removals_of(seen), prune)
+        return self.rows_of(seen, self.removals_of(seen), prune=prune)
 
     # -- writes ---------------------------------------------------------------------------------
 
@@ -398,6 +414,16 @@ def _iso(at: datetime | None) -> str:
     return at.astimezone(timezone.utc).isoformat(timespec="microseconds")
 
 
+def stored_file() -> Column:
+    """The file a scanned row is in, as <batch>/<path below the batch folder>."""
+    return F.substring_index(F.col("_metadata.file_path"), "/batch=", -1)
+
+
+def batch_of(name: str) -> int:
+    """The batch a `stored_file` belongs to."""
+    return int(name.split("/", 1)[0])
+
+
 def count_by_origin(keys: DataFrame) -> dict[int, int]:
     """Rows per `_added_in`: one small line per snapshot that wrote any of them."""
     return {r["_added_in"]: r["n"] for r in keys.groupBy("_added_in").agg(F.count("*").alias("n")).collect()}
