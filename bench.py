@@ -44,9 +44,11 @@ def read_after(spark: SparkSession, sf_dir: str, commits: int):
     events = table(spark, sf_dir, "events")
     h = create_history(events, work_path(spark, "bench-events"))
     part = events.where("event_type = 'error'").coalesce(1)
-    for i in range(commits // 2):
-        h = append(h, part.withColumn("user_id", F.lit(i).cast("long")))
-        h = delete_where(h, (F.col("user_id") == i) & (F.col("value") > 100))
+    for i in range(commits - 1):
+        if i % 5 == 4:
+            h = delete_where(h, (F.col("user_id") == i - 1) & (F.col("value") > 100))
+        else:
+            h = append(h, part.withColumn("user_id", F.lit(i).cast("long")))
     return lambda: drain(read_at(h).groupBy("event_type").agg(F.count("*"), F.sum("value")))
 
 
