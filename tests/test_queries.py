@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry_points
+from tidemark.workloads import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -26,10 +27,10 @@ def normal(df):
     return df.sort_values(list(df.columns), kind="stable").reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", list(entry_points.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, duck, name):
-    got = normal(entry_points.queries()[name](spark, SF_DIR).toPandas())
-    want = normal(duck.sql(entry_points.oracle_sql()[name]).df())
+    got = normal(QUERIES[name](spark, SF_DIR).toPandas())
+    want = normal(duck.sql(ORACLES[name]).df())
     assert list(got.columns) == list(want.columns) and len(got) == len(want)
     for c in got:
         same = (got[c] == want[c]) | (got[c].isna() & want[c].isna())
