@@ -54,18 +54,17 @@ class WordIds:
 
     def __call__(self, text: str | None) -> bytes:
         words = words_of(text, lower=text is not None and "<|" not in text)  # special tokens are case-sensitive
-        try:
-            return b"".join([self.known[w] for w in words])
-        except KeyError:
-            pass
+        parts = list(map(self.known.get, words))
+        if None not in parts:
+            return b"".join(parts)
         if len(self.known) > KNOWN_WORDS:
             self.known = {}
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
+            parts = [None] * len(words)
+        new = list({w for w, p in zip(words, parts) if p is None})
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
         for w, e in zip(new, found):
-            ids = e.ids
-            self.known[w] = pack(f"<{len(ids)}I", *ids)
-        return b"".join([self.known[w] for w in words])
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        return b"".join([self.known[w] if p is None else p for w, p in zip(words, parts)])
 
 
 @lru_cache(1)

@@ -1,6 +1,6 @@
 """All queries of this subpackage, each registered in the module of its operator."""
 
-from tidemark.llm import packing  # noqa: F401
+from tidemark.llm import decontaminate, jaccard, packing, substring, toxicity  # noqa: F401
 from tidemark.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
