@@ -15,10 +15,11 @@ import re
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-import xxhash
 from tidemark.llm.common import dropped, ngram_hashes, signed, table, word_hashes, words_of, written
 from tidemark.llm.registry import query
 
@@ -155,21 +156,27 @@ def _apply(frames, min_words: int, with_text: bool):
         yield pd.concat([rest, out], axis=1)
 
 
-def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, with_text: bool = True) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space) and kept_text.
+def substring_dedup(
+    docs: DataFrame, min_words: int = MIN_WORDS, with_text: bool = True, columns: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """Per document: the given `columns` of it (but text), n_words, n_removed, kept_sha256 and kept_text.
 
     A word goes if a window of `min_words` words covers it whose words also start in a document with a smaller
-    doc_id; windows are judged on the input. kept_text leaves a document without removals as it is, else it is the
-    text without the removed words and the white space after them (null with with_text=False). Null and empty
-    texts have no words; an empty table gives no rows; further columns are ignored; repeated rows each give a row.
+    doc_id; windows are judged on the input. kept_sha256 is of the kept words joined by one space. kept_text leaves a
+    document without removals as it is, else it is the text without the removed words and the white space after them
+    (null with with_text=False). Null and empty texts have no words; an empty table gives no rows; columns not asked
+    for are ignored, whatever their names; repeated rows each give a row.
     """
-    found = repeats(docs, min_words)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    joined = rows.join(found, ["doc_id", "text_key"], "left").select("doc_id", "text", "starts", "is_copy")
-    return joined.mapInPandas(
-        lambda frames: _apply(frames, min_words, with_text),
-        "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string",
-    )
+    found = repeats(docs, min_words).withColumnRenamed("doc_id", "key_id")
+    kept = [docs[c].alias(f"column_{i}") for i, c in enumerate(columns)]
+    rows = docs.select(*kept, docs["doc_id"].alias("key_id"), F.xxhash64("text").alias("text_key"), "text")
+    joined = rows.join(found, ["key_id", "text_key"], "left").drop("key_id", "text_key")
+    schema = T.StructType([T.StructField(f"column_{i}", docs.schema[c].dataType) for i, c in enumerate(columns)])
+    for name, kind in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType())):
+        schema.add(name, kind)
+    out = joined.mapInPandas(lambda frames: _apply(frames, min_words, with_text), schema)
+    return out.select(
+        *[F.col(f"column_{i}").alias(c) for i, c in enumerate(columns)], "n_words", "n_removed", "kept_sha256", "kept_text")
 
 
 @query("op3_substring_dedup")
