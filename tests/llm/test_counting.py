@@ -1,0 +1,164 @@
+"""Packing, token counts, language model."""
+
+import zlib
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer, models, pre_tokenizers
+
+from llm.texts import awkward, docs_of, empty, lower, random_texts, words
+from tidemark.llm.ngram_lm import Level, ef_decode, ef_encode, quantised, score_texts
+from tidemark.llm.packing import best_fit_packing, plan
+from tidemark.llm.token_count import PieceCounter, piece_counter, token_counts, vocabulary
+
+ODD = ["", " ", "a", "  a  b ", "▁x", "日本語 текст \U0001f600", "<s> <0x0A> a\nb\t c", "It's, DON'T! <|endoftext|> é", "\n"]
+
+
+def test_packing_cuts_counts_and_fills(spark):
+    texts = random_texts(5, 200) + ODD + ["word " * 10_000, "x" * 20_000]
+    got = best_fit_packing(docs_of(spark, texts)).toPandas()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = set()
+    for d, t in enumerate(texts):
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        for k, at in enumerate(range(0, len(ids), 4096)):
+            want.add((d, k, at, len(ids[at : at + 4096]), zlib.crc32(ids[at : at + 4096].tobytes())))
+    assert set(got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == want
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert s["offset"].tolist() == [0, *np.cumsum(s["length"])[:-1]] and s["length"].sum() <= 4096
+    assert got["sequence_id"].nunique() <= -(-got["length"].sum() // 4096) + 1
+
+
+@pytest.mark.parametrize("capacity,lengths", [
+    (10, [9, 1, 5, 3, 2, 4, 4, 2, 10, 7, 7, 7]), (10, [6] * 7), (8, [5, 1, 1, 1, 4, 2, 2, 3, 3, 2]), (10, []), (10, [1] * 25),
+])
+def test_plan_uses_each_piece_once(capacity, lengths):
+    out = plan(Counter(lengths), capacity)
+    used = Counter()
+    for times, parts in out:
+        assert sum(parts) <= capacity and times > 0
+        for p in parts:
+            used[p] += times
+    assert used == Counter(lengths)
+    bins, least = sum(t for t, _ in out), -(-sum(lengths) // capacity)
+    assert bins <= max(least + 1, sum(n > capacity // 2 for n in lengths))
+
+
+def test_packing_of_awkward_rows(spark):
+    got = best_fit_packing(awkward(spark)).collect()
+    assert sum(r.piece == 0 for r in got) == 13 and sum(r.length == 1 for r in got) >= 4
+    assert best_fit_packing(empty(spark)).count() == 0
+
+
+def test_counts_are_those_of_the_tokenizer(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces = vocabulary(path)
+    exact = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=True))
+    exact.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always", split=True)
+    texts = random_texts(4, 40) + ODD + ["The quick brown fox, être ou ne pas être? " * 5]
+    got = {r.doc_id: r.n_pieces for r in token_counts(docs_of(spark, texts)).collect()}
+    assert got == {i: len(exact.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert piece_counter(path)("hello")[1] <= 0
+
+
+def test_ties_and_unknown_runs_follow_the_tokenizer():
+    pieces = [("<unk>", 0.0), ("▁", -1.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("ba", -2.0), ("aba", -3.0), ("▁a", -2.0)]
+    exact = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=False))
+    exact.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always", split=True)
+    count = PieceCounter(pieces)
+    for t in ["ab", "aba", "abab", "babab", "a?b", "??", "a??b ?", "aabbaab?ab", "?"]:
+        assert count(t)[0] == len(exact.encode(t, add_special_tokens=False).ids), t
+
+
+def test_count_of_awkward_rows(spark):
+    got = token_counts(awkward(spark)).collect()
+    assert len(got) == 13 and all(r.n_pieces == 0 for r in got if r.doc_id in (1, 2))
+    assert token_counts(empty(spark)).count() == 0
+
+
+def test_elias_fano_round_trip():
+    r = np.random.default_rng(3)
+    for n, top in [(0, 1), (1, 1), (7, 10), (1000, 1001), (5000, 2**63), (4000, 2**34)]:
+        v = np.sort(r.choice(top, n, replace=False) if top < 10**6 else np.unique(r.integers(0, top, n))).astype(np.uint64)
+        assert (ef_decode(ef_encode(v)) == v).all()
+    v = np.array([0, 2**64 - 1], np.uint64)
+    assert (ef_decode(ef_encode(v)) == v).all()
+
+
+def test_quantised_probabilities_round_down():
+    p = np.array([1, 0.5, 1e-3, 1e-30, 0, 1e-40])
+    back = np.r_[10.0 ** (-np.arange(65535) / 2048), 0.0][quantised(p)]
+    assert (back[:4] <= p[:4] * (1 + 1e-9)).all() and (back[:4] >= p[:4] * 0.99).all() and back[4] == 0
+
+
+def plain_model(texts, order=3, least=2):
+    """The same model in dictionaries."""
+    docs = [["\n"] + words(lower(t)) + [""] for t in texts]
+    counts = [Counter(tuple(d[i : i + k]) for d in docs for i in range(1 if k == 1 else 0, len(d) - k + 1)) for k in range(1, order + 1)]
+
+    def cut(c):
+        one, two = (sum(v == x for v in c.values()) for x in (1, 2))
+        return min(0.95, max(0.1, one / (one + 2 * two))) if one else 0.5
+
+    cuts = [cut(c) for c in counts]
+    # contexts are start, words, and kept n-grams only
+    kept = [counts[0]] + [None] * (order - 1)
+    raw = [counts[0]] + [None] * (order - 1)
+    for k in range(1, order):
+        raw[k] = Counter({g: n for g, n in counts[k].items() if k == 1 or g[:-1] in kept[k - 1]})
+        cuts[k] = cut(raw[k])
+        kept[k] = {g: n for g, n in raw[k].items() if n >= least}
+    total = sum(counts[0].values())
+
+    def p(gram):
+        if len(gram) == 1:
+            n = counts[0].get(gram, 0)
+            return (n - cuts[0]) / total if n else cuts[0] * len(counts[0]) / total
+        k = len(gram) - 1
+        under = p(gram[1:])
+        all_of = {g: n for g, n in raw[k].items() if g[:-1] == gram[:-1]}
+        known = gram[:-1] in kept[k - 1] or gram[:-1] == ("\n",)
+        if not known or not all_of:
+            return under
+        size = sum(all_of.values())
+        mass = sum(n - cuts[k] for g, n in all_of.items() if g in kept[k])
+        return (kept[k][gram] - cuts[k] if gram in kept[k] else 0) / size + (1 - mass / size) * under
+
+    def score(text):
+        d = ["\n"] + words(lower(text)) + [""]
+        out = 0.0
+        for i in range(1, len(d)):
+            out += np.log10(p(tuple(d[max(0, i - order + 1) : i + 1])))
+        return out
+
+    return score
+
+
+def test_scores_are_those_of_the_plain_model(spark):
+    texts = [t.title() if i % 5 == 0 else t for i, t in enumerate(random_texts(9, 50, 30))]
+    got = {r.doc_id: r for r in score_texts(docs_of(spark, texts)).collect()}
+    out = {d for d in range(len(texts)) if zlib.crc32(str(d).encode()) % 7 == 2}
+    train = [t for d, t in enumerate(texts) if d not in out]
+    seen = Counter(w for t in train for w in [*words(lower(t)), ""])
+    n, v = sum(seen.values()), len(seen)
+    score = plain_model(train)
+    for d, t in enumerate(texts):
+        w, r = [*words(lower(t)), ""], got[d]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (d in out, len(w), sum(seen[x] > 0 for x in w), n)
+        assert r.base_score == pytest.approx(sum(np.log10((seen[x] + 1) / (n + v + 1)) for x in w))
+        assert r.score == pytest.approx(score(t), rel=2e-3, abs=len(w) * 2e-3)
+
+
+def test_scores_of_awkward_rows(spark):
+    got = score_texts(awkward(spark)).collect()
+    assert len(got) == 13 and all(np.isfinite(r.score) for r in got)
+    assert all(r.n_tokens == 1 for r in got if r.doc_id in (1, 2, 3))
+    assert score_texts(empty(spark)).count() == 0
+
+
+def test_a_level_without_shards_knows_nothing():
+    level = Level(pd.DataFrame({"first": np.empty(0, "uint64"), "n": np.empty(0, "int64"), "path": []}))
+    assert level.ranks(np.array([1, 2], np.uint64)).tolist() == [-1, -1]
