@@ -133,7 +133,7 @@ OF_TAG = {"menu": "nav", "head": "header", "foot": "footer", "side": "aside", "f
 _SYLLABLES = "an ber ci da en fo gu ha in jo ka lo mi nu or pa qui re sa tu un va wo xe yo zi".split()
 
 
-def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, list[bool]]]:
+def labelled_pages(n: int = 600, seed: int = 5) -> list[tuple[str, list[bool]]]:
     """Pages composed from the parts above with filler text, and for each leaf block whether it belongs to the article.
 
     Articles hold short and long blocks, lists, quotes, tables and unclosed elements, comments and adverts may be as
@@ -188,10 +188,10 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, list[bool]]]:
             h = f"<h1>{sentence(r.randint(1, 9)).rstrip('.')}</h1>"
             items.append(f"<header>{h}</header>" if r.random() < 0.2 else h)
         for _ in range(r.randint(1, 14)):
-            form = r.choice(("p",) * 8 + ("h2", "h3", "ul", "ol", "blockquote", "pre", "table", "open", "div"))
+            form = r.choice(("p",) * 8 + ("h2", "h3", "ul", "ul", "ol", "blockquote", "pre", "table", "open", "div"))
             if form in ("ul", "ol"):
                 k = r.randint(1, 4)
-                items.append(f"<{form}>" + "".join(f"<li>{prose()}</li>" for _ in range(k)) + f"</{form}>")
+                items.append(f"<{form}>" + "".join(f"<li>{r.choice((prose, short))()}</li>" for _ in range(k)) + f"</{form}>")
                 out += [True] * k
             elif form == "table":
                 items.append("<table><tr>" + "".join(f"<td>{short()}</td>" for _ in range(3)) + "</tr></table>")
@@ -205,7 +205,7 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[tuple[str, list[bool]]]:
                     body += f' <a href="/{word()}">{short()}</a> {sentence(3)}'
                 items.append(f"<{form}>{body}</{form}>")
                 out.append(True)
-            if r.random() < 0.06:
+            if r.random() < 0.12:
                 items.append(aside(r.choice(("ad", "side", "share", "meta", "note", "form")), out, 1))
         if r.random() < 0.12:
             items.append(aside(r.choice(("talk", "foot", "share", "side")), out, 1))
