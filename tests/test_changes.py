@@ -1,16 +1,13 @@
-from datetime import datetime, timedelta, timezone
-from pathlib import Path
-
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from tidemark.operators import changes
 from tidemark.operators.changes import UpsertCounts, delete_where, update_where, upsert
-from tidemark.operators.maintenance import expire, stored_rows
+from tidemark.operators.evolve import add_column, rename_column
 from tidemark.operators.snapshots import read_at, snapshots
 from tidemark.operators.writes import append, create_history, load_history, overwrite
-from tidemark.plans import files
+from tidemark.plans import history
+from tidemark.plans.files import BehindLog
 
 # Commits of a code host: appended, appended again, then upserted with one identical and one changed row.
 FIRST = [(123, "Fix bug", "Open", 22, 10), (234, "Add variant type", "Open", 29123, 302),
@@ -19,18 +16,18 @@ SECOND = [(456, "Add nanosecond times", "Merged", 2392, 8), (567, "Document filt
 COMMITS = "id long, name string, state string, additions long, deletes long"
 
 
-@pytest.fixture(params=[1_000_000, 0], ids=["removals", "rewrite"])
-def limit(request):
-    """Both ways of storing a change: listed removals, and rewritten batches."""
-    return {"max_removed_rows": str(request.param)}
+@pytest.fixture(params=[1_000_000, 0], ids=["broadcast", "shuffled"], autouse=True)
+def bound(request, monkeypatch):
+    """Both joins against the removals; nothing else may depend on their number."""
+    monkeypatch.setattr(history, "MAX_BROADCAST_REMOVALS", request.param)
 
 
 def make(spark, path, data, schema, **kw):
     return create_history(spark.createDataFrame(data, schema), path, **kw)
 
 
-def test_upsert_inserts_updates_and_skips(spark, path, limit):
-    h = make(spark, path, FIRST, COMMITS, key=["id"], properties=limit)
+def test_upsert_inserts_updates_and_skips(spark, path):
+    h = make(spark, path, FIRST, COMMITS, key=["id"])
     h = append(h, spark.createDataFrame(SECOND, COMMITS))
     src = spark.createDataFrame(
         [SECOND[0], (567, "Document filters", "Merged", 9238, 22), (678, "New", "Open", 1, None)], COMMITS
@@ -46,8 +43,8 @@ def test_upsert_inserts_updates_and_skips(spark, path, limit):
     assert rows(read_at(load_history(spark, path))) == rows(read_at(h))
 
 
-def test_upsert_with_few_source_columns_keeps_the_rest(spark, path, limit):
-    h = make(spark, path, FIRST, COMMITS, key=["id"], properties=limit)
+def test_upsert_with_few_source_columns_keeps_the_rest(spark, path):
+    h = make(spark, path, FIRST, COMMITS, key=["id"])
     h, counts = upsert(h, spark.createDataFrame([(123, "Closed"), (999, "Open")], "id long, state string"))
     assert counts == UpsertCounts(1, 1, 0)
     found = rows(read_at(h).where("id in (123, 999)"))
@@ -78,16 +75,16 @@ def test_upsert_treats_null_and_nan_as_values(spark, path):
     assert counts == UpsertCounts(0, 2, 0)
 
 
-def test_upsert_on_two_keys(spark, path, limit):
-    h = make(spark, path, [(1, "a", 1), (1, "b", 2)], "k long, s string, v int", key=["k", "s"], properties=limit)
+def test_upsert_on_two_keys(spark, path):
+    h = make(spark, path, [(1, "a", 1), (1, "b", 2)], "k long, s string, v int", key=["k", "s"])
     h, counts = upsert(h, spark.createDataFrame([(1, "b", 3), (2, "b", 4)], "k long, s string, v int"))
     assert counts == UpsertCounts(1, 1, 0)
     assert rows(read_at(h)) == [(1, "a", 1), (1, "b", 3), (2, "b", 4)]
 
 
-def test_delete_keeps_rows_whose_condition_is_null(spark, path, limit):
+def test_delete_keeps_rows_whose_condition_is_null(spark, path):
     data = [(1, 2.0), (2, None), (3, 9.0)]
-    h = make(spark, path, data, "id long, x double", properties=limit)
+    h = make(spark, path, data, "id long, x double")
     h = delete_where(h, "x > 4.0")
     assert rows(read_at(h)) == [(1, 2.0), (2, None)]
     h = delete_where(h, "x is null")
@@ -106,20 +103,20 @@ def test_delete_of_nothing_still_makes_a_snapshot(spark, path):
     assert h.head() == 2 and rows(read_at(h)) == [(1,)]
 
 
-def test_delete_of_whole_batches_writes_nothing(spark, path):
+def test_delete_of_whole_batches_leaves_them_out_of_reads(spark, path):
     h = make(spark, path, [(1, "a"), (2, "a")], "id long, day string")
     h = append(h, spark.createDataFrame([(3, "b"), (4, "c")], "id long, day string"))
     h = delete_where(h, "day in ('a', 'b')")
     assert h.commits[3].supersedes == [1]
-    assert h.commits[3].removed == {2: 1}
+    assert h.commits[3].removed == {1: 2, 2: 1}
+    assert h.visible(h.head()).batches == [2]
     h = delete_where(h, "id = 4")
-    assert not files.exists(spark, h.removals_path(4)) and not files.exists(spark, h.rows_path(4))
+    assert not h.visible(h.head()).batches
     assert rows(read_at(h)) == [] and rows(read_at(h, snapshot_id=3)) == [(4, "c")]
 
 
-def test_update_sees_the_old_row_and_casts(spark, path, limit):
-    h = make(spark, path, [(1, 10.0, 2.0), (2, 10.0, 0.0), (3, None, 1.0)], "id long, fare double, d double",
-             properties=limit)
+def test_update_sees_the_old_row_and_casts(spark, path):
+    h = make(spark, path, [(1, 10.0, 2.0), (2, 10.0, 0.0), (3, None, 1.0)], "id long, fare double, d double")
     h = update_where(h, {"fare": F.col("d"), "d": F.col("fare")}, "id <> 3")
     assert rows(read_at(h)) == [(1, 2.0, 10.0), (2, 0.0, 10.0), (3, None, 1.0)]
     h = update_where(h, {"fare": "try_divide(fare, fare)"})
@@ -156,50 +153,71 @@ def test_overwrite_keeps_old_rows_in_history(spark, path):
     assert rows(read_at(h, snapshot_id=1)) == [(1,), (2,)]
 
 
-def test_removals_over_the_limit_rewrite_the_files_they_touch(spark, path):
-    h = create_history(spark.range(0, 100, 1, 10), path, properties={"max_removed_rows": "10"})
-    h = append(h, spark.range(100, 120, 1, 2))
-    h = delete_where(h, "id < 8")
-    assert h.commits[3].removed == {1: 8}
-    h = delete_where(h, "id < 16")  # 8 + 8 is too many: two of ten files are rewritten
-    assert h.commits[4].has_rows and not h.commits[4].supersedes and not h.commits[4].removed
-    assert list(h.commits[4].drops) == [1] and len(h.commits[4].drops[1]) == 2
-    assert h.written(4).count() == 4
-    assert h.visible(h.head()).batches == [1, 2, 4]
-    assert read_at(h).count() == 104
-    assert read_at(h, snapshot_id=3).count() == 112
-    h = delete_where(h, "id >= 12 and id < 101")
-    assert h.commits[5].supersedes == [1, 4] and list(h.commits[5].drops) == [2]
-    assert rows(read_at(h)) == sorted([(i,) for i in range(101, 120)], key=str)
-
-
-def test_whole_batches_are_rewritten_when_files_are_too_many_to_name(spark, path, monkeypatch):
-    monkeypatch.setattr(changes, "MAX_NAMED_FILES", 3)
-    h = create_history(spark.range(0, 100, 1, 10), path, properties={"max_removed_rows": "0"})
-    h = update_where(h, {"id": "-id"}, "id % 10 = 3")
-    assert h.commits[2].supersedes == [1] and not h.commits[2].drops
-    h = delete_where(h, "id = 50")
-    assert read_at(h).count() == 99 and read_at(h).where("id < 0").count() == 10
-
-
-def test_rewritten_files_go_with_expiry(spark, path):
-    data = spark.range(0, 100, 1, 10).selectExpr("id", "concat('a b/', id % 2) as g")
-    h = create_history(data, path, spec=[("identity", "g")], properties={"max_removed_rows": "0"})
-    h = delete_where(h, "id < 50 and g = 'a b/0'")
-    h = append(h, data.limit(3))
-    before = rows(read_at(h))
-    h, counts = expire(h, older_than=datetime.now(timezone.utc) + timedelta(days=1))
-    stored = sum(1 for _ in Path(path).rglob("*.parquet"))
-    assert counts.deleted_files + counts.deleted_batches > 0
-    assert rows(read_at(h)) == rows(read_at(load_history(spark, path))) == before
-    assert rows(stored_rows(h).select("id", "g")) == before
-    assert expire(h, older_than=datetime.now(timezone.utc) + timedelta(days=1))[1].deleted_files == 0
-    assert sum(1 for _ in Path(path).rglob("*.parquet")) == stored
-
-
-def test_many_removals_are_read_without_a_broadcast_hint(spark, path):
-    h = make(spark, path, [(i,) for i in range(100)], "id long")
-    h = delete_where(h, "id < 60")
-    assert read_at(h).count() == 40
-    small = type(h)(**{**h.__dict__, "properties": {"max_removed_rows": "10"}})
-    assert read_at(small).count() == 40
+def test_a_writer_that_is_refused_late_destroys_nothing(spark, path, monkeypatch):
+    h = make(spark, path, [(1,)], "id long")
+    behind = load_history(spark, path)
+    checked = type(h).writable
+
+    def overtaken(self, wap_id=None):
+        ready = checked(self, wap_id)
+        monkeypatch.setattr(type(h), "writable", checked)
+        append(h, spark.createDataFrame([(10,), (11,)], "id long"))  # between the check and the write
+        return ready
+
+    monkeypatch.setattr(type(h), "writable", overtaken)
+    with pytest.raises(BehindLog):
+        append(behind, spark.createDataFrame([(20,), (21,), (22,)], "id long"))
+    assert rows(read_at(load_history(spark, path))) == [(1,), (10,), (11,)]
+
+
+def test_a_summary_cannot_change_what_is_counted(spark, path):
+    h = make(spark, path, [(i,) for i in range(20)], "id long")
+    for key in ("added_rows", "removed_rows", "total_rows", "wap.id", "source_snapshot_id"):
+        with pytest.raises(ValueError, match="reserved"):
+            append(h, spark.createDataFrame([(1,)], "id long"), summary={key: "3"})
+    h = append(h, spark.range(20, 30), summary={"my_rows": "2"})
+    h = delete_where(h, "id >= 28")
+    assert read_at(h).count() == 28
+    assert snapshots(h).where("snapshot_id = 2").first()["summary"]["my_rows"] == "2"
+
+
+def scans(spark, work):
+    """Files that a change reads of the table, as often as it reads them."""
+    seen, real = [], history.History.scan
+
+    def counted(self, *args, **kw):
+        seen.append(args)
+        return real(self, *args, **kw)
+
+    history.History.scan = counted
+    try:
+        work()
+    finally:
+        history.History.scan = real
+    return len(seen)
+
+
+def test_a_change_plans_one_scan_of_the_table(spark, path):
+    h = make(spark, path, [(i, i) for i in range(20)], "id long, v long", key=["id"])
+    assert scans(spark, lambda: delete_where(h, "id < 5")) == 1
+    h = load_history(spark, path)
+    assert scans(spark, lambda: update_where(h, {"v": "v + 1"}, "id < 9")) == 1
+
+
+@pytest.mark.parametrize("name", ["_row_id", "_Added_In", "_old_x"])
+def test_names_of_own_columns_are_refused(spark, path, name):
+    with pytest.raises(ValueError, match="reserved"):
+        make(spark, path, [(1,)], f"{name} long")
+    h = make(spark, path, [(1,)], "id long")
+    with pytest.raises(ValueError, match="reserved"):
+        rename_column(h, "id", name)
+    with pytest.raises(ValueError, match="reserved"):
+        add_column(h, name, "int")
+
+
+def test_values_that_would_not_survive_are_refused(spark, path):
+    h = make(spark, path, [(1, 1.0)], "id long, x float")
+    with pytest.raises(ValueError, match="cannot write"):
+        append(h, spark.createDataFrame([(2.7, 1.0)], "id double, x float"))
+    with pytest.raises(ValueError, match="cannot write"):
+        append(h, spark.createDataFrame([(2, 0.1)], "id long, x double"))

@@ -10,6 +10,7 @@ from tidemark.operators.maintenance import compact, expire, stored_rows
 from tidemark.operators.snapshots import read_at
 from tidemark.operators.writes import append, create_history, ensure_history, load_history, overwrite
 from tidemark.plans import files
+from tidemark.plans import history
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -130,9 +131,8 @@ def test_audit_counts_null_as_a_value(spark):
     assert rows(audit_values(data, "s", {"a", None})) == []
 
 
-@pytest.mark.parametrize("limit", ["1000", "0"])
-def test_pick_after_main_moved_on(spark, path, limit):
-    h = create_history(df(spark, 1, 2, 3), path, properties={"max_removed_rows": limit})
+def test_pick_after_main_moved_on(spark, path):
+    h = create_history(df(spark, 1, 2, 3), path)
     h = snap.enable_wap(h)
     h = update_where(h, {"v": "v * 10"}, "v = 2", wap_id="up")
     h = append(h, df(spark, 2))
@@ -144,9 +144,34 @@ def test_pick_after_main_moved_on(spark, path, limit):
         snap.cherrypick(h, 2)
 
 
-@pytest.mark.parametrize("limit", ["1000", "0"])
-def test_pick_of_rows_gone_meanwhile_is_a_conflict(spark, path, limit):
-    h = create_history(df(spark, 1, 2, 3), path, properties={"max_removed_rows": limit})
+@pytest.mark.parametrize("bound", [0, 5, 1000])
+@pytest.mark.parametrize("meanwhile,left", [("delete", 79), ("compact", 80)])
+def test_pick_does_not_depend_on_the_number_of_rows(spark, path, monkeypatch, bound, meanwhile, left):
+    monkeypatch.setattr(history, "MAX_BROADCAST_REMOVALS", bound)
+    h = snap.enable_wap(create_history(spark.range(0, 100, 1, 4).selectExpr("id", "id % 5 as k"), path))
+    h = delete_where(h, "k = 1", wap_id="w")
+    if meanwhile == "delete":
+        h = delete_where(h, "id = 0")
+    else:
+        h, _ = compact(h)
+    h = snap.cherrypick(h, snap.staged_snapshot_id(h, "w"))
+    assert read_at(h).count() == left
+
+
+def test_pick_of_a_staged_full_update_after_compaction(spark, path):
+    h = snap.enable_wap(create_history(df(spark, 1, 2), path))
+    h = append(h, df(spark, 3))
+    h = update_where(h, {"v": "v * 10"}, wap_id="all")
+    h, _ = compact(h)
+    h = append(h, df(spark, 4))
+    h = snap.cherrypick(h, snap.staged_snapshot_id(h, "all"))
+    assert rows(read_at(h)) == [(10,), (20,), (30,), (4,)]
+    again = delete_where(h, "v = 10")
+    assert rows(read_at(again)) == [(20,), (30,), (4,)]
+
+
+def test_pick_of_rows_gone_meanwhile_is_a_conflict(spark, path):
+    h = create_history(df(spark, 1, 2, 3), path)
     h = update_where(snap.enable_wap(h), {"v": "20"}, "v = 2", wap_id="up")
     h = delete_where(h, "v = 2")
     with pytest.raises(ValueError, match="conflict"):

@@ -1,4 +1,5 @@
 import glob
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,8 @@ from pyspark.sql import functions as F
 from conftest import rows
 from tidemark.operators import snapshots as snap
 from tidemark.operators.snapshots import read_at
-from tidemark.operators.writes import ensure_history, load_history
+from tidemark.operators.maintenance import compact, expire
+from tidemark.operators.writes import append, ensure_history, load_history
 from tidemark.sources.readers import read_stream
 from tidemark.streaming import ingest
 from tidemark.streaming.ingest import distribute, stream_append, to_sightings
@@ -121,3 +123,25 @@ def test_distribution_keeps_keys_together_but_spreads_hot_ones(spark):
     assert per_key.pop("hot") > 1 and set(per_key.values()) == {1}
     sizes = [r["count"] for r in placed.groupBy("p").count().collect()]
     assert sum(sizes) == 10_000
+
+
+def test_stream_goes_on_beside_maintenance(spark, path, tmp_path, arriving, monkeypatch):
+    """Compaction and another writer commit between the micro-batches of a running stream."""
+    stream, _ = arriving
+    h = ensure_history(spark, path, SCHEMA)
+    real, beside = ingest.distribute, []
+
+    def overtaken(*args, **kw):
+        now = load_history(spark, path)
+        if now.head() is not None and len(beside) < 2:
+            now, _ = compact(now, 1 << 20)
+            beside.append(append(now, spark.sql("select 'x' as character, 'y' as location, timestamp'2020-01-01' as event_time")))
+        return real(*args, **kw)
+
+    monkeypatch.setattr(ingest, "distribute", overtaken)
+    query = stream_append(stream, h, str(tmp_path / "checkpoint"), interval_ms=None)
+    query.awaitTermination(120)
+    assert query.exception() is None and beside
+    now, _ = expire(load_history(spark, path), older_than=datetime.now(timezone.utc))
+    assert read_at(now).count() == 20 + len(beside)
+    assert read_at(now).where("character <> 'x'").distinct().count() == 20

@@ -1,13 +1,12 @@
 """Row-level changes: update, delete and upsert.
 
-A change that hits few rows lists them as removals, which reads broadcast. One that would push the removals
-past the history's `max_removed_rows` rewrites the files it touches instead, in a pass without a shuffle for
-updates and deletes.
+Each change scans the table once and lists the keys of the rows it removes, few or many. Reads leave those rows out;
+compaction takes them out of the files.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -15,13 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.plans import files
 from tidemark.plans.fields import check_incoming, col, find, stored_name
-from tidemark.plans.history import ROW_KEY, History, batch_of, count_by_origin, stored_file
+from tidemark.plans.history import ROW_KEY, History
 
 MAX_BROADCAST_KEYS = 1_000_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-MAX_NAMED_FILES = 10_000  # files one commit lists by name
 
 _PREVIOUS = T.StructType([T.StructField("_prev_in", T.LongType()), T.StructField("_prev_id", T.LongType())])
 
@@ -50,124 +47,75 @@ class _Target:
     def live(self) -> DataFrame:
         return self.h.rows_of(self.seen, self.hits)
 
-    @property
-    def total(self) -> int:
-        return int(self.h.commits[self.head].summary["total_rows"]) if self.head is not None else 0
-
-    def emptied(self, matched: dict[int, int]) -> list[int]:
-        """Batches of which every row is matched, as far as the log alone can tell."""
+    def emptied(self, removed: dict[int, int]) -> list[int]:
+        """Batches none of whose rows are left, as far as the log alone can tell; reads need not open them."""
+        if sum(removed.values()) == self.h.total_rows(self.head):
+            return self.seen.batches
         return [
             b for b in self.seen.batches
-            if not self.hits[b] and not self.seen.dropped.get(b) and self.h.commits[b].origins == [b]
-            and matched.get(b) == int(self.h.commits[b].summary["added_rows"])
+            if not self.hits[b] and self.h.commits[b].origins == [b] and removed.get(b) == self.h.commits[b].added_rows
         ]
 
-    def few(self, matched: dict[int, int]) -> bool:
-        """Do the removals still fit the bound with the matched rows added?"""
-        listed = self.h.removed_rows(r for rs in self.hits.values() for r in rs)
-        return listed + sum(matched.values()) <= self.h.max_removed_rows
-
-    def rewrite(self, matched: dict[int, int],
-                matching: Callable[[DataFrame], DataFrame]) -> tuple[dict, DataFrame]:
-        """The rows to write again for a change, and what the commit has to say about their files.
-
-        `matching` filters rows down to those that change. Only files that hold any are rewritten, as long as
-        their names stay few enough to keep in the log; past that, the batches as a whole.
-        """
-        h, touched = self.h, self.h.holding(self.seen, matched)
-        named = h.rows_of(self.seen, self.hits, touched, extra=[stored_file().alias("_file")])
-        found = matching(named).select("_file").distinct().limit(MAX_NAMED_FILES + 1).collect()
-        names: dict[int, list[str]] = {}
-        for r in found:
-            names.setdefault(batch_of(r["_file"]), []).append(r["_file"])
-        if len(found) > MAX_NAMED_FILES:
-            whole, drops, only = touched, {}, None
-        else:
-            touched, only = list(names), [r["_file"] for r in found]
-            stored = files.count_per_folder(h.spark, {b: h.rows_path(b) for b in touched})
-            whole = [b for b in touched if len(names[b]) + len(self.seen.dropped.get(b, ())) >= stored[b]]
-            drops = {b: sorted(names[b]) for b in touched if b not in whole}
-        effect = {
-            "has_rows": True, "supersedes": whole, "drops": drops, "folded": self.seen.removals,
-            "origins": sorted(self.origins(touched)),
-        }
-        return effect, h.rows_of(self.seen, self.hits, touched, only=only)
-
-    def origins(self, batches: Sequence[int]) -> set[int]:
-        return {o for b in batches for o in self.h.commits[b].origins}
-
 
 def delete_where(h: History, cond: Column | str, *, branch: str | None = None, wap_id: str | None = None,
                  at: datetime | None = None, summary: dict[str, str] | None = None) -> History:
-    """Delete the rows for which `cond` is true; rows for which it is NULL stay."""
-    h.writable(wap_id)
-    target, cond, batch = _Target(h, branch), _condition(cond), h.next_snapshot_id
-    matching = target.live().where(cond)
+    """Delete the rows for which `cond` is true; rows for which it is NULL stay.
+
+    One scan writes the keys of the rows that go; counts are read back from that small output.
+    """
+    h = h.writable(wap_id)
+    target, batch = _Target(h, branch), h.next_snapshot_id
+    matching = target.live().where(_condition(cond))
     _require_deterministic(matching, "a delete condition")
-    matched = count_by_origin(matching.select(*ROW_KEY))
-    removed = sum(matched.values())
-    emptied = target.seen.batches if removed == target.total else target.emptied(matched)
-    gone = target.origins(emptied)
-    rest = {o: n for o, n in matched.items() if o not in gone}
-    effect: dict = {"supersedes": emptied}  # whole batches go without a row being listed or written
-    if rest and target.few(rest):
-        others = [b for b in target.seen.batches if b not in emptied]
-        h.write_removals(batch, h.rows_of(target.seen, target.hits, others).where(cond))
-        effect["removed"] = rest
-    elif rest:
-        effect, rows = target.rewrite(rest, lambda df: df.where(cond))
-        effect["supersedes"] = sorted({*emptied, *effect["supersedes"]})
-        h.write_rows(batch, rows.where(~F.coalesce(cond, F.lit(False))), keep_keys=F.lit(True))
-    return h.commit("delete", snapshot_id=batch, removed_rows=removed, spec_id=h.spec_id, branch=branch,
-                    wap_id=wap_id, at=at, summary=summary, **effect)
+    h.write_removals(batch, matching)
+    removed = h.listed(batch)
+    return h.commit("delete", snapshot_id=batch, removed_rows=sum(removed.values()), spec_id=h.spec_id, branch=branch,
+                    wap_id=wap_id, at=at, summary=summary, removed=removed, supersedes=target.emptied(removed))
 
 
 def update_where(h: History, set: dict[str, Column | str], where: Column | str | None = None, *,
                  branch: str | None = None, wap_id: str | None = None, at: datetime | None = None,
                  summary: dict[str, str] | None = None) -> History:
-    """Assign expressions over the old row to columns of every matching row."""
-    h.writable(wap_id)
+    """Assign expressions over the old row to columns of every matching row.
+
+    One scan writes the new rows beside the keys of the old ones; the keys are listed from that output.
+    """
+    h = h.writable(wap_id)
     for name in set:
         find(h.schema, name)
     new_values = {n: _condition(e) for n, e in set.items()}
     target, batch = _Target(h, branch), h.next_snapshot_id
     live = target.live()
+    options = {"spec_id": h.spec_id, "branch": branch, "wap_id": wap_id, "at": at, "summary": summary}
     if where is None:
-        # Every row changes: one pass writes the new version of all batches.
+        # Every row changes: one pass writes the new version of all batches, and no key needs listing.
         h.write_rows(batch, _assign(live, new_values))
         changed = h.written(batch).count()
-        effect = {"has_rows": changed > 0, "supersedes": target.seen.batches, "origins": [batch],
-                  "folded": target.seen.removals}
-        return h.commit("overwrite", snapshot_id=batch, added_rows=changed, removed_rows=changed, spec_id=h.spec_id,
-                        branch=branch, wap_id=wap_id, at=at, summary=summary, **effect)
-    cond = _condition(where)
-    matching = live.where(cond)
+        return h.commit("overwrite", snapshot_id=batch, added_rows=changed, removed_rows=changed, has_rows=changed > 0,
+                        supersedes=target.seen.batches, origins=[batch], folded=target.seen.removals, **options)
+    matching = live.where(_condition(where))
     _require_deterministic(matching, "an update condition")
-    matched = count_by_origin(matching.select(*ROW_KEY))
-    changed = sum(matched.values())
-    effect = {}
-    if changed and target.few(matched):
-        h.write_rows(batch, _assign(matching, new_values))
-        h.write_removals(batch, matching)
-        effect = {"has_rows": True, "removed": matched, "origins": [batch]}
-    elif changed:
-        effect, rows = target.rewrite(matched, lambda df: df.where(cond))
-        effect["origins"].append(batch)
-        rows = rows.withColumn("_hit", F.coalesce(cond, F.lit(False)))
-        h.write_rows(batch, _assign(rows, new_values, F.col("_hit")), keep_keys=~F.col("_hit"))
-    return h.commit("overwrite", snapshot_id=batch, added_rows=changed, removed_rows=changed, spec_id=h.spec_id,
-                    branch=branch, wap_id=wap_id, at=at, summary=summary, **effect)
-
-
-def _assign(df: DataFrame, values: dict[str, Column], when: Column | None = None) -> DataFrame:
-    """Set columns in one projection, so that each expression sees the old row."""
-    def new_value(name: str) -> Column:
-        if name not in values:
-            return col(name)
-        value = values[name].cast(df.schema[name].dataType)
-        return (value if when is None else F.when(when, value).otherwise(col(name))).alias(name)
+    old = [F.col(n).alias(p) for n, p in zip(ROW_KEY, _PREVIOUS.names)]
+    h.write_rows(batch, _assign(matching.select("*", *old), new_values), extra=_PREVIOUS.names)
+    removed = _list_replaced(h, batch, h.written(batch, _PREVIOUS))
+    changed = sum(removed.values())
+    return h.commit("overwrite", snapshot_id=batch, added_rows=changed, removed_rows=changed, has_rows=changed > 0,
+                    removed=removed, origins=[batch], supersedes=target.emptied(removed), **options)
 
-    return df.select(*[new_value(n) for n in df.columns])
+
+def _list_replaced(h: History, batch: int, written: DataFrame) -> dict[int, int]:
+    """List the keys of the rows that a batch just written replaces."""
+    replaced = written.where(F.col("_prev_in").isNotNull()).select(
+        F.col("_prev_in").alias("_added_in"), F.col("_prev_id").alias("_row_id"))
+    h.write_removals(batch, replaced)
+    return h.listed(batch)
+
+
+def _assign(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Set columns in one projection, so that each expression sees the old row."""
+    return df.select(*[
+        values[n].cast(df.schema[n].dataType).alias(n) if n in values else col(n) for n in df.columns
+    ])
 
 
 @dataclass(frozen=True)
@@ -184,7 +132,7 @@ def upsert(h: History, src: DataFrame, key: Sequence[str] | None = None, *, bran
 
     Source keys must be unique and not NULL. An upsert that changes nothing makes no snapshot.
     """
-    h.writable(wap_id)
+    before, h = h, h.writable(wap_id)
     check_incoming(h.schema, src)
     key = list(key or h.key)
     if not key:
@@ -199,24 +147,14 @@ def upsert(h: History, src: DataFrame, key: Sequence[str] | None = None, *, bran
     h.write_rows(batch, _classified(target.live(), src, key, h.schema, _fits(total, key_bytes)), extra=_PREVIOUS.names)
     stored_key = [T.StructField(stored_name(f), f.dataType) for f in (find(h.schema, n) for n in key)]
     written = h.written(batch, T.StructType(_PREVIOUS.fields + stored_key))
-    replaced = written.where(F.col("_prev_in").isNotNull()).select(
-        F.col("_prev_in").alias("_added_in"), F.col("_prev_id").alias("_row_id")
-    )
-    matched = count_by_origin(replaced)
-    removed, added = sum(matched.values()), _count_written(written, [f.name for f in stored_key])
-    counts = UpsertCounts(inserted=added - removed, updated=removed, unchanged=total - added)
+    removed = _list_replaced(h, batch, written)
+    updated, added = sum(removed.values()), _count_written(written, [f.name for f in stored_key])
+    counts = UpsertCounts(inserted=added - updated, updated=updated, unchanged=total - added)
     if not added:
-        return h, counts
-    effect: dict = {"has_rows": True, "origins": [batch]}
-    if removed and target.few(matched):
-        h.write_removals(batch, replaced)
-        effect["removed"] = matched
-    elif removed:
-        effect, rows = target.rewrite(matched, lambda df: df.join(replaced, ROW_KEY, "left_semi"))
-        effect["origins"].append(batch)
-        h.write_rows(batch, rows.join(replaced, ROW_KEY, "left_anti"), keep_keys=F.lit(True), mode="append")
-    new = h.commit("overwrite" if removed else "append", snapshot_id=batch, added_rows=added, removed_rows=removed,
-                   spec_id=h.spec_id, branch=branch, wap_id=wap_id, at=at, summary=summary, **effect)
+        return before, counts
+    new = h.commit("overwrite" if updated else "append", snapshot_id=batch, added_rows=added, removed_rows=updated,
+                   spec_id=h.spec_id, branch=branch, wap_id=wap_id, at=at, summary=summary, has_rows=True,
+                   origins=[batch], removed=removed, supersedes=target.emptied(removed))
     return new, counts
 
 

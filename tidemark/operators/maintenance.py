@@ -6,7 +6,6 @@ import operator
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 from datetime import datetime, timezone
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,7 +118,7 @@ def compact(h: History, target_bytes: int | None = None, *, branch: str | None =
     if not chosen or settled:
         return h, CompactCounts(before.files, before.files, before.bytes, 0)
 
-    h.writable()
+    h = h.writable()
     batch = h.next_snapshot_id
     rows = h.rows_of(seen, hits, chosen)
     kept = rows.count()
@@ -168,7 +167,6 @@ class ExpireCounts:
     expired_snapshots: int
     deleted_batches: int
     deleted_removals: int
-    deleted_files: int  # of batches that otherwise stay
 
 
 def expire(h: History, older_than: datetime, retain_last: int = 1) -> tuple[History, ExpireCounts]:
@@ -185,46 +183,34 @@ def expire(h: History, older_than: datetime, retain_last: int = 1) -> tuple[Hist
     keep = {s for s, c in alive.items() if datetime.fromisoformat(c.committed_at) >= older_than}
     for head in h.refs.values():
         keep.update([s for s in h.lineage(head) if s in alive][-retain_last:])
-    rows, removals, unread = _needed(h, keep)
+    rows, removals = _needed(h, keep)
 
     changed: dict[int, Commit] = {s: replace(c, expired=True) for s, c in alive.items() if s not in keep}
     old_rows = [s for s, c in h.commits.items() if c.has_rows and not c.rows_gone and s not in rows]
     old_removals = [s for s, c in h.commits.items() if c.removed and not c.removals_gone and s not in removals]
-    old_files = {b: names.difference(h.commits[b].files_gone) for b, names in unread.items()}
     for s in old_rows:
         changed[s] = replace(changed.get(s, h.commits[s]), rows_gone=True)
     for s in old_removals:
         changed[s] = replace(changed.get(s, h.commits[s]), removals_gone=True)
-    for s, names in old_files.items():
-        if names:
-            changed[s] = replace(changed.get(s, h.commits[s]), files_gone=sorted(unread[s]))
     # The log goes first: if this stops half way, files are left over but no snapshot misses any.
     new = h.save(list(changed.values())) if changed else h
     for s in old_rows:
         files.delete(h.spark, h.rows_path(s))
     for s in old_removals:
         files.delete(h.spark, h.removals_path(s))
-    for s, names in old_files.items():
-        for name in names:  # as Spark reports paths, escaped once more than on disk
-            files.delete(h.spark, f"{h.rows_path(s)}/{unquote(name.split('/', 1)[1])}")
-    return new, ExpireCounts(len(alive) - len(keep), len(old_rows), len(old_removals),
-                             sum(map(len, old_files.values())))
+    return new, ExpireCounts(len(alive) - len(keep), len(old_rows), len(old_removals))
 
 
-def _needed(h: History, keep: set[int]) -> tuple[set[int], set[int], dict[int, set[str]]]:
-    """Batches and removals some kept snapshot reads, and files of those batches that none reads."""
+def _needed(h: History, keep: set[int]) -> tuple[set[int], set[int]]:
+    """Batches and removals that some kept snapshot reads."""
     rows: set[int] = set()
     removals: set[int] = set()
-    unread: dict[int, set[str]] = {}
     for s in keep:
         seen = h.visible(s)
-        for b in seen.batches:
-            dropped = seen.dropped.get(b, set())
-            unread[b] = unread[b] & dropped if b in rows else set(dropped)
         rows.update(seen.batches)
         for hits in h.removals_of(seen).values():
             removals.update(hits)
-    return rows, removals, {b: names for b, names in unread.items() if names}
+    return rows, removals
 
 
 def stored_rows(h: History) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from dataclasses import replace
 from datetime import datetime
 
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.fields import col
-from tidemark.plans.history import ROW_KEY, History
+from tidemark.plans.history import RESERVED_FACTS, ROW_KEY, History, Visible
 
 SNAPSHOT_COLUMNS = (
     "snapshot_id long, parent_id long, committed_at timestamp, operation string, summary map<string,string>"
@@ -156,36 +155,39 @@ def cherrypick(h: History, snapshot_id: int, branch: str | None = None, *, at: d
         raise ValueError(f"{branch!r} has snapshot {snapshot_id} already")
     if picked.parent_id == head:
         return h.save(moves=[(branch, snapshot_id)], at=at)
-    _check_conflicts(h, head, picked.parent_id, source)
-    facts = {k: v for k, v in picked.summary.items() if not k.endswith("_rows") and k != "wap.id"}
+    if picked.operation == "replace":
+        raise ValueError(f"snapshot {snapshot_id} is a compaction; it changes no rows to publish")
+    h = h.writable()
+    batch, now, then = h.next_snapshot_id, h.visible(head), h.visible(picked.parent_id)
+    effect = {}
+    if source.removed:
+        gone, origins = h.read_removals([source.snapshot_id]), set(source.removed)
+    else:
+        # A full update or overwrite lists no keys; what it removed is all that its base showed.
+        gone = h.rows_of(then, h.removals_of(then), source.supersedes).select(*ROW_KEY)
+        origins = {o for b in source.supersedes for o in h.commits[b].origins}
+        if source.supersedes:
+            h.write_removals(batch, gone)
+            effect["removed"] = h.listed(batch)
+    _check_conflicts(h, now, then, gone, origins)
+    facts = {k: v for k, v in picked.summary.items() if k not in RESERVED_FACTS}
     return h.commit(
-        picked.operation, snapshot_id=h.next_snapshot_id, branch=branch, at=at, source=source,
-        added_rows=int(picked.summary["added_rows"]), removed_rows=int(picked.summary["removed_rows"]),
-        summary={**facts, "source_snapshot_id": str(snapshot_id)},
+        picked.operation, snapshot_id=batch, branch=branch, at=at, source=source, picked=snapshot_id,
+        added_rows=picked.added_rows, removed_rows=picked.removed_rows, summary=facts, **effect,
     )
 
 
-def _check_conflicts(h: History, head: int | None, base: int | None, source) -> None:
-    now, then = h.visible(head), h.visible(base)
+def _check_conflicts(h: History, now: Visible, then: Visible, gone: DataFrame, origins: set[int]) -> None:
+    """Rows that a picked snapshot removes must be live on the branch; decided by their keys, whatever holds them."""
+    held = h.holding(then, origins)
     new_removals = set(now.removals) - set(then.removals)
-
-    def changed_since(batches: Iterable[int]) -> bool:
-        batches = set(batches)
-        origins = {o for b in batches for o in h.commits[b].origins}
-        return (
-            not batches <= set(now.batches)
-            or any(now.dropped.get(b) != then.dropped.get(b) for b in batches)
-            or any(not origins.isdisjoint(h.commits[r].removed) for r in new_removals)
-        )
-
-    if changed_since([*source.supersedes, *source.drops]):
-        raise ValueError("conflict: files the snapshot rewrites were changed on the branch meanwhile")
-    if source.removed and changed_since(h.holding(then, source.removed)):
-        gone = h.read_removals([source.snapshot_id])
-        alive = h.rows_of(now, h.removals_of(now), h.holding(now, source.removed)).select(*ROW_KEY)
-        lost = gone.join(alive, ROW_KEY, "left_anti").limit(1).count()
-        if lost:
-            raise ValueError("conflict: rows the snapshot removes are no longer live on the branch")
+    untouched = set(held) <= set(now.batches) and not any(
+        not origins.isdisjoint(h.commits[r].removed) for r in new_removals)
+    if untouched:
+        return  # the log alone tells
+    alive = h.rows_of(now, h.removals_of(now), h.holding(now, origins)).select(*ROW_KEY)
+    if not gone.join(alive, ROW_KEY, "left_anti").isEmpty():
+        raise ValueError("conflict: rows the snapshot removes are no longer live on the branch")
 
 
 def set_properties(h: History, values: dict[str, str]) -> History:

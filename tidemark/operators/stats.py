@@ -27,7 +27,7 @@ def _by_spec(h: History, branch: str | None) -> dict[int, DataFrame]:
     for b in seen.batches:
         batches.setdefault(h.commits[b].spec_id, []).append(b)
     return {
-        s: h.scan(s, members, dropped={n for b in members for n in seen.dropped.get(b, ())}, extra=_file_columns())
+        s: h.scan(s, members, extra=_file_columns())
         for s, members in sorted(batches.items())
     }
 

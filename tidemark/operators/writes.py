@@ -63,7 +63,7 @@ def load_history(spark: SparkSession, path: str) -> History:
 def append(h: History, df: DataFrame, *, branch: str | None = None, wap_id: str | None = None,
            at: datetime | None = None, summary: dict[str, str] | None = None) -> History:
     """Append rows, matching columns by name. Nullable columns the input lacks become NULL."""
-    h.writable(wap_id)
+    h = h.writable(wap_id)
     check_incoming(h.schema, df)
     h.head(branch)
     batch = h.next_snapshot_id
@@ -87,13 +87,13 @@ def insert_positional(h: History, df: DataFrame, **options) -> History:
 def overwrite(h: History, df: DataFrame, *, branch: str | None = None, wap_id: str | None = None,
               at: datetime | None = None, summary: dict[str, str] | None = None) -> History:
     """Replace all rows. The old ones stay readable at earlier snapshots and none is listed one by one."""
-    h.writable(wap_id)
+    h = h.writable(wap_id)
     check_incoming(h.schema, df)
     head = h.head(branch)
     batch = h.next_snapshot_id
     h.write_rows(batch, df)
     added = h.written(batch).count()
-    before = int(h.commits[head].summary["total_rows"]) if head is not None else 0
+    before = h.total_rows(head)
     seen = h.visible(head)
     return h.commit("overwrite", snapshot_id=batch, added_rows=added, removed_rows=before, spec_id=h.spec_id,
                     has_rows=added > 0, origins=[batch], supersedes=seen.batches, folded=seen.removals,

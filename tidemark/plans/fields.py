@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 _INTEGERS = [T.ByteType, T.ShortType, T.IntegerType, T.LongType]
 _NUMBERS = (*_INTEGERS, T.FloatType, T.DoubleType, T.DecimalType)
+_OWN_NAMES = ("_added_in", "_row_id", "_removed_in", "_prev_in", "_prev_id", "_found", "_keep", "_n")
 
 
 def col(name: str) -> Column:
@@ -31,9 +32,17 @@ def make_field(fid: int, name: str, dtype: T.DataType, nullable: bool = True, co
     return T.StructField(name, dtype, nullable, meta)
 
 
+def check_name(name: str) -> None:
+    """Names that the library's own columns have cannot be user columns."""
+    if name.lower() in _OWN_NAMES or name.lower().startswith("_old_"):
+        raise ValueError(f"column name {name!r} is reserved")
+
+
 def number_fields(schema: T.StructType, first_id: int = 1, keep_required: bool = True) -> T.StructType:
     """Give every field of an outside schema its id."""
     names = [f.name for f in schema]
+    for n in names:
+        check_name(n)
     if len({n.lower() for n in names}) != len(names):
         raise ValueError(f"column names are not unique: {names}")
     return T.StructType([
@@ -64,10 +73,10 @@ def _shape(dtype: T.DataType) -> str:
 
 
 def can_store(src: T.DataType, dst: T.DataType) -> bool:
-    """May a value of `src` be written to a `dst` column? Numbers are range-checked at run time."""
-    if _shape(src) == _shape(dst) or isinstance(src, T.NullType):
+    """May a value of `src` be written to a `dst` column unchanged? Integers are range-checked at run time."""
+    if _shape(src) == _shape(dst) or isinstance(src, T.NullType) or can_widen(src, dst):
         return True
-    return isinstance(src, _NUMBERS) and isinstance(dst, _NUMBERS)
+    return type(src) in _INTEGERS and isinstance(dst, _NUMBERS)
 
 
 def store_value(value: Column, field: T.StructField) -> Column:

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+class BehindLog(RuntimeError):
+    """Another writer has moved a history on since it was loaded."""
+
+
 def _fs(spark: SparkSession, path: str):
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm_path
@@ -30,7 +34,7 @@ def write_new_text(spark: SparkSession, path: str, text: str) -> None:
     fs, target = _fs(spark, path)
     _, draft = _fs(spark, f"{os.path.dirname(path)}/.draft-{uuid.uuid4().hex}")
     if fs.exists(target):
-        raise RuntimeError(f"{path} exists already: another writer moved this history on")
+        raise BehindLog(f"{path} exists already: another writer moved this history on")
     out = fs.create(draft, False)
     try:
         out.write(bytearray(text, "utf-8"))
@@ -38,7 +42,7 @@ def write_new_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
     if fs.exists(target) or not fs.rename(draft, target):
         fs.delete(draft, False)
-        raise RuntimeError(f"{path} exists already: another writer moved this history on")
+        raise BehindLog(f"{path} exists already: another writer moved this history on")
 
 
 def data_files(spark: SparkSession, paths: list[str], pattern: str = "*.parquet") -> DataFrame:

@@ -2,19 +2,22 @@
 
 Data on shared storage, below one folder:
 
-* ``rows/spec=<s>/batch=<n>/``: rows written by snapshot n. Columns ``_added_in`` (snapshot that first
+* ``rows/spec=<s>/batch=<n>/attempt=<a>/``: rows written by snapshot n; each attempt to write one has a folder of its
+  own, so a writer that is refused in the end has touched nothing that counts. Columns ``_added_in`` (snapshot that first
   wrote the row) and ``_row_id`` identify a row for ever; user columns are stored as ``f<field id>``.
-* ``removals/batch=<n>/``: the (``_added_in``, ``_row_id``) pairs snapshot n removed.
+* ``removals/batch=<n>/attempt=<a>/``: the (``_added_in``, ``_row_id``) pairs snapshot n removed.
 * ``log/<version>.json``: what each change added to commits, refs, ref log and schema.
 
 A snapshot shows the batches its ancestors wrote, less those a later ancestor replaced, less the removed
-rows. Removals stay few (``max_removed_rows``), so reads broadcast them; larger changes rewrite the files
-they touch instead, which leaves reads free of any join.
+rows. Every update, delete and upsert lists the keys of the rows it removes, however many they are, so what a later
+operation sees of it does not depend on size. Reads broadcast removals whose counted rows are few and leave other
+joins to Spark; ``compact`` takes removed rows out of the files.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime, timezone
@@ -27,7 +30,8 @@ from tidemark.plans import files, partitioning
 from tidemark.plans.fields import col, field_id, store_value, stored_name
 
 ROW_KEY = ["_added_in", "_row_id"]
-MAX_REMOVED_ROWS = 1_000_000  # about 100 MB as a broadcast hash table
+MAX_BROADCAST_REMOVALS = 1_000_000  # about 100 MB as a hash table; decides the join alone
+RESERVED_FACTS = ("added_rows", "removed_rows", "total_rows", "wap.id", "source_snapshot_id")
 
 _KEY_SCHEMA = T.StructType([T.StructField(n, T.LongType()) for n in ROW_KEY])
 
@@ -46,13 +50,15 @@ class Commit:
     has_rows: bool = False
     removed: dict[int, int] = field(default_factory=dict)  # _added_in -> rows listed in its removals
     supersedes: list[int] = field(default_factory=list)  # batches its own batch stands in for
-    drops: dict[int, list[str]] = field(default_factory=dict)  # batch -> files its own batch stands in for
     origins: list[int] = field(default_factory=list)  # _added_in values its batch may hold
     folded: list[int] = field(default_factory=list)  # removals its batch has applied already
     expired: bool = False
     rows_gone: bool = False  # expiry has deleted its batch
     removals_gone: bool = False
-    files_gone: list[str] = field(default_factory=list)  # files of its batch that expiry has deleted
+    added_rows: int = 0
+    removed_rows: int = 0
+    total_rows: int = 0  # what the snapshot shows
+    attempt: str = ""  # folder of its files below its batch
 
 
 @dataclass(frozen=True)
@@ -61,7 +67,6 @@ class Visible:
 
     batches: list[int]
     removals: list[int]
-    dropped: dict[int, set[str]] = field(default_factory=dict)  # files of the batches that do not count
 
 
 @dataclass(frozen=True)
@@ -81,6 +86,7 @@ class History:
     refs: dict[str, int | None]
     ref_log: list[dict] = field(repr=False)
     branch: str = "main"  # default of reads and writes made through this object
+    attempt: str = field(default="", repr=False, compare=False)  # folder of what is being written
 
     # -- log ------------------------------------------------------------------------------------
 
@@ -100,8 +106,7 @@ class History:
         for line in lines:
             head = json.loads(line["value"])
             for raw in head.pop("commits"):
-                for name in ("removed", "drops"):
-                    raw[name] = {int(k): v for k, v in raw[name].items()}
+                raw["removed"] = {int(k): v for k, v in raw["removed"].items()}
                 commits[raw["snapshot_id"]] = Commit(**raw)
             ref_log += head.pop("ref_log")
         head["schema"] = T.StructType.fromJson(head["schema"])
@@ -141,17 +146,26 @@ class History:
 
     def commit(self, operation: str, *, snapshot_id: int, added_rows: int = 0, removed_rows: int = 0,
                branch: str | None = None, wap_id: str | None = None, at: datetime | None = None,
-               summary: dict[str, str] | None = None, source: Commit | None = None, **effect) -> History:
-        """Record a snapshot on a branch head, or staged beside it when `wap_id` is given."""
+               summary: dict[str, str] | None = None, source: Commit | None = None, picked: int | None = None,
+               **effect) -> History:
+        """Record a snapshot on a branch head, or staged beside it when `wap_id` is given.
+
+        Row counts are fields of the commit; its summary repeats them for readers and is never read back.
+        """
+        taken = sorted(set(RESERVED_FACTS).intersection(summary or {}))
+        if taken:
+            raise ValueError(f"summary keys {taken} are reserved")
         branch = branch or self.branch
         parent = self.head(branch)
-        before = int(self.commits[parent].summary["total_rows"]) if parent is not None else 0
+        total_rows = self.total_rows(parent) + added_rows - removed_rows
         facts = {
+            **(summary or {}),
             "added_rows": str(added_rows),
             "removed_rows": str(removed_rows),
-            "total_rows": str(before + added_rows - removed_rows),
-            **(summary or {}),
+            "total_rows": str(total_rows),
         }
+        if picked is not None:
+            facts["source_snapshot_id"] = str(picked)
         if wap_id is not None:
             facts["wap.id"] = wap_id
         new = Commit(
@@ -161,17 +175,25 @@ class History:
             committed_at=_iso(at),
             operation=operation,
             summary=facts,
+            added_rows=added_rows,
+            removed_rows=removed_rows,
+            total_rows=total_rows,
+            attempt=self.attempt,
             **effect,
         )
         moves = [] if wap_id is not None else [(branch, snapshot_id)]
         return self.save([new], moves, at)
 
-    def writable(self, wap_id: str | None = None) -> None:
-        """Called before any file is written: a writer behind the log must not touch a newer batch."""
+    def total_rows(self, snapshot_id: int | None) -> int:
+        return self.commits[snapshot_id].total_rows if snapshot_id is not None else 0
+
+    def writable(self, wap_id: str | None = None) -> History:
+        """This history with a fresh folder to write to. A writer that is behind the log already is refused."""
         if wap_id is not None and self.properties.get("wap.enabled") != "true":
             raise ValueError("staging under a wap_id needs enable_wap(h) first")
         if files.exists(self.spark, self._log_file(self.version + 1)):
-            raise RuntimeError(f"another writer moved the history at {self.path} on; load it again")
+            raise files.BehindLog(f"another writer moved the history at {self.path} on; load it again")
+        return replace(self, attempt=uuid.uuid4().hex)
 
     def _log_file(self, version: int) -> str:
         return f"{self.path}/log/{version:010d}.json"
@@ -201,20 +223,20 @@ class History:
         return self.commits[self.commits[snapshot_id].source_id]
 
     def visible(self, snapshot_id: int | None) -> Visible:
-        batches: dict[int, set[str]] = {}
+        batches: dict[int, None] = {}
         removals: list[int] = []
         for s in self.lineage(snapshot_id):
-            c = self.source_of(s)
+            c, source = self.commits[s], self.source_of(s)
+            # Batches are replaced as a whole on the line they were replaced on. A picked snapshot removes rows by
+            # their keys: those its source listed, or those it listed itself.
             for b in c.supersedes:
                 batches.pop(b, None)
-            for b, names in c.drops.items():
-                if b in batches:
-                    batches[b] = batches[b].union(names)
-            if c.has_rows:
-                batches[c.snapshot_id] = set()
-            if c.removed:
-                removals.append(c.snapshot_id)
-        return Visible(list(batches), removals, {b: names for b, names in batches.items() if names})
+            if source.has_rows:
+                batches[source.snapshot_id] = None
+            listed = c if c.removed else source
+            if listed.removed:
+                removals.append(listed.snapshot_id)
+        return Visible(list(batches), removals)
 
     def removals_of(self, seen: Visible) -> dict[int, list[int]]:
         """Per visible batch, the removals that may hit its rows."""
@@ -237,18 +259,17 @@ class History:
     def removed_rows(self, removals: Iterable[int]) -> int:
         return sum(sum(self.commits[r].removed.values()) for r in set(removals))
 
-    @property
-    def max_removed_rows(self) -> int:
-        return int(self.properties.get("max_removed_rows", MAX_REMOVED_ROWS))
-
     # -- files ----------------------------------------------------------------------------------
 
     def rows_path(self, batch: int, spec_id: int | None = None) -> str:
         spec_id = self.commits[batch].spec_id if spec_id is None else spec_id
-        return f"{self.path}/rows/spec={spec_id}/batch={batch}"
+        return f"{self.path}/rows/spec={spec_id}/batch={batch}/attempt={self._attempt(batch)}"
 
     def removals_path(self, batch: int) -> str:
-        return f"{self.path}/removals/batch={batch}"
+        return f"{self.path}/removals/batch={batch}/attempt={self._attempt(batch)}"
+
+    def _attempt(self, batch: int) -> str:
+        return self.commits[batch].attempt if batch in self.commits else self.attempt
 
     def spec(self, spec_id: int) -> list[tuple[str, T.StructField]]:
         by_id = {field_id(f): f for f in self.schema}
@@ -260,12 +281,10 @@ class History:
 
     # -- reads ----------------------------------------------------------------------------------
 
-    def scan(self, spec_id: int, batches: list[int], prune: Prune | None = None, dropped: Iterable[str] = (),
-             only: Iterable[str] | None = None, extra: Iterable[Column] = ()) -> DataFrame:
+    def scan(self, spec_id: int, batches: list[int], prune: Prune | None = None, extra: Iterable[Column] = ()) -> DataFrame:
         """Rows of batches that share a partition spec, under their current column names.
 
-        Files in `dropped` are left out and, if given, none but those in `only` are read; Spark applies both
-        to the file listing. `extra` may add columns of the scan itself, such as the file a row is in.
+        `extra` may add columns of the scan itself, such as the file a row is in.
         """
         spec = self.spec(spec_id)
         schema = T.StructType(
@@ -277,14 +296,10 @@ class History:
             ]
         )
         df = (
-            self.spark.read.schema(schema.add("batch", T.LongType()))
+            self.spark.read.schema(schema.add("batch", T.LongType()).add("attempt", T.StringType()))
             .option("basePath", f"{self.path}/rows/spec={spec_id}")
             .parquet(*[self.rows_path(b) for b in batches])
         )
-        if dropped:
-            df = df.where(~stored_file().isin(sorted(dropped)))
-        if only is not None:
-            df = df.where(stored_file().isin(sorted(only)))
         for transform, f in spec:
             bound = prune(transform, f, F.col(self._partition_name(transform, f))) if prune else None
             if bound is not None:
@@ -298,21 +313,18 @@ class History:
         return self.spark.read.schema(_KEY_SCHEMA).parquet(*paths)
 
     def rows_of(self, seen: Visible, hits: dict[int, list[int]], batches: Iterable[int] | None = None,
-                prune: Prune | None = None, only: Iterable[str] | None = None,
-                extra: Iterable[Column] = ()) -> DataFrame:
+                prune: Prune | None = None) -> DataFrame:
         """Live rows with their row keys, of some or all visible batches. Batches no removal hits are not joined."""
-        extra = list(extra)
-        groups: dict[tuple[int, bool, bool], list[int]] = {}
+        groups: dict[tuple[int, bool], list[int]] = {}
         for b in seen.batches if batches is None else batches:
-            groups.setdefault((self.commits[b].spec_id, b in seen.dropped, bool(hits.get(b))), []).append(b)
+            groups.setdefault((self.commits[b].spec_id, bool(hits.get(b))), []).append(b)
         parts = []
-        for (spec_id, _, dirty), members in sorted(groups.items()):
-            dropped = {name for b in members for name in seen.dropped.get(b, ())}
-            df = self.scan(spec_id, members, prune, dropped, only, extra)
+        for (spec_id, dirty), members in sorted(groups.items()):
+            df = self.scan(spec_id, members, prune)
             if dirty:
                 ids = {r for b in members for r in hits[b]}
                 gone = self.read_removals(ids)
-                if self.removed_rows(ids) <= self.max_removed_rows:
+                if self.removed_rows(ids) <= MAX_BROADCAST_REMOVALS:
                     gone = F.broadcast(gone)
                 df = df.join(gone, ROW_KEY, "left_anti")
             parts.append(df)
@@ -334,8 +346,7 @@ class History:
     # -- writes ---------------------------------------------------------------------------------
 
     def write_rows(self, batch: int, df: DataFrame, *, keep_keys: Column | None = None,
-                   extra: Iterable[str] = (), mode: str = "overwrite",
-                   files_wanted: int | None = None, rows_total: int | None = None,
+                   extra: Iterable[str] = (), files_wanted: int | None = None, rows_total: int | None = None,
                    target_bytes: int | None = None) -> None:
         """Write rows into a batch folder under the current spec.
 
@@ -370,9 +381,7 @@ class History:
         def write(rows: DataFrame) -> None:
             writer = (
                 rows.select(added.alias("_added_in"), row_id.alias("_row_id"), *extra, *stored, *parts)
-                .write.mode(mode)
-                .partitionBy(*parts)
-                .option("partitionOverwriteMode", "static")
+                .write.partitionBy(*parts)
             )
             if files_wanted and rows_total and not parts:
                 writer = writer.option("maxRecordsPerFile", -(-rows_total // files_wanted))
@@ -397,11 +406,13 @@ class History:
     def write_removals(self, batch: int, keys: DataFrame) -> None:
         (
             keys.select(*ROW_KEY, F.lit(batch).cast("long").alias("_removed_in"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "static")
-            .parquet(self.removals_path(batch))
+            .write.parquet(self.removals_path(batch))
         )
 
+    def listed(self, batch: int) -> dict[int, int]:
+        """What was just listed for removal, counted by `_added_in`."""
+        return count_by_origin(self.spark.read.schema(_KEY_SCHEMA).parquet(self.removals_path(batch)))
+
 
 # Given (transform, field, partition column), a filter on that column or None.
 Prune = Callable[[str, T.StructField, Column], Column | None]
@@ -414,16 +425,6 @@ def _iso(at: datetime | None) -> str:
     return at.astimezone(timezone.utc).isoformat(timespec="microseconds")
 
 
-def stored_file() -> Column:
-    """The file a scanned row is in, as <batch>/<path below the batch folder>."""
-    return F.substring_index(F.col("_metadata.file_path"), "/batch=", -1)
-
-
-def batch_of(name: str) -> int:
-    """The batch a `stored_file` belongs to."""
-    return int(name.split("/", 1)[0])
-
-
 def count_by_origin(keys: DataFrame) -> dict[int, int]:
     """Rows per `_added_in`: one small line per snapshot that wrote any of them."""
     return {r["_added_in"]: r["n"] for r in keys.groupBy("_added_in").agg(F.count("*").alias("n")).collect()}

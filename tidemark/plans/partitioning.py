@@ -70,6 +70,10 @@ def with_partitions(df: DataFrame, spec: Sequence[tuple[str, str]], names: Seque
     })
 
 
+#: Partitions that a sized write begins with at most; larger data then comes out in larger files.
+MAX_PARTITIONS = 20_000
+
+
 def write_gathered(df: DataFrame, names: Sequence[str], write: Callable[[DataFrame], None],
                    target_bytes: int | None = None) -> None:
     """Bring rows of one partition value together, then write, without making a hot value one task.
@@ -86,6 +90,11 @@ def write_gathered(df: DataFrame, names: Sequence[str], write: Callable[[DataFra
     if target_bytes:
         settings["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = str(target_bytes)
         settings["spark.sql.adaptive.coalescePartitions.parallelismFirst"] = "false"
+        # Adaptive execution merges small partitions but cannot cut one map task's share, so begin with enough of them.
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        wanted = min(max(default, -(-size // target_bytes)), MAX_PARTITIONS)
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(wanted)
     with session_settings(df.sparkSession, settings):
         write(df.hint("rebalance", *names))
 

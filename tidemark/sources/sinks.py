@@ -29,27 +29,21 @@ def write_partitioned(df: DataFrame, path: str, spec: Sequence[tuple[str, str]],
     write_gathered(out, names, lambda rows: rows.write.mode(mode).partitionBy(*names).parquet(path))
 
 
-def write_sized(df: DataFrame, path: str, target_bytes: int, mode: str = "error",
-                input_bytes: int | None = None) -> int:
-    """Write Parquet in about ceil(input bytes / target) files and return that number.
+def write_sized(df: DataFrame, path: str, target_bytes: int, mode: str = "error") -> int:
+    """Write Parquet in files near `target_bytes` and return how many there are.
 
-    The input size is that of the files `df` reads unless given. Splits are merged and large files cut by
-    row count; nothing is shuffled.
+    Rows are rebalanced by their size as they come out of the plan, so joins, filters and computed rows count as
+    what they are; the plan runs once.
     """
-    if input_bytes is None:
-        _, input_bytes = files.size_of(df.sparkSession, df.inputFiles(), "*")
-    n = max(1, -(-input_bytes // target_bytes))
-    rows = df.count()
-    (
-        df.coalesce(n).write.mode(mode)
-        .option("maxRecordsPerFile", max(1, -(-rows // n)))
-        .parquet(path)
-    )
-    return n
+    write_gathered(df, [], lambda rows: rows.write.mode(mode).parquet(path), target_bytes)
+    return files.size_of(df.sparkSession, [path])[0]
 
 
 def write_json_arrays(df: DataFrame, path: str, mode: str = "error") -> None:
-    """Write files that each hold one JSON array, a file per partition."""
+    """Write files that each hold one JSON array, a file per partition.
+
+    Spark has no writer for such files; lines are joined batch by batch in Python.
+    """
     def as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opener = "["
         for batch in batches:

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.writes import append, load_history
 from tidemark.plans.fields import col
+from tidemark.plans.files import BehindLog
 from tidemark.plans.history import History
 
 
@@ -49,7 +50,8 @@ def stream_append(sdf: DataFrame, h: History, checkpoint: str, *, stream_id: str
     """Append every micro-batch of a stream to a history exactly once.
 
     Each batch is one snapshot that carries the stream's and the batch's id; a batch that is delivered again
-    after a restart is found by them and skipped. `interval_ms=None` takes what is there and stops.
+    after a restart is found by them and skipped. Where the branch has moved on, by compaction or another writer, the
+    batch is appended to what it is now. `interval_ms=None` takes what is there and stops.
     """
     spark, path, branch = sdf.sparkSession, h.path, branch or h.branch
     state = {"h": load_history(spark, path)}
@@ -68,11 +70,16 @@ def stream_append(sdf: DataFrame, h: History, checkpoint: str, *, stream_id: str
         batch = batch.persist()
         try:
             rows = distribute(batch, parallelism, key)
-            state["h"] = append(state["h"], rows, branch=branch,
-                                summary={"stream_id": stream_id, "batch_id": str(batch_id)})
+            facts = {"stream_id": stream_id, "batch_id": str(batch_id)}
+            while batch_id not in committed:
+                try:
+                    state["h"] = append(state["h"], rows, branch=branch, summary=facts)
+                    committed.add(batch_id)
+                except BehindLog:  # maintenance or another writer; an append fits on any head
+                    state["h"] = load_history(spark, path)
+                    committed.update(done(state["h"]))
         finally:
             batch.unpersist()
-        committed.add(batch_id)
 
     trigger = {"availableNow": True} if interval_ms is None else {"processingTime": f"{interval_ms} milliseconds"}
     return (

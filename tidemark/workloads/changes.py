@@ -184,3 +184,16 @@ def tip_per_mile(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_extendedprice", "l_tax", kind.alias("kind"),
         F.when(finite, tip).alias("tip_per_mile"),
     )
+
+
+@query("""
+SELECT o_orderkey, o_totalprice FROM orders WHERE NOT coalesce(o_orderstatus = 'F', false)
+UNION ALL SELECT -o_orderkey, o_totalprice FROM orders
+WHERE o_totalprice > 100000 AND NOT coalesce(o_orderstatus = 'F', false)
+""")
+def append_with_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts come from the commits, not from what a user notes in a summary."""
+    orders = table(spark, sf_dir, "orders")
+    more = orders.where("o_totalprice > 100000").withColumn("o_orderkey", -F.col("o_orderkey"))
+    h = append(history_of(spark, sf_dir, "orders"), more, summary={"rows": "2", "note": "night run"})
+    return read_at(delete_where(h, "o_orderstatus = 'F'")).select("o_orderkey", "o_totalprice")

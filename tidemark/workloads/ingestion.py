@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.maintenance import compact
 from tidemark.operators.snapshots import read_at
 from tidemark.operators.writes import ensure_history, load_history
 from tidemark.plans.files import work_path
@@ -60,3 +61,9 @@ def stream_then_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_at(_run(spark, sf_dir)).groupBy("location").agg(
         F.count("*").alias("n"), F.countDistinct("character").alias("characters")
     )
+
+
+@query(_SIGHTINGS_SQL)
+def stream_then_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h, _ = compact(_run(spark, sf_dir))
+    return _naive(read_at(h))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import snapshots as snap
 from tidemark.operators.analytics import group_count
 from tidemark.operators.audit import audit_values
+from tidemark.operators.maintenance import compact
 from tidemark.operators.changes import delete_where
 from tidemark.operators.snapshots import read_at
 from tidemark.operators.writes import append, create_history
@@ -72,6 +73,23 @@ def wap_publish_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts(read_at(snap.cherrypick(h, snap.staged_snapshot_id(h, SESSION))))
 
 
+@query(_KEPT)
+def wap_publish_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compaction between staging and publishing moves the rows to other files but changes none."""
+    h, _ = compact(_staged(spark, sf_dir))
+    return _counts(read_at(snap.cherrypick(h, snap.staged_snapshot_id(h, SESSION))))
+
+
+@query("""
+SELECT event_type, count(*) AS permit_cnt FROM events
+WHERE event_type IS DISTINCT FROM 'error' AND event_type IS DISTINCT FROM 'view' GROUP BY event_type
+""")
+def wap_publish_other_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A delete of other rows meanwhile is no conflict."""
+    h = delete_where(_staged(spark, sf_dir), "event_type = 'view'")
+    return _counts(read_at(snap.cherrypick(h, snap.staged_snapshot_id(h, SESSION))))
+
+
 @query(_KEPT)
 def branch_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts(read_at(_branched(spark, sf_dir), branch="etl_job_42"))
