@@ -132,7 +132,7 @@ def _fit_task(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
     else:
         at = np.flatnonzero(held)
         p = [predict(weights, slots[i], earlier[i].tolist()) for i in at]
-        yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy()[at], "p": p, "weights": [None] * len(at)})
+        yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy()[at], "p": p, "weights": pd.Series([None] * len(at), dtype=object)})
 
 
 def train_chain(
