@@ -34,9 +34,9 @@ ORDER = 3
 LEAST_COUNT = 2
 SHARD_ENTRIES = 1_000_000
 #: Decoded shards a worker keeps, in bytes.
-DECODED_BYTES = 160 << 20
+DECODED_BYTES = 64 << 20
 #: Tokens that are looked up together.
-BATCH_TOKENS = 400_000
+BATCH_TOKENS = 1_000_000
 #: Steps of one power of ten in a quantised probability; 16 bits reach down to 1e-31.
 STEPS = 2048
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))  # no word is empty
@@ -151,6 +151,12 @@ def _decoded() -> _Decoded:
     return _Decoded()
 
 
+def _keys(node: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Context node and word id in one unsigned number, of those n-grams that have both."""
+    ok = (node >= 0) & (word >= 0)
+    return (node[ok].astype(np.uint64) << np.uint64(32)) | word[ok].astype(np.uint64)
+
+
 class Level:
     """The shards of a level, in order: first key, first rank, path of the keys, path of the values."""
 
@@ -191,9 +197,16 @@ class Level:
         hit &= children[np.minimum(at, len(children) - 1)] == want
         return np.where(hit, at + base, _MISSING)
 
+    def ranks_of(self, node: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Rank of each n-gram of a context node and a word id; -1 where either is missing."""
+        out = np.full(len(node), _MISSING, np.int64)
+        ok = np.flatnonzero((node >= 0) & (word >= 0))
+        out[ok] = self.ranks(_keys(node[ok], word[ok]))
+        return out
+
     def look_up(self, field: str, ranks: np.ndarray) -> np.ndarray:
-        """Values of these ranks; those of missing ones are undefined."""
-        out = np.zeros(len(ranks), np.float64)
+        """Values of these ranks; those of missing ones are 0."""
+        out = np.zeros(len(ranks), np.int64)
         shard = np.searchsorted(self.base, ranks, "right") - 1
         for i in np.unique(shard[ranks >= 0]).tolist():
             at = np.flatnonzero((shard == i) & (ranks >= 0))
@@ -201,29 +214,52 @@ class Level:
         return out
 
 
-def _texts(frames: Iterator[pd.DataFrame], start: bool) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
-    """Chunks of whole documents: (rows, word hashes with the end token, number of tokens of each document)."""
-    before, after = np.array([START][: int(start)], np.uint64), np.array([END], np.uint64)
+def _chunks(frames: Iterator[pd.DataFrame], column: str, read) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """Whole documents, about BATCH_TOKENS tokens at a time: their rows, and what `read` makes of the column."""
     for frame in frames:
-        rows, hashes, size = [], [], 0
-        for k, text in enumerate(frame["text"]):
-            h = word_hashes(words_of(text, lower=True))
-            hashes.append(np.concatenate([before, h, after]))
+        rows, parts, size = [], [], 0
+        for k, value in enumerate(frame[column]):
+            parts.append(read(value))
             rows.append(k)
-            size += len(h) + 1
+            size += len(parts[-1])
             if size >= BATCH_TOKENS:
-                yield frame.iloc[rows], np.concatenate(hashes), np.array([len(x) for x in hashes])
-                rows, hashes, size = [], [], 0
+                yield frame.iloc[rows], parts
+                rows, parts, size = [], [], 0
         if rows:
-            yield frame.iloc[rows], np.concatenate(hashes), np.array([len(x) for x in hashes])
+            yield frame.iloc[rows], parts
+
+
+def _token_hashes(text: str | None) -> np.ndarray:
+    """Hashes of the words, and the end token."""
+    return np.append(word_hashes(words_of(text, lower=True)), END)
+
+
+def _count_words(frames) -> Iterator[pd.DataFrame]:
+    for _, parts in _chunks(frames, "text", _token_hashes):
+        words, n = np.unique(np.concatenate(parts), return_counts=True)
+        yield pd.DataFrame({"key": words.view(np.int64), "n": n})
 
 
-def _ids(level: Level, h: np.ndarray) -> np.ndarray:
-    """Word ids; the start symbol's is one more than any word's, an unknown word's is -1."""
-    distinct, back = np.unique(h, return_inverse=True)
-    ids = level.ranks(distinct)
-    ids[distinct == START] = level.base[-1]
-    return ids[back]
+def _to_ids(level: Level):
+    def run(frames) -> Iterator[pd.DataFrame]:
+        for rows, parts in _chunks(frames, "text", _token_hashes):
+            distinct, back = np.unique(np.concatenate(parts), return_inverse=True)
+            ids = level.ranks(distinct).astype(np.int32)[back]
+            cuts = np.cumsum([len(p) for p in parts])[:-1]
+            yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "held_out": rows["held_out"].to_numpy(), "ids": np.split(ids, cuts)})
+    return run
+
+
+def _id_chunks(frames, start: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, ids with the start symbol's before each document, where documents start, number of their tokens)."""
+    before = np.array([start], np.int64)
+    for rows, parts in _chunks(frames, "ids", lambda v: np.asarray(v, np.int64)):
+        ids = np.concatenate([x for p in parts for x in (before, p)])
+        sizes = np.array([len(p) for p in parts])
+        at = np.r_[0, np.cumsum(sizes + 1)[:-1]]
+        first = np.zeros(len(ids), bool)
+        first[at] = True
+        yield rows, ids, first, sizes
 
 
 def _grow(levels: list[Level], ids: np.ndarray, first: np.ndarray, last: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -235,36 +271,45 @@ def _grow(levels: list[Level], ids: np.ndarray, first: np.ndarray, last: int) ->
     for k in range(3, last + 1):
         # the context of an order-k n-gram is the order-(k-1) n-gram that ends one place earlier
         known = np.full(len(ids), _MISSING, np.int64)
-        word = ids[place]
-        ok = (node >= 0) & (word >= 0)
-        keys = (node[ok].astype(np.uint64) << np.uint64(32)) | word[ok].astype(np.uint64)
-        known[place[ok]] = levels[k - 2].ranks(keys)
+        known[place] = levels[k - 2].ranks_of(node, ids[place])
         place = place[~first[place - 1]]
         node = known[place - 1]
         yield k, place, node
 
 
-def _count_words(frames) -> Iterator[pd.DataFrame]:
-    for _, h, _ in _texts(frames, False):
-        words, n = np.unique(h, return_counts=True)
-        yield pd.DataFrame({"word": words.view(np.int64), "n": n})
-
-
 def _count(levels: list[Level], order: int):
     def run(frames) -> Iterator[pd.DataFrame]:
-        for _, h, sizes in _texts(frames, True):
-            first = np.zeros(len(h), bool)
-            first[np.r_[0, np.cumsum(sizes)[:-1]]] = True
-            ids = _ids(levels[0], h)
+        for _, ids, first, _ in _id_chunks(frames, int(levels[0].base[-1])):
             for k, place, node in _grow(levels, ids, first, order):
                 if k == order:
-                    ok = (node >= 0) & (ids[place] >= 0)
-                    keys = (node[ok].astype(np.uint64) << np.uint64(32)) | ids[place][ok].astype(np.uint64)
-                    keys, n = np.unique(keys, return_counts=True)
+                    keys, n = np.unique(_keys(node, ids[place]), return_counts=True)
                     yield pd.DataFrame({"key": keys.view(np.int64), "n": n})
     return run
 
 
+def _summed(counts: DataFrame, least: int, name: str) -> tuple[DataFrame, float]:
+    """(key, n) with at least `least`, and the discount from the numbers of keys seen once and twice.
+
+    Counts are added up per partition of keys, after the batches of the tasks have been added up in themselves.
+    """
+    def run(frames) -> Iterator[pd.DataFrame]:
+        frames = list(frames)
+        if not frames:
+            return
+        keys, back = np.unique(np.concatenate([f["key"].to_numpy() for f in frames]), return_inverse=True)
+        n = np.bincount(back, weights=np.concatenate([f["n"].to_numpy() for f in frames])).astype(np.int64)
+        keep = n >= least
+        yield pd.DataFrame({"key": keys[keep], "n": n[keep], "one": 0, "two": 0})
+        yield pd.DataFrame({"key": [0], "n": [0], "one": [(n == 1).sum()], "two": [(n == 2).sum()]})
+
+    out = written(counts.repartition("key").mapInPandas(run, "key long, n long, one long, two long"), name)
+    seen = out.where("n = 0").agg(F.sum("one").alias("one"), F.sum("two").alias("two")).first()
+    cut = min(0.95, max(0.1, seen["one"] / (seen["one"] + 2 * seen["two"]))) if seen["one"] else 0.5
+    kept = out.where("n > 0").select("key", "n")
+    kept.work_path = out.work_path
+    return kept, cut
+
+
 def _write_keys(folder: str, hashes: bool):
     def run(frames):
         keys = np.concatenate([np.empty(0, np.int64), *[f["key"].to_numpy() for f in frames]]).view(np.uint64)
@@ -316,96 +361,82 @@ def _write_values(folder: str, with_counts: bool):
     return run
 
 
-def train(docs: DataFrame, order: int = ORDER, least_count: int = LEAST_COUNT) -> dict:
-    """Count, smooth and write the levels of a model over all rows of `docs`.
+def train(docs: DataFrame, order: int = ORDER, least_count: int = LEAST_COUNT) -> tuple[dict, DataFrame]:
+    """Count, smooth and write the levels of a model over the rows of `docs` that are not held out.
 
-    The result is small: paths and first keys of the shards, totals, and the weight of unknown words.
+    Returns the model, which is small (paths and first keys of the shards, totals, a few weights), and the ids of all
+    documents' tokens, -1 for unknown words.
     """
     folder = work_path(docs.sparkSession, "lm-levels")
-    texts = docs.select("text")
-    counts = [written(
-        texts.mapInPandas(_count_words, "word long, n long").groupBy(F.col("word").alias("key")).agg(F.sum("n").alias("n")),
-        "lm-words")]
-    levels = [_level(counts[0], folder, True)]
-    kept, contexts = [counts[0]], []
-    for k in range(2, order + 1):
-        raw = written(texts.mapInPandas(_count(levels, k), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-ngrams")
-        cut = _discount(raw)
-        node = F.shiftrightunsigned("key", 32)
-        contexts.append((cut, written(raw.groupBy(node.alias("node")).agg(
-            F.sum("n").alias("total"),
-            F.sum(F.when(F.col("n") >= least_count, F.col("n") - cut)).alias("mass")), "lm-contexts")))
-        keep = written(raw.where(F.col("n") >= least_count), "lm-kept")
-        dropped(raw)
-        kept.append(keep)
-        levels.append(_level(keep, folder, False))
-    facts = counts[0].agg(F.sum("n").alias("tokens"), F.count("*").alias("words")).first()
+    counts, cut = _summed(docs.where("NOT held_out").select("text").mapInPandas(_count_words, "key long, n long"), 1, "lm-words")
+    facts = counts.agg(F.sum("n").alias("tokens"), F.count("*").alias("words")).first()
     tokens, words = facts["tokens"] or 0, facts["words"]
-    cut = _discount(counts[0])
+    levels, kept, cuts = [_level(counts, folder, True)], [counts], [cut]
+    ids = written(docs.mapInPandas(_to_ids(levels[0]), "doc_id long, held_out boolean, ids array<int>"), "lm-ids")
+    training = ids.where("NOT held_out").select("ids")
+    for k in range(2, order + 1):
+        counts, cut = _summed(training.mapInPandas(_count(levels, k), "key long, n long"), least_count, "lm-ngrams")
+        kept.append(counts)
+        cuts.append(cut)
+        levels.append(_level(counts, folder, False))
+    node = F.shiftrightunsigned("key", 32).alias("node")
+    # mass that a context's kept n-grams take; its n-grams are as many as it has occurrences, as each is followed by one
+    masses = [written(kept[k].groupBy(node).agg((F.sum("n") - F.lit(cuts[k]) * F.count("*")).alias("mass")), "lm-masses")
+              for k in range(1, order)]
+    start, parents = 1.0, None
     for k in range(order):
-        rows = _ranked(kept[k], levels[k], *(["n"] if k == 0 else ["key", "n"]))
+        rows = written(_ranked(kept[k], levels[k], "key", "n"), "lm-ranks")
         if k == 0:
-            rows = rows.withColumn("share", (F.col("n") - cut) / F.lit(float(max(1, tokens))))
+            shares = rows.withColumn("share", (F.col("n") - cuts[0]) / F.lit(float(max(1, tokens))))
         else:
-            own_cut, of = contexts[k - 1]
-            rows = rows.withColumn("node", F.shiftrightunsigned("key", 32)).join(of, "node")
-            rows = rows.select("rank", "shard", "n", ((F.col("n") - own_cut) / F.col("total")).alias("share"))
+            of = parents.select(F.col("rank").alias("node"), F.col("n").alias("total"))
+            if k == 1:
+                n_docs = training.count()
+                of = of.unionByName(of.sparkSession.createDataFrame([(int(levels[0].base[-1]), n_docs)], "node long, total long"))
+                row = masses[0].where(F.col("node") == int(levels[0].base[-1])).first()
+                start = 1 - row["mass"] / n_docs if row else 1.0
+            shares = rows.withColumn("node", node).join(of, "node").withColumn("share", (F.col("n") - cuts[k]) / F.col("total"))
         if k < order - 1:
-            nxt = contexts[k][1].select(F.col("node").alias("rank"), (1 - F.coalesce("mass", F.lit(0.0)) / F.col("total")).alias("back"))
-            rows = rows.join(nxt, "rank", "left")
+            shares = shares.join(masses[k].withColumnRenamed("node", "rank"), "rank", "left")
+            back = 1 - F.coalesce("mass", F.lit(0.0)) / F.col("n")
         else:
-            rows = rows.withColumn("back", F.lit(1.0))
-        rows = rows.select("rank", "shard", "n", "share", F.coalesce("back", F.lit(1.0)).alias("back"))
-        found = written(by_group(rows, ["shard"], _write_values(folder, k == 0), "shard int, path string", "rank"), "lm-values")
+            back = F.lit(1.0)
+        shares = shares.select("rank", "shard", "n", "share", back.alias("back"))
+        found = written(by_group(shares, ["shard"], _write_values(folder, k == 0), "shard int, path string", "rank"), "lm-values")
         levels[k].values = [r["path"] for r in sorted(found.collect(), key=lambda r: r["shard"])]
-        dropped(found)
-    start = {}
-    if order > 1:  # the start symbol is a context without an entry of its own
-        row = contexts[0][1].where(F.col("node") == int(levels[0].base[-1])).first()
-        start = {"back": 1 - (row["mass"] or 0.0) / row["total"]} if row else {}
-    dropped(*kept, *[c for _, c in contexts])
-    return {"levels": levels, "tokens": tokens, "words": words, "unknown": cut * words / max(1, tokens) if tokens else 1.0,
-            "start": start.get("back", 1.0)}
-
-
-def _discount(counts: DataFrame) -> float:
-    """Share of one count that goes to the back-off, from the numbers of n-grams seen once and twice."""
-    r = counts.agg(F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).first()
-    return min(0.95, max(0.1, r["one"] / (r["one"] + 2 * r["two"]))) if r["one"] else 0.5
+        dropped(found, *([parents] if parents is not None else []))
+        parents = rows
+    dropped(parents, *kept, *masses)
+    unknown = cuts[0] * words / tokens if tokens else 1.0
+    return {"levels": levels, "tokens": tokens, "words": words, "unknown": unknown, "start": start}, ids
 
 
 def _score(model: dict):
     levels, tokens, words = model["levels"], model["tokens"], model["words"]
+    start = int(levels[0].base[-1])
 
     def run(frames) -> Iterator[pd.DataFrame]:
-        for rows, h, sizes in _texts(frames, True):
-            at = np.r_[0, np.cumsum(sizes)[:-1]]
-            first = np.zeros(len(h), bool)
-            first[at] = True
-            ids = _ids(levels[0], h)
+        for rows, ids, first, sizes in _id_chunks(frames, start):
             known = (ids >= 0) & ~first
-            count = np.where(known, levels[0].look_up("count", np.where(known, ids, _MISSING)), 0.0)
-            p = np.where(known, levels[0].look_up("share", np.where(known, ids, _MISSING)), 0.0)
-            p = np.where(known, np.maximum(_VALUES[p.astype(np.int64)], 1e-31), model["unknown"])
-            lower, lower_rank = levels[0], np.where(ids < levels[0].base[-1], ids, _MISSING)
+            rank = np.where(known, ids, _MISSING)
+            count = np.where(known, levels[0].look_up("count", rank), 0)
+            p = np.where(known, _VALUES[levels[0].look_up("share", rank)], model["unknown"])
+            p = np.maximum(p, 1e-31)
             for k, place, node in _grow(levels, ids, first, len(levels)):
                 # back-off weight of the context, which is an entry one level below
-                back = _VALUES[lower.look_up("back", np.where(node < lower.base[-1], node, _MISSING)).astype(np.int64)]
-                back = np.where(node == levels[0].base[-1], model["start"], back) if k == 2 else back
-                ok = (node >= 0) & (ids[place] >= 0)
-                keys = (node[ok].astype(np.uint64) << np.uint64(32)) | ids[place][ok].astype(np.uint64)
-                rank = np.full(len(place), _MISSING, np.int64)
-                rank[ok] = levels[k - 1].ranks(keys)
-                share = np.where(rank >= 0, _VALUES[levels[k - 1].look_up("share", rank).astype(np.int64)], 0.0)
+                below = levels[k - 2]
+                back = _VALUES[below.look_up("back", np.where(node < below.base[-1], node, _MISSING))]
+                back = np.where(node == start, model["start"], back) if k == 2 else back
+                found = levels[k - 1].ranks_of(node, ids[place])
+                share = np.where(found >= 0, _VALUES[levels[k - 1].look_up("share", found)], 0.0)
                 p[place] = np.where(node >= 0, share + back * p[place], p[place])
-                lower = levels[k - 1]
-            base = np.log10((count + 1) / (tokens + words + 1))
-            base[first] = 0
+            at = np.flatnonzero(first)
+            base = np.where(first, 0, np.log10((count + 1) / (tokens + words + 1)))
             logs = np.where(first, 0, np.log10(np.where(first, 1, p)))
             yield pd.DataFrame({
-                "doc_id": rows["doc_id"].to_numpy(), "held_out": rows["held_out"].to_numpy(),
-                "n_tokens": sizes - 1, "n_known": np.add.reduceat((known & (count > 0)).astype(np.int64), at),
-                "train_tokens": tokens, "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(logs, at)})
+                "doc_id": rows["doc_id"].to_numpy(), "held_out": rows["held_out"].to_numpy(), "n_tokens": sizes,
+                "n_known": np.add.reduceat((known & (count > 0)).astype(np.int64), at), "train_tokens": tokens,
+                "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(logs, at)})
     return run
 
 
@@ -418,8 +449,8 @@ def score_texts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     docs = docs.select("doc_id", "text", held.alias("held_out"))
-    model = train(docs.where("NOT held_out"), order)
-    return docs.mapInPandas(
+    model, ids = train(docs, order)
+    return ids.mapInPandas(
         _score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
         "base_score double, score double")
 
