@@ -67,15 +67,6 @@ def size_of(spark: SparkSession, paths: list[str], pattern: str = "*.parquet") -
     return row["files"], row["bytes"]
 
 
-def count_per_folder(spark: SparkSession, folders: dict[int, str]) -> dict[int, int]:
-    """Parquet files below each batch folder."""
-    if not folders:
-        return {}
-    batch = F.regexp_extract("path", r"/batch=(\d+)/", 1).cast("int").alias("batch")
-    found = data_files(spark, list(folders.values())).groupBy(batch).count().collect()
-    return {**dict.fromkeys(folders, 0), **{r["batch"]: r["count"] for r in found}}
-
-
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder named by spark.checkpoint.dir.
 
