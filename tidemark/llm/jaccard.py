@@ -1,19 +1,23 @@
 """Exact n-gram Jaccard self-join with signature trees.
 
 Texts become sets of hashed word n-grams. Equal sets are one class, and only a class's first document goes on.
-Trees over all documents at once would not fit a task, so classes are first dealt into clusters no link can leave:
+Trees over all documents at once would not fit a task, so classes are first dealt into clusters that hold every link:
 a set is cut into hash buckets, one more than the largest symmetric difference that two linked sets of its size can
-have (plus a few for empty buckets), so two linked sets agree in a whole bucket. Sets that share a bucket, directly
-or through others, form a cluster. In each cluster a signature tree is bulk-loaded: a node holds the OR of its
-sets' token bitmaps and their range of sizes. A dual traversal drops pairs of nodes whose largest possible overlap
-is too small for a link, or which a single component holds already, and counts the overlap of what is left exactly.
-
-A cluster of many documents is cut into blocks; its first document goes to each block. Documents that this does
-not connect to the main part are then compared, block by block, with all others of the cluster.
+have (plus a few for empty buckets), so two linked sets agree in a whole bucket. Of the sets that share a bucket the
+first is its hub, and a hub's cluster is all sets of its buckets; both sets of a link are in the cluster of any bucket
+they share. In each cluster a signature tree is bulk-loaded: a node holds the OR of its sets' token bitmaps and their
+range of sizes. A dual traversal drops pairs of nodes whose largest possible overlap is too small for a link, or which
+a single component holds already, and counts the overlap of what is left exactly.
+
+A cluster of very many documents is cut into bands of sizes: linked sets lie in the same band or in neighbouring ones,
+so each document goes to its own band and, as a guest, to the next. A band that is still too large for a tree is cut
+into blocks, and its first document goes to each. Documents that this does not connect to the main part are then
+compared, block by block, with all others of the band.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +33,7 @@ from tidemark.llm.registry import query
 
 SHINGLE_WORDS, NUM, DEN = 5, 80, 100
 #: Documents, and shingles of theirs, that one tree holds.
-BLOCK_DOCS, BLOCK_SHINGLES = 2_000, 4_000_000
+BLOCK_DOCS, BLOCK_SHINGLES = 4_000, 6_000_000
 BITS, FAN_OUT = 1024, 8
 
 
@@ -178,17 +182,20 @@ def _sets(frames, n: int, num: int, den: int):
 
 
 def _tree_of(frame: pd.DataFrame, n: int, num: int, den: int) -> Iterator[pd.DataFrame]:
-    """Links within one block of a cluster, as an edge from each document to the smallest it is connected with."""
+    """Links within one block of a band, as an edge from each document to the smallest it is connected with.
+
+    Two guests are left to their own band.
+    """
     frame = frame.drop_duplicates("doc_id").sort_values("doc_id")
-    ids = frame["doc_id"].to_numpy()
+    ids, guest = frame["doc_id"].to_numpy(), frame["guest"].to_numpy()
     tree = SignatureTree([shingle_set(t, n) for t in frame["text"]])
-    tree.join(num, den)
+    tree.join(num, den, (lambda i, j: guest[i] and guest[j]) if guest.any() else None)
     roots = np.array([tree.find(i) for i in range(len(ids))])
-    yield pd.DataFrame({"cluster": frame["cluster"].to_numpy(), "a": ids[roots], "b": ids})
+    yield pd.DataFrame({"a": ids[roots], "b": ids})
 
 
 def _rest_of(frame: pd.DataFrame, n: int, num: int, den: int) -> Iterator[pd.DataFrame]:
-    """Links between a share of the unconnected documents and one block of their cluster."""
+    """Links between a share of the unconnected documents and one block of their band."""
     frame = frame.sort_values(["asks", "doc_id"], ascending=[False, True]).drop_duplicates("doc_id").sort_values("doc_id")
     ids, asks = frame["doc_id"].to_numpy(), frame["asks"].to_numpy()
     first = {}
@@ -197,7 +204,7 @@ def _rest_of(frame: pd.DataFrame, n: int, num: int, den: int) -> Iterator[pd.Dat
     tree = SignatureTree([shingle_set(t, n) for t in frame["text"]], [first[r] for r in frame["root"]])
     tree.join(num, den, lambda i, j: not (asks[i] or asks[j]))
     roots = np.array([tree.find(i) for i in range(len(ids))])
-    yield pd.DataFrame({"cluster": frame["cluster"].to_numpy(), "a": ids[roots], "b": ids})
+    yield pd.DataFrame({"a": ids[roots], "b": ids})
 
 
 def ngram_jaccard_join(
@@ -211,70 +218,75 @@ def ngram_jaccard_join(
     have a null component_id and link with nothing; repeated rows each give a row; an empty table gives none.
     """
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    sets = written(docs.mapInPandas(
+    keyed_sets = written(docs.mapInPandas(
         lambda frames: _sets(frames, words, num, den),
         "doc_id long, text_key long, n long, c1 long, c2 long, keys array<long>"), "shingle-sets")
+    sets = written(keyed_sets.drop("keys"), "sets")
     named = sets.where("doc_id IS NOT NULL AND n > 0")
     classes = written(named.groupBy("c1", "c2").agg(
         F.min("doc_id").alias("first"), F.min_by("text_key", F.struct("doc_id", "text_key")).alias("text_key"),
         F.first("n").alias("n")), "set-classes")
 
-    keyed = named.select("c1", F.explode("keys").alias("key"))
+    keyed = keyed_sets.where("doc_id IS NOT NULL").select("c1", F.explode("keys").alias("key"))
     hubs = written(
         keyed.groupBy("key").agg(F.min("c1").alias("hub"), F.max("c1").alias("last"))
         .where("hub < last").drop("last"), "bucket-hubs")
     near = written(keyed.join(hubs, "key").where("c1 > hub").select("hub", "c1").distinct(), "shared-buckets")
-    clusters = components(near, "hub", "c1")
-    member = classes.join(clusters, classes["c1"] == clusters["id"]).select(
-        F.col("component").alias("cluster"), F.col("first").alias("doc_id"), "text_key", "n")
+    hub = F.col("hub").alias("cluster")
+    placed = near.select(hub, "c1").unionByName(near.select(hub, F.col("hub").alias("c1")).distinct())
+    member = classes.join(placed, "c1").select("cluster", F.col("first").alias("doc_id"), "text_key", "n")
     member = written(member, "cluster-members")
-    blocks = member.groupBy("cluster").agg(
-        F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).alias("blocks"),
-        F.min("doc_id").alias("hub"))
-    dropped(hubs, near)
+    dropped(keyed_sets, hubs, near)
+    texts = written(docs.join(member.select("doc_id", "text_key").distinct(), ["doc_id", "text_key"]), "cluster-texts")
+
+    # bands of the large clusters; the one band of any other has the cluster's own name
+    large = member.groupBy("cluster").agg((F.count("*") > block_docs).alias("large"))
+    height = F.floor(F.log("n") / math.log(den / num)).cast("long")
+    member = member.join(large, "cluster").withColumn("height", F.when(F.col("large"), height).otherwise(0))
+    named_band = lambda up: F.when(F.col("large"), F.xxhash64("cluster", F.col("height") + up)).otherwise(F.col("cluster"))
+    own = member.withColumn("band", named_band(0)).withColumn("guest", F.lit(False))
+    guests = member.where("large").withColumn("band", named_band(1)).withColumn("guest", F.lit(True))
+    bands = own.groupBy("band").agg(F.min("doc_id").alias("hub"))
+    rows = written(own.unionByName(guests).select("band", "large", "guest", "doc_id", "text_key", "n").join(bands, "band"), "bands")
+    sizes = written(rows.groupBy("band").agg(
+        F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).alias("blocks")), "band-sizes")
+    rows = rows.join(sizes, "band")
 
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    dealt = member.join(blocks, "cluster").withColumn(
+    dealt = rows.withColumn(
         "block", F.explode(F.when(F.col("doc_id") == F.col("hub"), every).otherwise(F.array(block))))
-    dealt = docs.join(dealt, ["doc_id", "text_key"]).select("cluster", "block", "blocks", "doc_id", "text")
-    schema = "cluster long, a long, b long"
-    found = written(by_group(dealt, ["cluster", "block"], lambda g: _tree_of(g, words, num, den), schema), "links")
-
-    many = written(member.join(blocks.where("blocks > 1"), "cluster"), "large-clusters")
-    labels = found.select(F.col("b").alias("doc_id"), F.col("a").alias("component"))
-    if not many.isEmpty():
-        labels = _large_clusters(docs, found, many, words, num, den)
+    dealt = texts.join(dealt, ["doc_id", "text_key"]).select("band", "block", "guest", "doc_id", "text")
+    found = by_group(dealt, ["band", "block"], lambda g: _tree_of(g, words, num, den), "a long, b long")
+    edges = written(found.where("a <> b").select("a", "b").distinct(), "links")
+    split = written(rows.where("blocks > 1"), "split-bands")
+    if not split.isEmpty():
+        edges = edges.unionByName(_between_blocks(texts, edges, split, words, num, den))
+    labels = components(edges)
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), "c1", "c2").join(
         classes.select("c1", "c2", "first"), ["c1", "c2"], "left")
-    out = out.join(labels.select(F.col("doc_id").alias("first"), "component"), "first", "left")
+    out = out.join(labels.select(F.col("id").alias("first"), "component"), "first", "left")
     linked = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "first"))
     return out.select("doc_id", "n_shingles", F.coalesce(linked, "doc_id").alias("component_id"))
 
 
-def _large_clusters(docs, found, many, words, num, den) -> DataFrame:
-    """(doc_id, component) of all clusters, after the blocks of large ones have been compared with each other."""
-    of_many = many.select("cluster").distinct()
-    edges = written(found.join(of_many, "cluster"), "block-links")
+def _between_blocks(texts: DataFrame, edges: DataFrame, split: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between the blocks of split bands, beyond those that already connect their documents."""
     known = components(edges)
-    lone = many.join(known, many["doc_id"] == known["id"], "left").withColumn("root", F.coalesce("component", "doc_id"))
-    lone = lone.select("cluster", "blocks", "hub", "doc_id", "text_key", "root")
-    hub_root = lone.where("doc_id = hub").select("cluster", F.col("root").alias("main"))
-    marked = written(lone.join(hub_root, "cluster").withColumn("rest", F.col("root") != F.col("main")), "block-roots")
-    shares = marked.where("rest").groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("shares"))
-    both = marked.join(shares, "cluster")
+    lone = split.join(known, split["doc_id"] == known["id"], "left").select(
+        "band", "blocks", "hub", "doc_id", "text_key", F.coalesce("component", "doc_id").alias("root"))
+    main = lone.where("doc_id = hub").select("band", F.col("root").alias("main")).distinct()
+    marked = written(lone.join(main, "band").withColumn("rest", F.col("root") != F.col("main")), "block-roots")
+    shares = marked.where("rest").groupBy("band").agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("shares"))
+    both = marked.join(shares, "band")
     block, share = F.pmod(F.xxhash64("doc_id"), F.col("blocks")), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("shares"))
     to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     asking = both.where("rest").withColumn("share", share).withColumn("block", to("blocks")).withColumn("asks", F.lit(True))
     asked = both.withColumn("block", block).withColumn("share", to("shares")).withColumn("asks", F.lit(False))
-    rows = docs.join(asking.unionByName(asked), ["doc_id", "text_key"])
-    rows = rows.select("cluster", "block", "share", "doc_id", "text", "root", "asks")
-    more = by_group(
-        rows, ["cluster", "block", "share"], lambda g: _rest_of(g, words, num, den), "cluster long, a long, b long")
-    all_known = components(edges.unionByName(written(more, "rest-links")))
-    small = found.join(of_many, "cluster", "left_anti")
-    return small.select(F.col("b").alias("doc_id"), F.col("a").alias("component")).unionByName(
-        all_known.select(F.col("id").alias("doc_id"), "component"))
+    rows = texts.join(asking.unionByName(asked), ["doc_id", "text_key"])
+    rows = rows.select("band", "block", "share", "doc_id", "text", "root", "asks")
+    more = by_group(rows, ["band", "block", "share"], lambda g: _rest_of(g, words, num, den), "a long, b long")
+    return written(more.where("a <> b").distinct(), "rest-links")
 
 
 @query("op1_ngram_jaccard_join")
