@@ -36,7 +36,7 @@ SHARD_ENTRIES = 1_000_000
 #: Decoded shards a worker keeps, in bytes.
 DECODED_BYTES = 64 << 20
 #: Tokens that are looked up together.
-BATCH_TOKENS = 1_000_000
+BATCH_TOKENS = 500_000
 #: Steps of one power of ten in a quantised probability; 16 bits reach down to 1e-31.
 STEPS = 2048
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))  # no word is empty
