@@ -10,9 +10,12 @@ order, many equal sequences at a time. Every piece then finds its place from its
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 from struct import pack
 
 import numpy as np
@@ -30,8 +33,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Rows of one (length, bucket) group that are ranked together; a frequent length is spread over its buckets.
 RANKED_ROWS = 2_000
-#: Distinct words a task keeps the ids of; past it the memory starts anew.
-KNOWN_WORDS = 1_000_000
+#: Distinct words a worker keeps the ids of; past it the older half stays, where the frequent words are.
+KNOWN_WORDS = 500_000
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
@@ -39,10 +42,22 @@ PIECES = T.StructType([
 ])
 
 
+#: A word of Latin letters, perhaps with a full stop or comma: one or two pre-tokens whatever stands around it.
+_PLAIN = re.compile(r"([a-zà-öø-ÿ]+)([.,]?)")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: itself where printable, else one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
 class WordIds:
-    """Token ids of texts for a tokenizer that drops white space: each distinct word is encoded once.
+    """Token ids of texts for a byte-level tokenizer that lowers case and drops white space, word by word.
 
-    Ids are little-endian unsigned 32-bit integers in a row.
+    Each distinct word is encoded once; plain ones go to the merge model directly, as neither normalisation nor
+    pre-tokenisation changes them. Ids are little-endian unsigned 32-bit integers in a row.
     """
 
     def __init__(self, path: str):
@@ -50,20 +65,33 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
+        self.marks = {m: self._packed(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ".,"} | {"": b""}
         self.known: dict[bytes, bytes] = {}
 
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        plain = _PLAIN.fullmatch(text.lower())
+        if not plain:
+            return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        stem = plain[1] if plain[1].isascii() else "".join([self.letters[b] for b in plain[1].encode()])
+        return self._packed([t.id for t in self.merge(stem)]) + self.marks[plain[2]]
+
     def __call__(self, text: str | None) -> bytes:
         words = words_of(text, lower=text is not None and "<|" not in text)  # special tokens are case-sensitive
         parts = list(map(self.known.get, words))
         if None not in parts:
             return b"".join(parts)
         if len(self.known) > KNOWN_WORDS:
-            self.known = {}
-            parts = [None] * len(words)
-        new = list({w for w, p in zip(words, parts) if p is None})
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        for w, e in zip(new, found):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+            self.known = dict(islice(self.known.items(), KNOWN_WORDS // 2))
+            parts = list(map(self.known.get, words))
+        for w in {w for w, p in zip(words, parts) if p is None}:
+            self.known[w] = self._word(w)
         return b"".join([self.known[w] if p is None else p for w, p in zip(words, parts)])
 
 
@@ -96,26 +124,37 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, li
     """Patterns (how many sequences, lengths in each) that use every counted length exactly.
 
     `counts` maps a length to its number of pieces; the work depends on the number of distinct lengths alone.
-    Lengths are hashed to themselves: `left[n]` is what is still available of length n, so the pairs of a sum are
-    one look-up of all candidate halves, and a triple is a single and the pairs of what it leaves.
+    Lengths are hashed to themselves: `left[n]` is what is still available of length n. The pairs of a sum are where
+    the set of available lengths meets its own mirror image, and a triple is a single and the pairs of what it leaves.
     """
-    left = np.zeros(capacity + 1, np.int64)
+    left = [0] * (capacity + 1)
+    have = mirror = 0  # available lengths as bits, and the same seen from the other end
     for n, c in counts.items():
-        left[n] = c
+        if c > 0:
+            left[n] = c
+            have |= 1 << n
+            mirror |= 1 << (capacity - n)
     out: list[tuple[int, list[int]]] = []
 
     def take(*parts: int) -> None:
+        nonlocal have, mirror
         kinds = set(parts)
-        times = min(int(left[p]) // parts.count(p) for p in kinds)
+        times = min(left[p] // parts.count(p) for p in kinds)
         if times:
             out.append((times, list(parts)))
             for p in kinds:
                 left[p] -= times * parts.count(p)
-
-    def pairs(total: int) -> list[tuple[int, int]]:
-        """Available pairs of this sum, the most uneven ones last, which leaves small pieces for later gaps."""
-        low = np.arange(max(1, total - capacity), total // 2 + 1)
-        return [(total - int(n), int(n)) for n in low[(left[low] > 0) & (left[total - low] > 0)][::-1]]
+                if not left[p]:
+                    have &= ~(1 << p)
+                    mirror &= ~(1 << (capacity - p))
+
+    def pairs(total: int) -> Iterator[tuple[int, int]]:
+        """Available pairs of this sum, the most even ones first, which leaves small pieces for later gaps."""
+        both = have & (mirror >> (capacity - total)) & ((2 << total // 2) - 1)
+        while both:
+            n = both.bit_length() - 1
+            yield total - n, n
+            both &= ~(1 << n)
 
     # The largest pieces go first: their gaps have the fewest ways to be filled.
     for a in range(capacity, 0, -1):
@@ -131,14 +170,14 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, li
             take(a, *pair)
             if not left[a]:
                 break
-        for c in np.flatnonzero(left[: gap // 3 + 1]).tolist() if left[a] else ():
+        for c in [n for n in range(1, gap // 3 + 1) if left[n]] if left[a] else ():
             for pair in pairs(gap - c):
                 take(a, c, *pair)
                 if not left[a] or not left[c]:
                     break
             if not left[a]:
                 break
-    return out + best_fit({int(n): int(left[n]) for n in np.flatnonzero(left)}, capacity)
+    return out + best_fit({n: c for n, c in enumerate(left) if c}, capacity)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
