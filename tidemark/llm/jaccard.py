@@ -25,6 +25,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.common import (
     by_group, components, dropped, mixed, ngram_hashes, signed, table, word_hashes, words_of, written,
@@ -235,6 +236,11 @@ def ngram_jaccard_join(
     hub = F.col("hub").alias("cluster")
     placed = near.select(hub, "c1").unionByName(near.select(hub, F.col("hub").alias("c1")).distinct())
     member = classes.join(placed, "c1").select("cluster", F.col("first").alias("doc_id"), "text_key", "n")
+    # a set goes on only if another set of its cluster has a size that allows a link
+    by_size = Window.partitionBy("cluster").orderBy("n", "doc_id")
+    smaller, larger = F.lag("n").over(by_size), F.lead("n").over(by_size)
+    fits = (smaller * den >= F.col("n") * num) | (F.col("n") * den >= larger * num)
+    member = member.withColumn("fits", F.coalesce(fits, F.lit(False))).where("fits").drop("fits")
     member = written(member, "cluster-members")
     dropped(keyed_sets, hubs, near)
     texts = written(docs.join(member.select("doc_id", "text_key").distinct(), ["doc_id", "text_key"]), "cluster-texts")
