@@ -100,3 +100,16 @@ def test_awkward_vectors(spark):
     assert all(linked[i] == (3, 1) for i in (1, 2, 11, 12))
     assert all(linked[i] == (0, i) for i in (3, 4, 5, 6, 7, 8, 9, 10))
     assert sorted_projection_join(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_recall_in_labels_many_times_the_window(spark):
+    r = np.random.default_rng(11)
+    base = r.standard_normal((3000, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    side = r.standard_normal(base.shape)
+    side -= (side * base).sum(axis=1)[:, None] * base
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    both = np.concatenate([base, 0.935 * base + (1 - 0.935**2) ** 0.5 * side])
+    rows = [(i, [float(x) for x in v], 1, 1, "x") for i, v in enumerate(both)]
+    got = sorted_projection_join(spark.createDataFrame(rows, SCHEMA), window=4, block=2000).toPandas()
+    assert (got["n_links"] > 0).mean() >= 0.93

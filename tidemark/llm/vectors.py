@@ -8,6 +8,7 @@ all passes are united per vector, so a pair found twice counts once. Only block
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +24,20 @@ COSINE = 0.93
 PASSES, BITS = 6, 60
 #: Neighbours after each vector that it is compared with in a pass, and rows of a task's block.
 WINDOW, BLOCK = 1_500, 6_000
+#: Least expected share of the pairs at the threshold that is met in some pass, in labels larger than the window.
+RECALL = 0.95
 SEED = 17
 
 
+def plan_of(n: int, cosine: float, passes: int, window: int) -> tuple[int, int]:
+    """(bits that bring two of n vectors together, passes): one pass where the window holds all of them."""
+    if n <= window + 1:
+        return 0, 1
+    depth = min(BITS, math.ceil(math.log2(n / window)))
+    met = (1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi) ** depth
+    return depth, passes if met >= 1 else max(passes, math.ceil(math.log(1 - RECALL) / math.log1p(-met)))
+
+
 def key_of(vectors: np.ndarray, turn: int) -> np.ndarray:
     """BITS random signs as one unsigned integer; the same for every task."""
     planes = np.random.default_rng([SEED, turn]).standard_normal((BITS, vectors.shape[1]))
@@ -89,23 +101,29 @@ def sorted_projection_join(
     Only vectors of equal, non-null label and width are compared. Null, empty and zero vectors, and those with null
     or non-finite components, link with nothing, like rows with a null vec_id. Rows of a repeated vec_id are one
     vector for the counts. An empty table gives no rows. All reported pairs are exact; pairs may be missed where no
-    pass brings them within `window` places.
+    pass brings them within `window` places. `passes` is the least number for a label larger than the window.
     """
     usable = vectors.where("vec_id IS NOT NULL").select("vec_id", "label", "embedding")
+    most = usable.groupBy("label").count().agg(F.max("count")).first()[0] or 0  # at least the largest label
+    turns = plan_of(most, cosine, passes, window)[1]
     units = written(usable.mapInPandas(
-        lambda frames: _units(frames, passes),
+        lambda frames: _units(frames, turns),
         "vec_id long, label int, width int, unit array<double>, keys array<long>").dropDuplicates(["vec_id"]), "units")
+    plans = F.udf(lambda n: plan_of(n, cosine, passes, window), "depth int, turns int")
+    sizes = units.groupBy("label", "width").agg(F.count("*").alias("n")).where(F.col("n") > window + 1)
+    sizes = sizes.withColumn("plan", plans("n")).select("label", "width", "plan.turns")
     shares = []
-    for turn in range(passes):
+    for turn in range(turns):
         # the place of each vector in the order: its place in its range of keys, after all earlier ranges
         order = ["label", "width", "key", "vec_id"]
-        dealt = units.select("vec_id", "label", "width", F.col("keys")[turn].alias("key"))
+        dealt = units.join(F.broadcast(sizes), ["label", "width"], "left").where(F.coalesce("turns", F.lit(1)) > turn)
+        dealt = dealt.select("vec_id", "label", "width", F.col("keys")[turn].alias("key"))
         dealt = written(dealt.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
             "step", F.monotonically_increasing_id()), "pass-order")
         part = F.shiftright("step", 33)
-        sizes = dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+        counted = dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
         before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
-        starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+        starts = counted.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
         placed = dealt.withColumn("part", part).join(F.broadcast(starts), "part").select(
             "vec_id", "label", "width", (F.col("before") + F.col("step").bitwiseAND((1 << 33) - 1)).alias("place"))
         home = F.floor(F.col("place") / block)
