@@ -113,3 +113,14 @@ def test_recall_in_labels_many_times_the_window(spark):
     rows = [(i, [float(x) for x in v], 1, 1, "x") for i, v in enumerate(both)]
     got = sorted_projection_join(spark.createDataFrame(rows, SCHEMA), window=4, block=2000).toPandas()
     assert (got["n_links"] > 0).mean() >= 0.93
+
+
+def test_copies_and_tight_groups_larger_than_the_window(spark):
+    r = np.random.default_rng(12)
+    one, two = r.standard_normal((2, 16))
+    group = [*[one] * 150, *(one + r.standard_normal((3, 16)) * 0.05), *(two + r.standard_normal((150, 16)) * 0.01), *r.standard_normal((200, 16))]
+    rows = [(i, [float(x) for x in np.float32(v)], 1) for i, v in enumerate(group)]
+    got = sorted_projection_join(spark.createDataFrame([(*x, 1, "x") for x in rows], SCHEMA), window=10, block=40).collect()
+    want = plain(rows)
+    assert {x.vec_id: x.n_links for x in got} == {i: len(want.get(i, ())) for i, _, _ in rows}
+    assert {x.component_id for x in got if x.vec_id < 153} == {0} and {x.component_id for x in got if 153 <= x.vec_id < 303} == {153}

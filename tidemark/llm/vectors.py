@@ -4,6 +4,10 @@ In each pass vectors get a key of concatenated random hashes: signs of random pr
 Vectors of one label are ordered by that key, and each is compared with the next WINDOW ones of the order by its
 exact cosine. A pair that a pass parts by its first bits is close together in another one. Verified neighbours of
 all passes are united per vector, so a pair found twice counts once. Only block borders are replicated between tasks.
+
+Equal vectors of a label are one row with a multiplicity. In a label of n such rows, all that share their first
+log2(n / window) bits in a pass are compared too, block by block, however many they are. So a pair at the threshold
+is met in a pass with a chance that depends on n alone, and the number of passes follows from n to reach RECALL.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,6 +31,8 @@ PASSES, BITS = 6, 60
 WINDOW, BLOCK = 1_500, 6_000
 #: Least expected share of the pairs at the threshold that is met in some pass, in labels larger than the window.
 RECALL = 0.95
+#: Links that a task holds before it hands them on.
+HELD_LINKS = 2_000_000
 SEED = 17
 
 
@@ -63,34 +70,59 @@ def _units(frames: Iterator[pd.DataFrame], passes: int):
             at = [j for j, k in enumerate(ids) if k[2] == width]
             vectors = np.array([rows[j] for j in at])
             keys = np.stack([key_of(vectors, t) for t in range(passes)], axis=1)
+            same = [xxhash.xxh3_128_digest(v.tobytes()) for v in vectors + 0.0]
             yield pd.DataFrame({
                 "vec_id": [ids[j][0] for j in at], "label": [ids[j][1] for j in at], "width": width,
-                "unit": list(vectors), "keys": list(keys)})
+                "same": same, "unit": list(vectors), "keys": list(keys)})
 
 
-def _links(frame: pd.DataFrame, cosine: float, window: int) -> Iterator[pd.DataFrame]:
-    """Per vector of a block the ids it links with among its next `window` rows, and the other way round."""
-    frame = frame.sort_values("place", kind="stable")
-    ids = frame["vec_id"].to_numpy()
+def _lists(ids: np.ndarray, left: list[np.ndarray], right: list[np.ndarray]) -> pd.DataFrame:
+    a, b = np.concatenate([*left, *right]), np.concatenate([*right, *left])
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    cuts = np.flatnonzero(a[1:] != a[:-1]) + 1
+    return pd.DataFrame({"vec_id": ids[a[np.r_[0, cuts]]], "near": np.split(ids[b], cuts)})
+
+
+def _pairs(frame: pd.DataFrame, cosine: float, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    own, run, units = (frame[k].to_numpy() for k in ("own", "run", "unit"))
+    if frame["left"].iat[0] != frame["right"].iat[0]:  # two blocks of one run: each row with each
+        x = np.stack(units)
+        mine, other = np.flatnonzero(own), np.flatnonzero(~own)
+        for at in range(0, len(mine), 512):
+            r, c = np.nonzero(x[mine[at : at + 512]] @ x[other].T >= cosine)
+            yield mine[at + r], other[c]
+        return
     group = frame[["label", "width"]].to_numpy()
-    left, right = [], []
     bounds = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1), True])
-    own = frame["own"].to_numpy()
     for lo, hi in zip(bounds[:-1], bounds[1:]):
-        x = np.stack(frame["unit"].to_numpy()[lo:hi])
-        for at in range(0, hi - lo, 512):
-            part = x[at : at + 512]
-            near = part @ x[at : at + 512 + window].T >= cosine
-            r, c = np.nonzero(near)
-            keep = (c > r) & (c <= r + window) & own[lo + at + r]
-            left.append(lo + at + r[keep])
-            right.append(lo + at + c[keep])
-    a, b = np.concatenate([*left, *right]), np.concatenate([*right, *left])
-    if len(a):
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], b[order]
-        cuts = np.flatnonzero(a[1:] != a[:-1]) + 1
-        yield pd.DataFrame({"vec_id": ids[a[np.r_[0, cuts]]], "near": np.split(ids[b], cuts)})
+        x = np.stack(units[lo:hi])
+        for at in range(lo, hi, 512):
+            end = min(hi, at + 512)
+            last = end - 1
+            if run[last] >= 0:  # runs lie together: to the end of the last row's
+                last = lo + np.flatnonzero(run[lo:hi] == run[last])[-1]
+            to = min(hi, max(end + window, last + 1))
+            r, c = np.nonzero(x[at - lo : end - lo] @ x[at - lo : to - lo].T >= cosine)
+            r, c = r + at, c + at
+            keep = (c > r) & own[r] & ((c <= r + window) | ((run[r] >= 0) & (run[r] == run[c])))
+            yield r[keep], c[keep]
+
+
+def _links(frame: pd.DataFrame, cosine: float, window: int) -> Iterator[pd.DataFrame]:
+    """Per vector of a pair of blocks the ids it links with in the other's or its own rows, and the other way round."""
+    frame = frame.sort_values("place", kind="stable")
+    ids = frame["vec_id"].to_numpy()
+    left, right, held = [], [], 0
+    for a, b in _pairs(frame, cosine, window):
+        left.append(a)
+        right.append(b)
+        held += len(a)
+        if held >= HELD_LINKS:
+            yield _lists(ids, left, right)
+            left, right, held = [], [], 0
+    if held:
+        yield _lists(ids, left, right)
 
 
 def sorted_projection_join(
@@ -100,24 +132,34 @@ def sorted_projection_join(
 
     Only vectors of equal, non-null label and width are compared. Null, empty and zero vectors, and those with null
     or non-finite components, link with nothing, like rows with a null vec_id. Rows of a repeated vec_id are one
-    vector for the counts. An empty table gives no rows. All reported pairs are exact; pairs may be missed where no
-    pass brings them within `window` places. `passes` is the least number for a label larger than the window.
+    vector for the counts. An empty table gives no rows. All reported pairs are exact; equal vectors always link, and
+    so do all pairs of a label of at most `window` + 1 distinct ones. In a larger label a pair at the threshold is met with a
+    chance of RECALL at least, and closer ones more often. `passes` is the least number for such a label.
     """
     usable = vectors.where("vec_id IS NOT NULL").select("vec_id", "label", "embedding")
     most = usable.groupBy("label").count().agg(F.max("count")).first()[0] or 0  # at least the largest label
     turns = plan_of(most, cosine, passes, window)[1]
     units = written(usable.mapInPandas(
         lambda frames: _units(frames, turns),
-        "vec_id long, label int, width int, unit array<double>, keys array<long>").dropDuplicates(["vec_id"]), "units")
+        "vec_id long, label int, width int, same binary, unit array<double>, keys array<long>",
+    ).dropDuplicates(["vec_id"]), "units")
+
+    # equal vectors are one, under the smallest of their ids
+    alike = ["label", "width", "same"]
+    copies = written(units.groupBy(*alike).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("times")), "copies")
     plans = F.udf(lambda n: plan_of(n, cosine, passes, window), "depth int, turns int")
-    sizes = units.groupBy("label", "width").agg(F.count("*").alias("n")).where(F.col("n") > window + 1)
-    sizes = sizes.withColumn("plan", plans("n")).select("label", "width", "plan.turns")
+    sizes = copies.groupBy("label", "width").agg(F.count("*").alias("n")).where(F.col("n") > window + 1)
+    sizes = sizes.withColumn("plan", plans("n")).select("label", "width", "plan.depth", "plan.turns")
+    rows = units.select("vec_id", "keys").join(copies.select("vec_id", "label", "width"), "vec_id")
+    rows = rows.join(F.broadcast(sizes), ["label", "width"], "left")  # at most one row for each `window` vectors
+    rows = written(rows.withColumns({
+        "depth": F.coalesce("depth", F.lit(0)), "turns": F.coalesce("turns", F.lit(1))}), "distinct-vectors")
+
     shares = []
-    for turn in range(turns):
+    for turn in range(rows.agg(F.max("turns")).first()[0] or 1):
         # the place of each vector in the order: its place in its range of keys, after all earlier ranges
         order = ["label", "width", "key", "vec_id"]
-        dealt = units.join(F.broadcast(sizes), ["label", "width"], "left").where(F.coalesce("turns", F.lit(1)) > turn)
-        dealt = dealt.select("vec_id", "label", "width", F.col("keys")[turn].alias("key"))
+        dealt = rows.where(F.col("turns") > turn).select("vec_id", "label", "width", "depth", F.col("keys")[turn].alias("key"))
         dealt = written(dealt.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
             "step", F.monotonically_increasing_id()), "pass-order")
         part = F.shiftright("step", 33)
@@ -125,25 +167,46 @@ def sorted_projection_join(
         before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
         starts = counted.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
         placed = dealt.withColumn("part", part).join(F.broadcast(starts), "part").select(
-            "vec_id", "label", "width", (F.col("before") + F.col("step").bitwiseAND((1 << 33) - 1)).alias("place"))
+            "vec_id", "label", "width", F.expr(f"shiftright(key, {BITS} - depth)").alias("head"),
+            (F.col("before") + F.col("step").bitwiseAND((1 << 33) - 1)).alias("place"))
+        # runs of one head that are longer than the window; fewer than one for each `window` rows
+        runs = placed.groupBy("label", "width", "head").agg(F.min("place").alias("run"), F.max("place").alias("last"))
+        runs = runs.where(F.col("last") - F.col("run") > window)
+        placed = placed.join(F.broadcast(runs), ["label", "width", "head"], "left").drop("head")
         home = F.floor(F.col("place") / block)
-        both = F.when(F.col("place") % block < window, F.array(home, home - 1)).otherwise(F.array(home))
-        placed = placed.withColumn("home", home).withColumn("block", F.explode(both)).where("block >= 0")
-        placed = placed.withColumn("own", F.col("home") == F.col("block")).drop("home")
-        rows = placed.join(units.select("vec_id", "unit"), "vec_id")
+        placed = placed.withColumn("home", home)
+
+        def to(left, right, own):
+            return F.struct(left.alias("left"), right.alias("right"), F.lit(own).alias("own"))
+
+        at, low, high = F.col("home"), F.floor(F.col("run") / block), F.floor(F.col("last") / block)
+        none = F.array().cast("array<struct<left:bigint,right:bigint,own:boolean>>")
+        border = F.when((F.col("place") % block < window) & (at > 0), F.array(to(at - 1, at - 1, False))).otherwise(none)
+        later = F.when(high > at, F.transform(F.sequence(at + 1, high), lambda b: to(F.col("home"), b, True))).otherwise(none)
+        earlier = F.when(low < at, F.transform(F.sequence(low, at - 1), lambda b: to(b, F.col("home"), False))).otherwise(none)
+        placed = placed.withColumn("task", F.explode(F.concat(F.array(to(at, at, True)), border, later, earlier)))
+        placed = placed.select("vec_id", "label", "width", "place", F.coalesce("run", F.lit(-1)).alias("run"), "task.*")
+        blocks = placed.join(units.select("vec_id", "unit"), "vec_id")
         shares.append(written(by_group(
-            rows, ["block"], lambda g: _links(g, cosine, window), "vec_id long, near array<long>"), "pass-links"))
+            blocks, ["left", "right"], lambda g: _links(g, cosine, window), "vec_id long, near array<long>"), "pass-links"))
         dropped(dealt)
     near = shares[0]
     for s in shares[1:]:
         near = near.unionByName(s)
     near = near.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     near = written(near, "links")
-    dropped(*shares)
-    edges = near.select(F.col("vec_id").alias("a"), F.explode("near").alias("b")).where("a > b")
-    labels = components(edges).withColumnRenamed("id", "vec_id")
-    counts = near.select("vec_id", F.size("near").cast("long").alias("n_links")).join(labels, "vec_id")
-    out = vectors.select("vec_id").join(counts, "vec_id", "left")
+    dropped(*shares, rows)
+    edges = near.select(F.col("vec_id").alias("a"), F.explode("near").alias("b"))
+    labels = components(edges.where("a > b")).withColumnRenamed("id", "vec_id")
+    # a link to a vector with copies is one to each of them
+    more = edges.join(copies.where("times > 1").select(F.col("vec_id").alias("b"), (F.col("times") - 1).alias("more")), "b")
+    more = more.groupBy(F.col("a").alias("vec_id")).agg(F.sum("more").alias("more"))
+    counts = near.select("vec_id", F.size("near").cast("long").alias("linked")).join(labels, "vec_id").join(more, "vec_id", "left")
+    found = copies.join(counts, "vec_id", "left").where("times > 1 OR linked IS NOT NULL").select(
+        *alike, (F.col("times") - 1 + F.coalesce("linked", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_links"),
+        F.coalesce("component", "vec_id").alias("component"))
+    found = units.select("vec_id", *alike).join(found, alike).select("vec_id", "n_links", "component")
+    out = vectors.select("vec_id").join(found, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"),
