@@ -142,3 +142,14 @@ def test_licenses_are_those_of_all_passages(spark):
     got = license_scan(docs_of(spark, texts))
     assert {r.doc_id for r in got.collect()} >= set(range(len(flat)))
     assert license_scan(awkward(spark)).count() == license_scan(empty(spark)).count() == 0
+
+
+def test_licenses_of_other_versions_and_full_texts(spark):
+    from tidemark.llm.licenses import FURTHER, all_templates
+
+    both = FURTHER["GPL-2.0"][0] + "\nAnd another file of this work.\n" + TEMPLATES["GPL-3.0"][1].replace("useful", "useless")
+    cases = [({n}, t) for n, ts in all_templates().items() for t in ts]
+    cases += [({n}, "Before.\n" + max(all_templates()[n], key=len) + "\nAfter.") for n in ("GPL-3.0", "Apache-2.0", "AGPL-3.0")]
+    cases += [({"GPL-2.0", "GPL-3.0"}, both)]
+    found = license_scan(docs_of(spark, [t for _, t in cases])).collect()
+    assert [{r.license for r in found if r.doc_id == i} for i in range(len(cases))] == [n for n, _ in cases]
