@@ -152,6 +152,18 @@ def test_scores_are_those_of_the_plain_model(spark):
         assert r.score == pytest.approx(score(t), rel=2e-3, abs=len(w) * 2e-3)
 
 
+def test_the_query_keeps_ngrams_seen_once(spark, tmp_path):
+    from tidemark.llm.ngram_lm import op7
+
+    texts = random_texts(9, 50, 30)
+    docs_of(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    train = [t for d, t in enumerate(texts) if zlib.crc32(str(d).encode()) % 7 != 2]
+    score = plain_model(train, least=1)
+    got = {r.doc_id: r.score for r in op7(spark, str(tmp_path)).collect()}
+    for d, t in enumerate(texts):
+        assert got[d] == pytest.approx(score(t), rel=2e-3, abs=(len(words(t)) + 1) * 2e-3)
+
+
 def test_scores_of_awkward_rows(spark):
     got = score_texts(awkward(spark)).collect()
     assert len(got) == 13 and all(np.isfinite(r.score) for r in got)

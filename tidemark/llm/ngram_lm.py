@@ -5,8 +5,9 @@ node is the rank of the context among the kept n-grams one level below and a wor
 of all words. Each level is written as sorted shards of one bounded size: Elias-Fano coded contexts, monotone
 pointers to their children, and children coded relative to their context, with smoothed probabilities quantised to
 16 bits. Tasks map the shards they need from the shared folder and find n-grams by successor search in the range of
-the context. Smoothing is interpolated absolute discounting; n-grams above the unigram seen once are left to their
-back-off, whose weight takes their whole mass, so each context's probabilities still add up to 1 before quantising.
+the context. Smoothing is interpolated absolute discounting; n-grams above the unigram that are seen less often than a
+given count are left to their back-off, whose weight takes their whole mass, so each context's probabilities still add
+up to 1 before quantising. The query keeps all n-grams.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from tidemark.llm.registry import query
 from tidemark.plans.files import work_path
 
 ORDER = 3
-#: N-grams of two and more words below this count are left to their back-off.
+#: N-grams of two and more words below this count are left to their back-off, unless the caller asks for another one.
 LEAST_COUNT = 2
 SHARD_ENTRIES = 1_000_000
 #: Decoded shards a worker keeps, in bytes.
@@ -440,7 +441,7 @@ def _score(model: dict):
     return run
 
 
-def score_texts(docs: DataFrame, order: int = ORDER) -> DataFrame:
+def score_texts(docs: DataFrame, order: int = ORDER, least_count: int = LEAST_COUNT) -> DataFrame:
     """Train on the documents whose crc32(doc_id as text) mod 7 is not 2 and score all of them.
 
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10). Null and empty texts are
@@ -449,7 +450,7 @@ def score_texts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     docs = docs.select("doc_id", "text", held.alias("held_out"))
-    model, ids = train(docs, order)
+    model, ids = train(docs, order, least_count)
     return ids.mapInPandas(
         _score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
         "base_score double, score double")
@@ -457,4 +458,4 @@ def score_texts(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
 @query("op7_ngram_lm")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(table(spark, sf_dir, "documents"))
+    return score_texts(table(spark, sf_dir, "documents"), least_count=1)
