@@ -79,6 +79,21 @@ def test_count_of_awkward_rows(spark):
     assert token_counts(empty(spark)).count() == 0
 
 
+def test_query_counts_with_fitted_probabilities(spark, tmp_path):
+    import sentencepiece
+
+    from tidemark.llm.token_count import op9
+
+    texts = [
+        "The children walked slowly towards the old railway station because nobody wanted to arrive before the others did",
+        "Several different questions about the government were answered by the company during the following international meeting",
+    ] * 20 + ODD
+    docs_of(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.n_pieces for r in op9(spark, str(tmp_path)).collect()}
+    own = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert len(got) == len(texts) and all(got[i] <= 1.1 * len(own.encode(texts[i])) for i in (0, 1))
+
+
 def test_elias_fano_round_trip():
     r = np.random.default_rng(3)
     for n, top in [(0, 1), (1, 1), (7, 10), (1000, 1001), (5000, 2**63), (4000, 2**34)]:

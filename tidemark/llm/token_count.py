@@ -5,24 +5,32 @@ the best score and the number of pieces of the best segmentation at each place.
 double precision, and of equal scores the piece that starts first wins, as in the `tokenizers` library's unigram
 model, whose counts these are: white-space prefix on each space-separated part, unknown characters at the lowest
 score less ten, counted as their bytes where the vocabulary has byte pieces, as one piece a run where it has not.
+
+The vocabulary at hand is a BPE model, whose scores are negative merge ranks. `fitted` gives its pieces unigram log
+probabilities: counts of its own segmentation of all documents' words first, then of the best paths, in turns.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import dropped, table, written
 from tidemark.llm.registry import query
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Distinct words a worker keeps the counts of; past it the memory starts anew.
 KNOWN_WORDS = 1_000_000
+#: Passes over the distinct words after the first, and what is added to each piece's count.
+FIT_PASSES, ADDED = 2, 0.1
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -76,6 +84,27 @@ class PieceCounter:
             score[end], count[end], in_run[end] = best, pieces, run
         return count[n], score[n]
 
+    def pieces(self, text: str) -> list[str]:
+        """The known pieces on the best path of one part."""
+        score, back = [0.0] * (len(text) + 1), [-1] * (len(text) + 1)
+        found: list[list[tuple[int, float]]] = [[] for _ in range(len(text) + 1)]
+        for end, match in self.automaton.iter(text):
+            found[end + 1].append(match)
+        for end in range(1, len(text) + 1):
+            best = None
+            for length, s in sorted(found[end], reverse=True):
+                if best is None or s + score[end - length] > best:
+                    best, back[end] = s + score[end - length], end - length
+            if text[end - 1] not in self.singles and (best is None or self.unknown + score[end - 1] > best):
+                best, back[end] = self.unknown + score[end - 1], -1
+            score[end] = best
+        out, end = [], len(text)
+        while end:
+            if back[end] >= 0:
+                out.append(text[back[end] : end])
+            end = back[end] if back[end] >= 0 else end - 1
+        return out
+
     def __call__(self, text: str | None) -> tuple[int, float]:
         if not isinstance(text, str) or not text:
             return 0, 0.0
@@ -103,15 +132,59 @@ def piece_counter(path: str) -> PieceCounter:
     return PieceCounter(vocabulary(path))
 
 
-def token_counts(docs: DataFrame, model_path: str | None = None) -> DataFrame:
+@lru_cache(1)
+def _fitted_counter(pieces: tuple[tuple[str, float], ...]) -> PieceCounter:
+    return PieceCounter(list(pieces))
+
+
+def fitted(docs: DataFrame, model_path: str | None = None, passes: int = FIT_PASSES) -> tuple[tuple[str, float], ...]:
+    """The model's pieces with log probabilities from all documents.
+
+    Spark counts the distinct words once; each pass segments these and adds up their pieces. The driver sees one
+    count for each piece of the vocabulary. Without documents all pieces are equally likely.
+    """
+    path = model_path or public_tokenizers.path("piece_bpe_32k.model")
+    names = [p for p, _ in vocabulary(path)]
+    text = F.regexp_replace(F.translate("text", MARK, " "), "^ ", "")
+    words = docs.where("text IS NOT NULL AND text <> ''").select(F.explode(F.split(text, " ", -1)).alias("word"))
+    words = written(words.groupBy("word").agg(F.count("*").alias("n")), "word-counts")
+    pieces = None
+    for _ in range(passes + 1):
+        def run(frames, pieces=pieces) -> Iterator[pd.DataFrame]:
+            if pieces is None:
+                import sentencepiece
+
+                cut = sentencepiece.SentencePieceProcessor(model_file=path).encode_as_pieces
+            else:
+                counter = _fitted_counter(pieces)
+                cut = lambda w: counter.pieces(MARK + w)
+            total: Counter[str] = Counter()
+            for frame in frames:
+                for w, n in zip(frame["word"], frame["n"].tolist()):
+                    for p in cut(w):
+                        total[p] += n
+            yield pd.DataFrame({"piece": list(total), "n": list(total.values())}).astype({"piece": object, "n": "int64"})
+
+        found = words.mapInPandas(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+        counts = {r["piece"]: r["n"] for r in found.collect()}
+        total = math.log(sum(counts.get(p, 0) + ADDED for p in names))
+        pieces = tuple((p, math.log(counts.get(p, 0) + ADDED) - total) for p in names)
+    dropped(words)
+    return pieces
+
+
+def token_counts(
+    docs: DataFrame, model_path: str | None = None, pieces: tuple[tuple[str, float], ...] | None = None
+) -> DataFrame:
     """doc_id, n_pieces, score per document, in one pass without a shuffle.
 
+    pieces: (piece, log probability) in place of the model's own scores, as `fitted` gives them.
     Null and empty texts have no pieces and score 0. Repeated rows each give a row; other columns are ignored.
     """
     path = model_path or public_tokenizers.path("piece_bpe_32k.model")
 
     def run(frames) -> Iterator[pd.DataFrame]:
-        count = piece_counter(path)
+        count = piece_counter(path) if pieces is None else _fitted_counter(pieces)
         for frame in frames:
             found = [count(t) for t in frame["text"]]
             yield pd.DataFrame({
@@ -122,4 +195,5 @@ def token_counts(docs: DataFrame, model_path: str | None = None) -> DataFrame:
 
 @query("op9_token_count")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return token_counts(docs, pieces=fitted(docs))
