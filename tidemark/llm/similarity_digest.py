@@ -32,7 +32,7 @@ LEVELS = 1001
 DULL = 200
 FILTER_BITS, HASHES, PER_FILTER = 2048, 5, 160
 #: Bytes of text whose digests are made at a time, and bytes of text of a block of neighbours.
-BATCH_BYTES, BLOCK_BYTES = 4 << 20, 16 << 20
+BATCH_BYTES, BLOCK_BYTES = 1 << 20, 16 << 20
 
 _SCALE = 1 << 20
 _GAIN = np.array([0, *(round(c * np.log2(c) * _SCALE) if c > 1 else 0 for c in range(1, WIDTH + 1))], np.int64)
