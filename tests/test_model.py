@@ -146,7 +146,7 @@ def play(spark, script):
             h = snap.rollback(h, line[n % len(line)], branch, at=now)
             m.refs[branch] = line[n % len(line)]
         elif name == "compact":
-            h, _ = compact(h, 1 << 20, branch=branch, at=now)
+            h, _ = compact(h, [1 << 20, 1500, 900][n % 3], branch=branch, at=now)  # small targets leave most files alone
             if h.refs[branch] != m.refs[branch]:
                 m.commit(h.refs[branch], branch, frozenset(), frozenset())
         elif name == "expire":

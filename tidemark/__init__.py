@@ -10,7 +10,7 @@ from tidemark.operators.evolve import (
     add_column, comment_column, describe, move_column, rename_column, retype_column, union_schema,
 )
 from tidemark.operators.maintenance import (
-    add_partition_field, compact, drop_partition_field, expire, partition_spec, read_range, set_partition_spec,
+    add_partition_field, cluster_by, compact, drop_partition_field, expire, partition_spec, read_range, set_partition_spec,
     stored_rows,
 )
 from tidemark.operators.snapshots import (
@@ -18,7 +18,7 @@ from tidemark.operators.snapshots import (
     on_branch, read_at, refs, register_view, rollback, set_properties, snapshots, staged_snapshot_id,
     unset_properties,
 )
-from tidemark.operators.stats import file_stats, partition_stats
+from tidemark.operators.stats import file_stats, gather_stats, partition_stats
 from tidemark.operators.writes import (
     add_derived, append, append_files, create_history, ensure_history, insert_positional, load_history, overwrite,
     reconcile,

@@ -52,8 +52,8 @@ class _Target:
         if sum(removed.values()) == self.h.total_rows(self.head):
             return self.seen.batches
         return [
-            b for b in self.seen.batches
-            if not self.hits[b] and self.h.commits[b].origins == [b] and removed.get(b) == self.h.commits[b].added_rows
+            b for b in self.seen.batches if not self.hits[b] and b not in self.seen.partial
+            and self.h.commits[b].origins == [b] and removed.get(b) == self.h.commits[b].added_rows
         ]
 
 
@@ -68,9 +68,10 @@ def delete_where(h: History, cond: Column | str, *, branch: str | None = None, w
     matching = target.live().where(_condition(cond))
     _require_deterministic(matching, "a delete condition")
     h.write_removals(batch, matching)
-    removed = h.listed(batch)
+    listed = h.listed(batch)
+    removed = listed["removed"]
     return h.commit("delete", snapshot_id=batch, removed_rows=sum(removed.values()), spec_id=h.spec_id, branch=branch,
-                    wap_id=wap_id, at=at, summary=summary, removed=removed, supersedes=target.emptied(removed))
+                    wap_id=wap_id, at=at, summary=summary, supersedes=target.emptied(removed), **listed)
 
 
 def update_where(h: History, set: dict[str, Column | str], where: Column | str | None = None, *,
@@ -97,13 +98,13 @@ def update_where(h: History, set: dict[str, Column | str], where: Column | str |
     _require_deterministic(matching, "an update condition")
     old = [F.col(n).alias(p) for n, p in zip(ROW_KEY, _PREVIOUS.names)]
     h.write_rows(batch, _assign(matching.select("*", *old), new_values), extra=_PREVIOUS.names)
-    removed = _list_replaced(h, batch, h.written(batch, _PREVIOUS))
-    changed = sum(removed.values())
+    listed = _list_replaced(h, batch, h.written(batch, _PREVIOUS))
+    changed = sum(listed["removed"].values())
     return h.commit("overwrite", snapshot_id=batch, added_rows=changed, removed_rows=changed, has_rows=changed > 0,
-                    removed=removed, origins=[batch], supersedes=target.emptied(removed), **options)
+                    origins=[batch], supersedes=target.emptied(listed["removed"]), **listed, **options)
 
 
-def _list_replaced(h: History, batch: int, written: DataFrame) -> dict[int, int]:
+def _list_replaced(h: History, batch: int, written: DataFrame) -> dict:
     """List the keys of the rows that a batch just written replaces."""
     replaced = written.where(F.col("_prev_in").isNotNull()).select(
         F.col("_prev_in").alias("_added_in"), F.col("_prev_id").alias("_row_id"))
@@ -147,14 +148,14 @@ def upsert(h: History, src: DataFrame, key: Sequence[str] | None = None, *, bran
     h.write_rows(batch, _classified(target.live(), src, key, h.schema, _fits(total, key_bytes)), extra=_PREVIOUS.names)
     stored_key = [T.StructField(stored_name(f), f.dataType) for f in (find(h.schema, n) for n in key)]
     written = h.written(batch, T.StructType(_PREVIOUS.fields + stored_key))
-    removed = _list_replaced(h, batch, written)
-    updated, added = sum(removed.values()), _count_written(written, [f.name for f in stored_key])
+    listed = _list_replaced(h, batch, written)
+    updated, added = sum(listed["removed"].values()), _count_written(written, [f.name for f in stored_key])
     counts = UpsertCounts(inserted=added - updated, updated=updated, unchanged=total - added)
     if not added:
         return before, counts
     new = h.commit("overwrite" if updated else "append", snapshot_id=batch, added_rows=added, removed_rows=updated,
                    spec_id=h.spec_id, branch=branch, wap_id=wap_id, at=at, summary=summary, has_rows=True,
-                   origins=[batch], removed=removed, supersedes=target.emptied(removed))
+                   origins=[batch], supersedes=target.emptied(listed["removed"]), **listed)
     return new, counts
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import operator
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.plans import files
+from tidemark.plans.bounds import files_outside
 from tidemark.plans.fields import col, field_id, find
 from tidemark.plans.history import Commit, History, Visible
 from tidemark.plans.partitioning import check_spec, derive
+from tidemark.plans.removals import listed_in
 
 DEFAULT_TARGET_BYTES = 512 * 1024 * 1024
-# A batch is left alone while its files average between these shares of the target.
+# A file is left alone while its size is between these shares of the target.
 SMALL_SHARE, LARGE_SHARE = 0.75, 1.8
 
 
@@ -48,9 +50,11 @@ def drop_partition_field(h: History, transform: str, name: str) -> History:
 
 def read_range(h: History, column: str, low=None, high=None, *, snapshot_id: int | None = None,
                branch: str | None = None) -> DataFrame:
-    """Rows with low <= column < high; each spec's directories are pruned by what it derives from the column.
+    """Rows with low <= column < high.
 
-    `low` and `high` are literals of the column's type, or strings that cast to it; None leaves a side open.
+    Each spec's directories are pruned by what it derives from the column, and files whose gathered bounds
+    (`gather_stats`) miss the range are not opened; files without bounds are read. `low` and `high` are literals of the
+    column's type, or strings that cast to it; None leaves a side open.
     """
     target = find(h.schema, column)
     bounds = [
@@ -68,7 +72,9 @@ def read_range(h: History, column: str, low=None, high=None, *, snapshot_id: int
             kept = kept & edge(part, derive(transform, value, f.dataType))
         return kept
 
-    df = h.live(h.head(branch) if snapshot_id is None else snapshot_id, prune)
+    snapshot_id = h.head(branch) if snapshot_id is None else snapshot_id
+    outside = files_outside(h, h.visible(snapshot_id), target, *bounds) if bounds else []
+    df = h.live(snapshot_id, prune, [~files.file_name().isin(outside)] if outside else [])
     for compare, value in bounds:
         df = df.where(compare(col(column), value))
     return df.select(*[col(f.name) for f in h.schema])
@@ -79,6 +85,15 @@ def _prunes(transform: str, dtype: T.DataType) -> bool:
     return transform != "identity" or isinstance(dtype, (T.IntegerType, T.LongType, T.DateType))
 
 
+def cluster_by(h: History, column: str | None) -> History:
+    """Lay out rows written from now on in ranges of a column, so that few files overlap a range; None: as they come.
+
+    Holds for unpartitioned specs; `compact` keeps to it. With `gather_stats`, range reads open only what overlaps.
+    """
+    fid = "" if column is None else str(field_id(find(h.schema, column)))
+    return h.save(properties={**h.properties, "cluster.field_id": fid})
+
+
 # -- compaction -----------------------------------------------------------------------------------
 
 
@@ -88,75 +103,116 @@ class CompactCounts:
     files_after: int
     bytes_before: int
     batches_rewritten: int
+    files_rewritten: int = 0
 
 
 def compact(h: History, target_bytes: int | None = None, *, branch: str | None = None,
             at: datetime | None = None) -> tuple[History, CompactCounts]:
-    """Rewrite batches with small files, listed removals or an old spec into files near `target_bytes`.
+    """Rewrite files that hold removed rows, follow an old spec or are far from `target_bytes`; leave all others alone.
 
-    Rows keep their keys, so staged changes stay applicable; batches already in shape are left alone.
-    Without partitions input splits are merged in place; nothing is shuffled.
+    Small files of one partition are packed into groups of about the target; a small file that shares its group with
+    none stays. Rows keep their keys, so staged changes stay applicable. Without partitions input splits are merged in
+    place and nothing is shuffled. The driver sees one line per file that is rewritten or small.
     """
     target_bytes = target_bytes or h.target_file_bytes or DEFAULT_TARGET_BYTES
     seen = h.visible(h.head(branch))
     hits = h.removals_of(seen)
-    sizes = _batch_sizes(h, seen.batches)
-
-    def current(b: int) -> bool:
-        return not hits[b] and h.commits[b].spec_id == h.spec_id
-
-    def in_shape(b: int) -> bool:
-        wanted = sizes[b].files * target_bytes
-        return current(b) and wanted * SMALL_SHARE <= sizes[b].bytes <= wanted * LARGE_SHARE
-
-    chosen = [b for b in seen.batches if not in_shape(b)]
-    before = _BatchSize.total(sizes.values())
-    old = _BatchSize.total(sizes[b] for b in chosen)
-    wanted = max(1, -(-old.bytes // target_bytes))
-    # One batch that cannot come out with fewer files: its folders hold one file each.
-    settled = len(chosen) == 1 and current(chosen[0]) and old.files == max(wanted, old.folders)
-    if not chosen or settled:
-        return h, CompactCounts(before.files, before.files, before.bytes, 0)
-
+    if not seen.batches:
+        return h, CompactCounts(0, 0, 0, 0)
+    found = _files(h, seen, hits, target_bytes)
+    totals = {r["batch"]: r for r in found.groupBy("batch").agg(
+        F.count("*").alias("files"), F.sum("length").alias("bytes")).collect()}
+    before, size = (sum(r[n] for r in totals.values()) for n in ("files", "bytes"))
+    candidates = found.where("must OR small").collect()
+    chosen = _groups(candidates, target_bytes)
+    if not chosen:
+        return h, CompactCounts(before, before, size, 0)
+
+    names: dict[int, list[str]] = {}
+    for r in chosen:
+        names.setdefault(r["batch"], []).append(r["file"])
+    whole = [b for b, files_of in names.items() if len(files_of) == totals[b]["files"]]
+    partial = {b: files_of for b, files_of in names.items() if b not in whole}
     h = h.writable()
     batch = h.next_snapshot_id
-    rows = h.rows_of(seen, hits, chosen)
-    kept = rows.count()
-    h.write_rows(batch, rows, keep_keys=F.lit(True), files_wanted=wanted, rows_total=kept,
+    rows = [h.rows_of(seen, hits, whole)] if whole else []
+    if partial:
+        listed = [f for files_of in partial.values() for f in files_of]
+        rows.append(h.rows_of(seen, hits, partial, chosen=[files.file_name().isin(listed)]))
+        h.spark.createDataFrame([(b, f) for b, files_of in partial.items() for f in files_of], "batch long, file string") \
+            .coalesce(1).write.parquet(h.dropped_path(batch))
+    rows = rows[0].union(rows[1]) if len(rows) > 1 else rows[0]
+    wanted = max(1, -(-sum(r["length"] for r in chosen) // target_bytes))
+    # Only files to be cut need their rows counted first.
+    cut = any(r["length"] > target_bytes for r in chosen)
+    h.write_rows(batch, rows, keep_keys=F.lit(True), files_wanted=wanted, rows_total=rows.count() if cut else None,
                  target_bytes=target_bytes)
     new_files, _ = files.size_of(h.spark, [h.rows_path(batch, h.spec_id)])
-    origins = sorted({o for b in chosen for o in h.commits[b].origins})
-    new = h.commit("replace", snapshot_id=batch, spec_id=h.spec_id, has_rows=kept > 0, supersedes=chosen,
-                   origins=origins, folded=seen.removals, branch=branch, at=at)
-    return new, CompactCounts(before.files, before.files - old.files + new_files, before.bytes, len(chosen))
-
-
-@dataclass(frozen=True)
-class _BatchSize:
-    files: int = 0
-    bytes: int = 0
-    folders: int = 0
-
-    @staticmethod
-    def total(sizes: Iterable[_BatchSize]) -> _BatchSize:
-        sizes = list(sizes)
-        return _BatchSize(*(sum(getattr(s, n) for s in sizes) for n in ("files", "bytes", "folders")))
-
-
-def _batch_sizes(h: History, batches: list[int]) -> dict[int, _BatchSize]:
-    """Files, bytes and partition folders per batch: one line per batch reaches the driver."""
-    if not batches:
-        return {}
-    batch = F.regexp_extract("path", r"/rows/spec=\d+/batch=(\d+)/", 1).cast("int").alias("batch")
-    folder = F.regexp_replace("path", "/[^/]*$", "").alias("folder")
-    per_batch = (
-        files.data_files(h.spark, [h.rows_path(b) for b in batches])
-        .groupBy(batch, folder).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
-        .groupBy("batch").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"),
-                              F.count("*").alias("folders"))
-    )
-    found = {r["batch"]: _BatchSize(r["files"], r["bytes"], r["folders"]) for r in per_batch.collect()}
-    return {b: found.get(b, _BatchSize()) for b in batches}
+    kept = h.written(batch).count()
+    new = h.commit("replace", snapshot_id=batch, spec_id=h.spec_id, has_rows=kept > 0, supersedes=sorted(whole),
+                   dropped={b: len(f) for b, f in partial.items()}, folded=seen.removals, branch=branch, at=at,
+                   origins=sorted({o for b in names for o in h.commits[b].origins}))
+    return new, CompactCounts(before, before - len(chosen) + new_files, size, len(names), len(chosen))
+
+
+def _files(h: History, seen: Visible, hits: dict[int, list[int]], target_bytes: int) -> DataFrame:
+    """(batch, file, folder, length, must, small) of every visible file; must: it is to be rewritten in any case."""
+    listing = files.data_files(h.spark, [h.rows_path(b) for b in seen.batches]).select(
+        F.regexp_extract("file", r"^spec=\d+/batch=(\d+)/", 1).cast("long").alias("batch"), "file",
+        F.regexp_extract("file", r"^spec=\d+/batch=\d+/attempt=[^/]*/(.*/)?", 1).alias("folder"), "length")
+    gone = h.dropped_files(seen, seen.batches)
+    if gone:
+        listing = listing.where(~F.col("file").isin(gone))
+    dirty = _dirty_files(h, seen, hits)
+    other_spec = [b for b in seen.batches if h.commits[b].spec_id != h.spec_id]
+    must = F.col("batch").isin(other_spec) | (F.col("length") > target_bytes * LARGE_SHARE)
+    if dirty is not None:
+        listing = listing.join(dirty.withColumn("dirty", F.lit(True)), "file", "left")
+        must = must | F.col("dirty").isNotNull()
+    return listing.select("batch", "file", "folder", "length", must.alias("must"),
+                          (F.col("length") < target_bytes * SMALL_SHARE).alias("small"))
+
+
+def _dirty_files(h: History, seen: Visible, hits: dict[int, list[int]]) -> DataFrame | None:
+    """Files that hold removed rows, found from row keys alone."""
+    by_spec: dict[int, list[int]] = {}
+    for b in seen.batches:
+        if hits[b]:
+            by_spec.setdefault(h.commits[b].spec_id, []).append(b)
+    out = None
+    for spec_id, members in sorted(by_spec.items()):
+        rows = h.scan(spec_id, members, extra=[files.file_name().alias("_file")], chosen=h.visible_files(seen, members))
+        words = h.removals_to_join({r for b in members for r in hits[b]})
+        found = listed_in(rows.select("_added_in", "_row_id", "_file"), words).select(F.col("_file").alias("file")).distinct()
+        out = found if out is None else out.union(found)
+    return out
+
+
+def _groups(candidates: list, target_bytes: int) -> list:
+    """The files to rewrite: all that must be, and small ones that share a group with another file.
+
+    Groups are filled smallest files first, partition by partition, up to the target.
+    """
+    chosen = [r for r in candidates if r["must"]]
+    by_folder: dict[str, list] = {}
+    for r in candidates:
+        if not r["must"]:
+            by_folder.setdefault(r["folder"], []).append(r)
+    # What must be rewritten anyway takes in small neighbours as far as there is room.
+    room: dict[str, int] = {}
+    for r in chosen:
+        room[r["folder"]] = room.get(r["folder"], 0) + r["length"]
+    for folder, small in sorted(by_folder.items()):
+        group, held = [], room.get(folder, 0) % target_bytes
+        joined = held > 0
+        for r in sorted(small, key=lambda r: (r["length"], r["file"])):
+            if held + r["length"] > target_bytes and (group or joined):
+                chosen += group if joined or len(group) > 1 else []
+                group, held, joined = [], 0, False
+            group.append(r)
+            held += r["length"]
+        chosen += group if joined or len(group) > 1 else []
+    return chosen
 
 
 # -- expiry ---------------------------------------------------------------------------------------
@@ -183,7 +239,7 @@ def expire(h: History, older_than: datetime, retain_last: int = 1) -> tuple[Hist
     keep = {s for s, c in alive.items() if datetime.fromisoformat(c.committed_at) >= older_than}
     for head in h.refs.values():
         keep.update([s for s in h.lineage(head) if s in alive][-retain_last:])
-    rows, removals = _needed(h, keep)
+    rows, removals, taken = _needed(h, keep)
 
     changed: dict[int, Commit] = {s: replace(c, expired=True) for s, c in alive.items() if s not in keep}
     old_rows = [s for s, c in h.commits.items() if c.has_rows and not c.rows_gone and s not in rows]
@@ -198,19 +254,27 @@ def expire(h: History, older_than: datetime, retain_last: int = 1) -> tuple[Hist
         files.delete(h.spark, h.rows_path(s))
     for s in old_removals:
         files.delete(h.spark, h.removals_path(s))
+    for b, compactions in taken.items():
+        if compactions:
+            seen = Visible([b], [], {b: sorted(compactions)})
+            files.delete_encoded(h.spark, f"{h.path}/rows", h.dropped_files(seen, [b]))
     return new, ExpireCounts(len(alive) - len(keep), len(old_rows), len(old_removals))
 
 
-def _needed(h: History, keep: set[int]) -> tuple[set[int], set[int]]:
-    """Batches and removals that some kept snapshot reads."""
+def _needed(h: History, keep: set[int]) -> tuple[set[int], set[int], dict[int, set[int]]]:
+    """Batches and removals that some kept snapshot reads; by batch, the compactions that took files from all of them."""
     rows: set[int] = set()
     removals: set[int] = set()
+    taken: dict[int, set[int]] = {}
     for s in keep:
         seen = h.visible(s)
         rows.update(seen.batches)
+        for b in seen.batches:
+            here = set(seen.partial.get(b, ()))
+            taken[b] = taken[b] & here if b in taken else here
         for hits in h.removals_of(seen).values():
             removals.update(hits)
-    return rows, removals
+    return rows, removals, taken
 
 
 def stored_rows(h: History) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.fields import col
-from tidemark.plans.history import RESERVED_FACTS, ROW_KEY, History, Visible
+from tidemark.plans.history import RESERVED_FACTS, History, Visible
+from tidemark.plans.removals import ROW_KEY, keys_of
 
 SNAPSHOT_COLUMNS = (
     "snapshot_id long, parent_id long, committed_at timestamp, operation string, summary map<string,string>"
@@ -161,14 +162,14 @@ def cherrypick(h: History, snapshot_id: int, branch: str | None = None, *, at: d
     batch, now, then = h.next_snapshot_id, h.visible(head), h.visible(picked.parent_id)
     effect = {}
     if source.removed:
-        gone, origins = h.read_removals([source.snapshot_id]), set(source.removed)
+        gone, origins = keys_of(h.read_removals([source.snapshot_id])), set(source.removed)
     else:
         # A full update or overwrite lists no keys; what it removed is all that its base showed.
         gone = h.rows_of(then, h.removals_of(then), source.supersedes).select(*ROW_KEY)
         origins = {o for b in source.supersedes for o in h.commits[b].origins}
         if source.supersedes:
             h.write_removals(batch, gone)
-            effect["removed"] = h.listed(batch)
+            effect = h.listed(batch)
     _check_conflicts(h, now, then, gone, origins)
     facts = {k: v for k, v in picked.summary.items() if k not in RESERVED_FACTS}
     return h.commit(

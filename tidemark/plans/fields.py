@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 _INTEGERS = [T.ByteType, T.ShortType, T.IntegerType, T.LongType]
 _NUMBERS = (*_INTEGERS, T.FloatType, T.DoubleType, T.DecimalType)
-_OWN_NAMES = ("_added_in", "_row_id", "_removed_in", "_prev_in", "_prev_id", "_found", "_keep", "_n")
+_OWN_NAMES = ("_added_in", "_row_id", "_gone_in", "_gone_word", "_gone_mask", "_bit", "_file", "_removed_in", "_prev_in",
+              "_prev_id", "_found", "_keep", "_n")
 
 
 def col(name: str) -> Column:

@@ -7,10 +7,15 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def file_name() -> Column:
+    """A row's file below the rows folder, as a column of a scan."""
+    return F.regexp_extract(F.col("_metadata.file_path"), r"/rows/(spec=\d+/batch=\d+/attempt=.*)$", 1)
+
+
 class BehindLog(RuntimeError):
     """Another writer has moved a history on since it was loaded."""
 
@@ -30,6 +35,15 @@ def delete(spark: SparkSession, path: str) -> bool:
     return fs.delete(p, True)
 
 
+def delete_encoded(spark: SparkSession, root: str, names: list[str]) -> None:
+    """Delete files below `root` by their names as scans show them, which are URL-encoded."""
+    fs, p = _fs(spark, root)
+    base = fs.makeQualified(p).toUri().toString()
+    jvm = spark.sparkContext._jvm
+    for name in names:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f"{base}/{name}")), False)
+
+
 def write_new_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a small text file that must not exist yet; readers never see it half written."""
     fs, target = _fs(spark, path)
@@ -47,13 +61,13 @@ def write_new_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def data_files(spark: SparkSession, paths: list[str], pattern: str = "*.parquet") -> DataFrame:
-    """One row (path, length) per file below `paths`; the content is never read."""
+    """One row (path, file, length) per file below `paths`; the content is never read."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
         .load(paths)
-        .select("path", "length")
+        .select("path", file_name().alias("file"), "length")
     )
 
 

@@ -5,13 +5,15 @@ Data on shared storage, below one folder:
 * ``rows/spec=<s>/batch=<n>/attempt=<a>/``: rows written by snapshot n; each attempt to write one has a folder of its
   own, so a writer that is refused in the end has touched nothing that counts. Columns ``_added_in`` (snapshot that first
   wrote the row) and ``_row_id`` identify a row for ever; user columns are stored as ``f<field id>``.
-* ``removals/batch=<n>/attempt=<a>/``: the (``_added_in``, ``_row_id``) pairs snapshot n removed.
+* ``removals/batch=<n>/attempt=<a>/``: the (``_added_in``, ``_row_id``) pairs snapshot n removed, as bit words.
+* ``dropped/batch=<n>/attempt=<a>/``: files of other batches whose rows snapshot n, a compaction, has taken over.
+* ``stats/batch=<n>/``: facts and column bounds of the files of batch n, where they were gathered.
 * ``log/<version>.json``: what each change added to commits, refs, ref log and schema.
 
 A snapshot shows the batches its ancestors wrote, less those a later ancestor replaced, less the removed
 rows. Every update, delete and upsert lists the keys of the rows it removes, however many they are, so what a later
 operation sees of it does not depend on size. Reads broadcast removals whose counted rows are few and leave other
-joins to Spark; ``compact`` takes removed rows out of the files.
+joins to Spark; ``compact`` rewrites the files that hold removed rows and leaves the others alone.
 """
 
 from __future__ import annotations
@@ -26,11 +28,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.plans import files, partitioning
+from tidemark.plans import bounds, files, partitioning, removals as gone
 from tidemark.plans.fields import col, field_id, store_value, stored_name
+from tidemark.plans.removals import ROW_KEY
 
-ROW_KEY = ["_added_in", "_row_id"]
-MAX_BROADCAST_REMOVALS = 1_000_000  # about 100 MB as a hash table; decides the join alone
+MAX_BROADCAST_REMOVALS = 1_000_000  # bit words, about 100 MB as a hash table; decides the join alone
 RESERVED_FACTS = ("added_rows", "removed_rows", "total_rows", "wap.id", "source_snapshot_id")
 
 _KEY_SCHEMA = T.StructType([T.StructField(n, T.LongType()) for n in ROW_KEY])
@@ -49,6 +51,8 @@ class Commit:
     spec_id: int = 0
     has_rows: bool = False
     removed: dict[int, int] = field(default_factory=dict)  # _added_in -> rows listed in its removals
+    removed_words: int = 0  # in how many bit words
+    dropped: dict[int, int] = field(default_factory=dict)  # batch -> how many of its files this one's batch took over
     supersedes: list[int] = field(default_factory=list)  # batches its own batch stands in for
     origins: list[int] = field(default_factory=list)  # _added_in values its batch may hold
     folded: list[int] = field(default_factory=list)  # removals its batch has applied already
@@ -67,6 +71,7 @@ class Visible:
 
     batches: list[int]
     removals: list[int]
+    partial: dict[int, list[int]] = field(default_factory=dict)  # batch -> compactions that took some of its files
 
 
 @dataclass(frozen=True)
@@ -106,7 +111,8 @@ class History:
         for line in lines:
             head = json.loads(line["value"])
             for raw in head.pop("commits"):
-                raw["removed"] = {int(k): v for k, v in raw["removed"].items()}
+                for name in ("removed", "dropped"):
+                    raw[name] = {int(k): v for k, v in raw.get(name, {}).items()}
                 commits[raw["snapshot_id"]] = Commit(**raw)
             ref_log += head.pop("ref_log")
         head["schema"] = T.StructType.fromJson(head["schema"])
@@ -225,18 +231,22 @@ class History:
     def visible(self, snapshot_id: int | None) -> Visible:
         batches: dict[int, None] = {}
         removals: list[int] = []
+        partial: dict[int, list[int]] = {}
         for s in self.lineage(snapshot_id):
             c, source = self.commits[s], self.source_of(s)
             # Batches are replaced as a whole on the line they were replaced on. A picked snapshot removes rows by
             # their keys: those its source listed, or those it listed itself.
             for b in c.supersedes:
                 batches.pop(b, None)
+                partial.pop(b, None)
+            for b in c.dropped:
+                partial.setdefault(b, []).append(s)
             if source.has_rows:
                 batches[source.snapshot_id] = None
             listed = c if c.removed else source
             if listed.removed:
                 removals.append(listed.snapshot_id)
-        return Visible(list(batches), removals)
+        return Visible(list(batches), removals, partial)
 
     def removals_of(self, seen: Visible) -> dict[int, list[int]]:
         """Per visible batch, the removals that may hit its rows."""
@@ -248,7 +258,8 @@ class History:
         for b in seen.batches:
             c = self.commits[b]
             hits = {r for o in c.origins for r in by_origin.get(o, ())}
-            out[b] = sorted(hits.difference(c.folded))
+            # a compaction takes over every file that holds removed rows
+            out[b] = sorted(hits.difference(c.folded, *(self.commits[p].folded for p in seen.partial.get(b, ()))))
         return out
 
     def holding(self, seen: Visible, origins: Iterable[int]) -> list[int]:
@@ -256,8 +267,8 @@ class History:
         origins = set(origins)
         return [b for b in seen.batches if not origins.isdisjoint(self.commits[b].origins)]
 
-    def removed_rows(self, removals: Iterable[int]) -> int:
-        return sum(sum(self.commits[r].removed.values()) for r in set(removals))
+    def removal_words(self, removals: Iterable[int]) -> int:
+        return sum(self.commits[r].removed_words for r in set(removals))
 
     # -- files ----------------------------------------------------------------------------------
 
@@ -268,6 +279,18 @@ class History:
     def removals_path(self, batch: int) -> str:
         return f"{self.path}/removals/batch={batch}/attempt={self._attempt(batch)}"
 
+    def dropped_path(self, batch: int) -> str:
+        return f"{self.path}/dropped/batch={batch}/attempt={self._attempt(batch)}"
+
+    def dropped_files(self, seen: Visible, batches: Iterable[int]) -> list[str]:
+        """Files of these batches whose rows are in another batch by now."""
+        batches = set(batches)
+        paths = sorted({self.dropped_path(p) for b in batches for p in seen.partial.get(b, ())})
+        if not paths:
+            return []
+        names = self.spark.read.schema("batch long, file string").parquet(*paths)
+        return [r["file"] for r in names.where(F.col("batch").isin(sorted(batches))).select("file").distinct().collect()]
+
     def _attempt(self, batch: int) -> str:
         return self.commits[batch].attempt if batch in self.commits else self.attempt
 
@@ -281,10 +304,12 @@ class History:
 
     # -- reads ----------------------------------------------------------------------------------
 
-    def scan(self, spec_id: int, batches: list[int], prune: Prune | None = None, extra: Iterable[Column] = ()) -> DataFrame:
+    def scan(self, spec_id: int, batches: list[int], prune: Prune | None = None, extra: Iterable[Column] = (),
+             chosen: Iterable[Column] = ()) -> DataFrame:
         """Rows of batches that share a partition spec, under their current column names.
 
-        `extra` may add columns of the scan itself, such as the file a row is in.
+        `extra` may add columns of the scan itself, such as the file a row is in; `chosen` are conditions on the file,
+        which leave files out before any is opened.
         """
         spec = self.spec(spec_id)
         schema = T.StructType(
@@ -298,35 +323,39 @@ class History:
         df = (
             self.spark.read.schema(schema.add("batch", T.LongType()).add("attempt", T.StringType()))
             .option("basePath", f"{self.path}/rows/spec={spec_id}")
-            .parquet(*[self.rows_path(b) for b in batches])
+            .parquet(*[self.rows_path(b, spec_id) for b in batches])
         )
         for transform, f in spec:
             bound = prune(transform, f, F.col(self._partition_name(transform, f))) if prune else None
             if bound is not None:
                 df = df.where(bound)
+        for condition in chosen:
+            df = df.where(condition)
         return df.select(*ROW_KEY, *[
             F.col(stored_name(f)).alias(f.name, metadata=f.metadata) for f in self.schema
         ], *extra)
 
     def read_removals(self, removals: Iterable[int]) -> DataFrame:
+        """What snapshots removed, as bit words."""
         paths = [self.removals_path(r) for r in sorted(set(removals))]
-        return self.spark.read.schema(_KEY_SCHEMA).parquet(*paths)
+        return self.spark.read.schema(gone.SCHEMA).parquet(*paths)
+
+    def visible_files(self, seen: Visible, batches: Iterable[int]) -> list[Column]:
+        """Conditions on the file that a read of these batches must make."""
+        dropped = self.dropped_files(seen, batches)
+        return [~files.file_name().isin(dropped)] if dropped else []
 
     def rows_of(self, seen: Visible, hits: dict[int, list[int]], batches: Iterable[int] | None = None,
-                prune: Prune | None = None) -> DataFrame:
+                prune: Prune | None = None, chosen: Iterable[Column] = ()) -> DataFrame:
         """Live rows with their row keys, of some or all visible batches. Batches no removal hits are not joined."""
         groups: dict[tuple[int, bool], list[int]] = {}
         for b in seen.batches if batches is None else batches:
             groups.setdefault((self.commits[b].spec_id, bool(hits.get(b))), []).append(b)
         parts = []
         for (spec_id, dirty), members in sorted(groups.items()):
-            df = self.scan(spec_id, members, prune)
+            df = self.scan(spec_id, members, prune, chosen=[*self.visible_files(seen, members), *chosen])
             if dirty:
-                ids = {r for b in members for r in hits[b]}
-                gone = self.read_removals(ids)
-                if self.removed_rows(ids) <= MAX_BROADCAST_REMOVALS:
-                    gone = F.broadcast(gone)
-                df = df.join(gone, ROW_KEY, "left_anti")
+                df = gone.without(df, self.removals_to_join({r for b in members for r in hits[b]}))
             parts.append(df)
         if not parts:
             empty = T.StructType(_KEY_SCHEMA.fields + [
@@ -338,10 +367,15 @@ class History:
             out = out.union(part)
         return out
 
-    def live(self, snapshot_id: int | None, prune: Prune | None = None) -> DataFrame:
+    def removals_to_join(self, removals: Iterable[int]) -> DataFrame:
+        """Removals for a join; broadcast where their counted words are few."""
+        words = self.read_removals(removals)
+        return F.broadcast(words) if self.removal_words(removals) <= MAX_BROADCAST_REMOVALS else words
+
+    def live(self, snapshot_id: int | None, prune: Prune | None = None, chosen: Iterable[Column] = ()) -> DataFrame:
         """All rows a snapshot shows, with their row keys."""
         seen = self.visible(snapshot_id)
-        return self.rows_of(seen, self.removals_of(seen), prune=prune)
+        return self.rows_of(seen, self.removals_of(seen), prune=prune, chosen=chosen)
 
     # -- writes ---------------------------------------------------------------------------------
 
@@ -370,13 +404,14 @@ class History:
         ]
         kept = [keep_keys.alias("_keep")] if keep_keys is not None else []
         out = df.select(*keys, *kept, *extra, *values, *derived)
-        if files_wanted and not parts:
+        if files_wanted and not parts and not self.cluster_field:
             out = out.coalesce(files_wanted)
         added, row_id = F.lit(batch).cast("long"), F.monotonically_increasing_id()
         if keep_keys is not None:
             added = F.when(F.col("_keep"), F.col("_added_in")).otherwise(added)
             row_id = F.when(F.col("_keep"), F.col("_row_id")).otherwise(row_id)
         stored = [stored_name(f) for f in self.schema]
+        clustered = self.cluster_field
 
         def write(rows: DataFrame) -> None:
             writer = (
@@ -387,10 +422,21 @@ class History:
                 writer = writer.option("maxRecordsPerFile", -(-rows_total // files_wanted))
             writer.parquet(self.rows_path(batch, self.spec_id))
 
-        if files_wanted and not parts:
+        if clustered and not parts:
+            size = target_bytes or self.target_file_bytes
+            partitioning.write_ranged(out, stored_name(clustered), write, size, files_wanted)
+        elif files_wanted and not parts:
             write(out)
         else:
             partitioning.write_gathered(out, parts, write, target_bytes or self.target_file_bytes)
+        if self.properties.get("gather_stats") == "true":
+            bounds.gather(self, [batch], {batch: self.spec_id})
+
+    @property
+    def cluster_field(self) -> T.StructField | None:
+        """The column that new files are laid out by."""
+        fid = self.properties.get("cluster.field_id")
+        return next((f for f in self.schema if str(field_id(f)) == fid), None) if fid else None
 
     @property
     def target_file_bytes(self) -> int | None:
@@ -404,14 +450,12 @@ class History:
         return self.spark.read.schema(schema).parquet(self.rows_path(batch, self.spec_id))
 
     def write_removals(self, batch: int, keys: DataFrame) -> None:
-        (
-            keys.select(*ROW_KEY, F.lit(batch).cast("long").alias("_removed_in"))
-            .write.parquet(self.removals_path(batch))
-        )
+        gone.words_of(keys).write.parquet(self.removals_path(batch))
 
-    def listed(self, batch: int) -> dict[int, int]:
-        """What was just listed for removal, counted by `_added_in`."""
-        return count_by_origin(self.spark.read.schema(_KEY_SCHEMA).parquet(self.removals_path(batch)))
+    def listed(self, batch: int) -> dict:
+        """What was just listed for removal, as the commit's facts: rows by `_added_in`, and words."""
+        removed, words = gone.counted(self.read_removals([batch]))
+        return {"removed": removed, "removed_words": words}
 
 
 # Given (transform, field, partition column), a filter on that column or None.
@@ -424,8 +468,3 @@ def _iso(at: datetime | None) -> str:
         at = at.replace(tzinfo=timezone.utc)
     return at.astimezone(timezone.utc).isoformat(timespec="microseconds")
 
-
-def count_by_origin(keys: DataFrame) -> dict[int, int]:
-    """Rows per `_added_in`: one small line per snapshot that wrote any of them."""
-    return {r["_added_in"]: r["n"] for r in keys.groupBy("_added_in").agg(F.count("*").alias("n")).collect()}
-

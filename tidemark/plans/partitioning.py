@@ -90,15 +90,36 @@ def write_gathered(df: DataFrame, names: Sequence[str], write: Callable[[DataFra
     if target_bytes:
         settings["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = str(target_bytes)
         settings["spark.sql.adaptive.coalescePartitions.parallelismFirst"] = "false"
-        # Adaptive execution merges small partitions but cannot cut one map task's share, so begin with enough of them.
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-        default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        wanted = min(max(default, -(-size // target_bytes)), MAX_PARTITIONS)
-        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(wanted)
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(_partitions_for(df, target_bytes))
     with session_settings(df.sparkSession, settings):
         write(df.hint("rebalance", *names))
 
 
+def write_ranged(df: DataFrame, column: str, write: Callable[[DataFrame], None], target_bytes: int | None = None,
+                 files_wanted: int | None = None) -> None:
+    """Write rows in ranges of a column, sorted within each file.
+
+    Ranges come from a sample that Spark draws; a frequent value is split over files by the rows' position.
+    """
+    spread = F.monotonically_increasing_id()
+    if files_wanted:
+        return write(df.repartitionByRange(files_wanted, col(column), spread).sortWithinPartitions(col(column)))
+    settings = {}
+    if target_bytes:
+        settings["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = str(target_bytes)
+        settings["spark.sql.adaptive.coalescePartitions.parallelismFirst"] = "false"
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(_partitions_for(df, target_bytes))
+    with session_settings(df.sparkSession, settings):
+        write(df.repartitionByRange(col(column), spread).sortWithinPartitions(col(column)))
+
+
+def _partitions_for(df: DataFrame, target_bytes: int) -> int:
+    """How many partitions to begin with: adaptive execution merges small ones but cannot cut one map task's share."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(default, -(-size // target_bytes)), MAX_PARTITIONS)
+
+
 @contextmanager
 def session_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
     """Set session options for the duration of a write."""

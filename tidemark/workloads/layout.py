@@ -9,9 +9,9 @@ from tidemark.operators import maintenance
 from tidemark.operators import snapshots as snap
 from tidemark.operators.changes import delete_where
 from tidemark.operators.snapshots import read_at
-from tidemark.operators.stats import partition_stats
+from tidemark.operators.stats import file_stats, gather_stats, partition_stats
 from tidemark.operators.writes import append, create_history
-from tidemark.plans.files import work_path
+from tidemark.plans.files import size_of, work_path
 from tidemark.plans.history import History
 from tidemark.plans.partitioning import hour_start
 from tidemark.sources.sinks import write_partitioned, write_sized as write_at_size
@@ -100,6 +100,37 @@ def range_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.read_range(_respecified(spark, sf_dir), "ts", "2024-01-13 06:30:00", "2024-01-16 18:15:00")
 
 
+@query("""
+SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '1994-03-01' AND l_shipdate < TIMESTAMP '1994-05-15'
+""")
+def range_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of an unpartitioned history in ranges of the column; files whose bounds miss it stay closed."""
+    lineitem = table(spark, sf_dir, "lineitem")
+    h = create_history(lineitem.where("l_shipdate < timestamp_ntz'1995-01-01'"), work_path(spark, "lineitem"))
+    h = gather_stats(maintenance.cluster_by(h, "l_shipdate"), always=True)
+    h = append(h, lineitem.where("l_shipdate >= timestamp_ntz'1995-01-01' OR l_shipdate IS NULL"))
+    return maintenance.read_range(h, "l_shipdate", "1994-03-01", "1994-05-15")
+
+
+@query("""
+SELECT 'c_custkey' AS "column", count(*) AS record_count, CAST(count(*) - count(c_custkey) AS BIGINT) AS null_count,
+       CAST(min(c_custkey) AS VARCHAR) AS lower_bound, CAST(max(c_custkey) AS VARCHAR) AS upper_bound
+FROM customer WHERE c_nationkey < 20
+UNION ALL SELECT 'c_name', count(*), CAST(count(*) - count(c_name) AS BIGINT), min(c_name), max(c_name)
+FROM customer WHERE c_nationkey < 20
+UNION ALL SELECT 'c_nationkey', count(*), CAST(count(*) - count(c_nationkey) AS BIGINT), CAST(min(c_nationkey) AS VARCHAR),
+       CAST(max(c_nationkey) AS VARCHAR) FROM customer WHERE c_nationkey < 20
+""")
+def file_stats_gathered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts gathered beside the writes, after a delete and a compaction into one file; no data is read for them."""
+    customer = table(spark, sf_dir, "customer")
+    h = create_history(customer.limit(0), work_path(spark, "customer"), properties={"gather_stats": "true"})
+    h = delete_where(append(h, customer.repartition(8)), "c_nationkey >= 20 OR c_nationkey IS NULL")
+    h, _ = maintenance.compact(h)
+    return file_stats(h, ["c_custkey", "c_name", "c_nationkey"]).select(
+        "column", "record_count", "null_count", "lower_bound", "upper_bound")
+
+
 def _small_files(spark: SparkSession, sf_dir: str) -> History:
     """orders in many small files, one status deleted."""
     orders = table(spark, sf_dir, "orders")
@@ -113,6 +144,22 @@ def compact_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_at(h)
 
 
+@query("""
+SELECT CAST(8 AS BIGINT) AS files_before, CAST(8 AS BIGINT) AS files_after, CAST(1 AS BIGINT) AS files_rewritten,
+       count(*) AS n, round(sum(o_totalprice), 2) AS total
+FROM orders WHERE o_orderkey <> (SELECT min(o_orderkey) FROM orders)
+""")
+def compact_one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight files of a size that fits, one row removed from one of them: only that file is written anew."""
+    orders = table(spark, sf_dir, "orders")
+    h = create_history(orders.repartition(8), work_path(spark, "orders"))
+    size = size_of(spark, [h.rows_path(1)])[1]
+    h = delete_where(h, F.col("o_orderkey") == orders.agg(F.min("o_orderkey")).scalar())
+    h, counts = maintenance.compact(h, size // 8)
+    facts = [F.lit(getattr(counts, n)).cast("long").alias(n) for n in ("files_before", "files_after", "files_rewritten")]
+    return read_at(h).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")).select(*facts, "n", "total")
+
+
 def _expired(spark: SparkSession, sf_dir: str) -> History:
     """1 load, 2 delete, 3 compact, 4 staged copy of all rows; all but the head of main expire."""
     h = snap.enable_wap(_small_files(spark, sf_dir))
