@@ -20,8 +20,8 @@ from tidemark.operators.snapshots import (
 )
 from tidemark.operators.stats import file_stats, gather_stats, partition_stats
 from tidemark.operators.writes import (
-    add_derived, append, append_files, create_history, ensure_history, insert_positional, load_history, overwrite,
-    reconcile,
+    add_derived, append, append_files, attach_history, create_history, detach_history, ensure_history,
+    insert_positional, load_history, overwrite, reconcile, refresh_names,
 )
 from tidemark.plans.history import History
 from tidemark.sources.readers import read_json_array, read_parquet, read_stream, scan, union_all

@@ -12,9 +12,13 @@ from tidemark.plans.fields import col
 from tidemark.plans.history import RESERVED_FACTS, History, Visible
 from tidemark.plans.removals import ROW_KEY, keys_of
 
-SNAPSHOT_COLUMNS = (
-    "snapshot_id long, parent_id long, committed_at timestamp, operation string, summary map<string,string>"
-)
+# What the queries below need of a log file.
+_LOG = """
+version long, refs map<string,long>,
+commits array<struct<snapshot_id:long,parent_id:long,committed_at:string,operation:string,summary:map<string,string>,
+                     expired:boolean>>,
+ref_log array<struct<seq:long,made_current_at:string,ref:string,snapshot_id:long,parent_id:long>>
+"""
 
 
 # -- reading --------------------------------------------------------------------------------------
@@ -37,45 +41,51 @@ def _check_snapshot(h: History, snapshot_id: int) -> None:
 
 
 def register_view(h: History, name: str, branch: str | None = None) -> None:
-    """(Re-)register a temporary view over a branch head; call again after a commit."""
+    """(Re-)register a temporary view over a branch head; call again after a commit.
+
+    `attach_history` gives a history a name that follows its commits.
+    """
     read_at(h, branch=branch).createOrReplaceTempView(name)
 
 
 # -- logs -----------------------------------------------------------------------------------------
 
 
+def _log(h: History) -> DataFrame:
+    """The log files up to this version, one row each."""
+    return h.spark.read.schema(_LOG).json(f"{h.path}/log/*.json").where(F.col("version") <= h.version)
+
+
 def snapshots(h: History) -> DataFrame:
-    """All snapshots that have not expired, staged ones included."""
-    rows = [
-        (c.snapshot_id, c.parent_id, datetime.fromisoformat(c.committed_at), c.operation, c.summary)
-        for c in h.commits.values() if not c.expired
-    ]
-    return h.spark.createDataFrame(rows, SNAPSHOT_COLUMNS)
+    """All snapshots that have not expired, staged ones included. A commit counts as its newest log file has it."""
+    lines = _log(h).select("version", F.explode("commits").alias("c"))
+    newest = lines.groupBy(F.col("c.snapshot_id").alias("snapshot_id")).agg(F.max_by("c", "version").alias("c"))
+    return newest.where(~F.col("c.expired")).select(
+        "snapshot_id", "c.parent_id", F.col("c.committed_at").cast("timestamp").alias("committed_at"), "c.operation",
+        "c.summary")
 
 
 def current_snapshot(h: History, ref: str | None = None) -> DataFrame:
     """The snapshot a branch points to (no row for an empty branch)."""
-    return snapshots(h).where(F.col("snapshot_id") == F.lit(h.head(ref)).cast("long"))
+    h.head(ref)  # an unknown branch is an error
+    head = refs(h).where(F.col("name") == (ref or h.branch)).select("snapshot_id")
+    return snapshots(h).join(F.broadcast(head), "snapshot_id", "left_semi")  # one row
 
 
 def history(h: History, ref: str = "main") -> DataFrame:
     """Which snapshots were current on a branch, and whether each is an ancestor of the current one."""
-    ancestors = set(h.lineage(h.head(ref)))
-    rows = [
-        (e["seq"], datetime.fromisoformat(e["made_current_at"]), e["snapshot_id"], e["parent_id"],
-         e["snapshot_id"] in ancestors)
-        for e in h.ref_log if e["ref"] == ref
-    ]
-    return h.spark.createDataFrame(
-        rows, "seq long, made_current_at timestamp, snapshot_id long, parent_id long, is_current_ancestor boolean"
-    )
+    ancestors = h.lineage(h.head(ref))
+    moves = _log(h).select(F.explode("ref_log").alias("m")).where(F.col("m.ref") == ref)
+    return moves.select(
+        "m.seq", F.col("m.made_current_at").cast("timestamp").alias("made_current_at"), "m.snapshot_id", "m.parent_id",
+        F.col("m.snapshot_id").isin(ancestors).alias("is_current_ancestor"))
 
 
 def refs(h: History) -> DataFrame:
-    return h.spark.createDataFrame(
-        [(name, "BRANCH", s) for name, s in h.refs.items() if s is not None],
-        "name string, type string, snapshot_id long",
-    )
+    """Branches and the snapshots they point to; the newest log file has them all."""
+    newest = _log(h).agg(F.max_by("refs", "version").alias("refs"))
+    return newest.select(F.explode("refs").alias("name", "snapshot_id")).where("snapshot_id IS NOT NULL").select(
+        "name", F.lit("BRANCH").alias("type"), "snapshot_id")
 
 
 # -- moving refs ----------------------------------------------------------------------------------

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.plans import bounds, files, partitioning, removals as gone
+from tidemark.plans import bounds, files, names, partitioning, removals as gone
 from tidemark.plans.fields import col, field_id, store_value, stored_name
 from tidemark.plans.removals import ROW_KEY
 
@@ -148,6 +148,8 @@ class History:
             "ref_log": lines,
         }
         files.write_new_text(self.spark, self._log_file(new.version), json.dumps(record))
+        if names.NAMES in new.properties or names.NAMES in self.properties:
+            names.publish(new, self)
         return new
 
     def commit(self, operation: str, *, snapshot_id: int, added_rows: int = 0, removed_rows: int = 0,
@@ -302,6 +304,17 @@ class History:
     def _partition_name(transform: str, f: T.StructField) -> str:
         return f"p{field_id(f)}_{transform}"
 
+    def stored_schema(self, spec_id: int) -> T.StructType:
+        """What files written under a spec hold, with the columns their folders stand for."""
+        return T.StructType(
+            _KEY_SCHEMA.fields
+            + [T.StructField(stored_name(f), f.dataType) for f in self.schema]
+            + [
+                T.StructField(self._partition_name(t, f), partitioning.derived_type(t, f.dataType))
+                for t, f in self.spec(spec_id)
+            ]
+        )
+
     # -- reads ----------------------------------------------------------------------------------
 
     def scan(self, spec_id: int, batches: list[int], prune: Prune | None = None, extra: Iterable[Column] = (),
@@ -312,16 +325,9 @@ class History:
         which leave files out before any is opened.
         """
         spec = self.spec(spec_id)
-        schema = T.StructType(
-            _KEY_SCHEMA.fields
-            + [T.StructField(stored_name(f), f.dataType) for f in self.schema]
-            + [
-                T.StructField(self._partition_name(t, f), partitioning.derived_type(t, f.dataType))
-                for t, f in spec
-            ]
-        )
         df = (
-            self.spark.read.schema(schema.add("batch", T.LongType()).add("attempt", T.StringType()))
+            self.spark.read.schema(
+                self.stored_schema(spec_id).add("batch", T.LongType()).add("attempt", T.StringType()))
             .option("basePath", f"{self.path}/rows/spec={spec_id}")
             .parquet(*[self.rows_path(b, spec_id) for b in batches])
         )
@@ -370,7 +376,10 @@ class History:
     def removals_to_join(self, removals: Iterable[int]) -> DataFrame:
         """Removals for a join; broadcast where their counted words are few."""
         words = self.read_removals(removals)
-        return F.broadcast(words) if self.removal_words(removals) <= MAX_BROADCAST_REMOVALS else words
+        return F.broadcast(words) if self.few_removals(removals) else words
+
+    def few_removals(self, removals: Iterable[int]) -> bool:
+        return self.removal_words(removals) <= MAX_BROADCAST_REMOVALS
 
     def live(self, snapshot_id: int | None, prune: Prune | None = None, chosen: Iterable[Column] = ()) -> DataFrame:
         """All rows a snapshot shows, with their row keys."""

@@ -28,6 +28,13 @@ def _hit():
     )
 
 
+#: The same condition in SQL, between rows `r` and words `g`.
+HIT_SQL = (
+    "r._added_in = g._gone_in AND shiftright(r._row_id, 6) = g._gone_word "
+    "AND getbit(g._gone_mask, CAST(r._row_id & 63 AS INT)) = 1"
+)
+
+
 def without(rows: DataFrame, words: DataFrame) -> DataFrame:
     """Rows that no word lists."""
     return rows.join(words, _hit(), "left_anti")

@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _quote(name: str) -> str:
-    return ".".join("`" + part.replace("`", "``") + "`" for part in name.split("."))
+def quoted(name: str, whole: bool = False) -> str:
+    """A name in backticks, part by part; whole: dots belong to it."""
+    return ".".join("`" + part.replace("`", "``") + "`" for part in ([name] if whole else name.split(".")))
 
 
-def _text(value: str) -> str:
+def text_literal(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
@@ -19,36 +20,36 @@ def create_view(spark: SparkSession, name: str, query: str,
                 columns: Sequence[str | tuple[str, str]] = (), *, replace: bool = False) -> None:
     """Create a view. `columns` renames the query's columns in order; a pair adds a comment."""
     listed = [
-        _quote(c) if isinstance(c, str) else f"{_quote(c[0])} COMMENT {_text(c[1])}" for c in columns
+        quoted(c) if isinstance(c, str) else f"{quoted(c[0])} COMMENT {text_literal(c[1])}" for c in columns
     ]
     head = "CREATE OR REPLACE VIEW" if replace else "CREATE VIEW"
-    spark.sql(f"{head} {_quote(name)} {'(' + ', '.join(listed) + ')' if listed else ''} AS {query}")
+    spark.sql(f"{head} {quoted(name)} {'(' + ', '.join(listed) + ')' if listed else ''} AS {query}")
 
 
 def drop_view(spark: SparkSession, name: str) -> None:
-    spark.sql(f"DROP VIEW IF EXISTS {_quote(name)}")
+    spark.sql(f"DROP VIEW IF EXISTS {quoted(name)}")
 
 
 def show_views(spark: SparkSession, namespace: str, like: str | None = None) -> DataFrame:
-    return spark.sql(f"SHOW VIEWS IN {_quote(namespace)}" + (f" LIKE {_text(like)}" if like else ""))
+    return spark.sql(f"SHOW VIEWS IN {quoted(namespace)}" + (f" LIKE {text_literal(like)}" if like else ""))
 
 
 def describe_view(spark: SparkSession, name: str, extended: bool = False) -> DataFrame:
-    return spark.sql(f"DESCRIBE {'EXTENDED ' if extended else ''}{_quote(name)}")
+    return spark.sql(f"DESCRIBE {'EXTENDED ' if extended else ''}{quoted(name)}")
 
 
 def create_statement(spark: SparkSession, name: str) -> str:
-    return spark.sql(f"SHOW CREATE TABLE {_quote(name)}").first()[0]
+    return spark.sql(f"SHOW CREATE TABLE {quoted(name)}").first()[0]
 
 
 def view_properties(spark: SparkSession, name: str) -> dict[str, str]:
-    return {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {_quote(name)}").collect()}
+    return {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {quoted(name)}").collect()}
 
 
 def set_view_properties(spark: SparkSession, name: str, values: dict[str, str]) -> None:
-    listed = ", ".join(f"{_text(k)} = {_text(v)}" for k, v in values.items())
-    spark.sql(f"ALTER VIEW {_quote(name)} SET TBLPROPERTIES ({listed})")
+    listed = ", ".join(f"{text_literal(k)} = {text_literal(v)}" for k, v in values.items())
+    spark.sql(f"ALTER VIEW {quoted(name)} SET TBLPROPERTIES ({listed})")
 
 
 def unset_view_properties(spark: SparkSession, name: str, *keys: str) -> None:
-    spark.sql(f"ALTER VIEW {_quote(name)} UNSET TBLPROPERTIES ({', '.join(map(_text, keys))})")
+    spark.sql(f"ALTER VIEW {quoted(name)} UNSET TBLPROPERTIES ({', '.join(map(text_literal, keys))})")

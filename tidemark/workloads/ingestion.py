@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +69,14 @@ def stream_then_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_then_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     h, _ = compact(_run(spark, sf_dir))
     return _naive(read_at(h))
+
+
+@query(_SIGHTINGS_SQL)
+def stream_to_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream into a history that is made if its name is not there yet, read as a table by another session."""
+    namespace = f"lor_{uuid.uuid4().hex[:12]}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {namespace} LOCATION '{work_path(spark, namespace)}'")
+    target = ensure_history(spark, f"{namespace}.sightings", SIGHTINGS)
+    rows = to_sightings(_arriving(spark, sf_dir), F.col("user_id"), "event_type", "ts")
+    append_stream(rows, target, work_path(spark, "checkpoint"), key="character", interval_ms=None).awaitTermination()
+    return _naive(spark.newSession().table(f"{namespace}.sightings"))

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators.analytics import below_k_stddev
+from tidemark.operators.changes import delete_where
+from tidemark.operators.writes import append, create_history, ensure_history, load_history
 from tidemark.plans.files import work_path
 from tidemark.sources.views import create_view
 from tidemark.workloads.changes import EARLY, LATE
@@ -65,6 +67,40 @@ def view_after_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(f"{namespace}.long_trips")
 
 
+@query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
+def named_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Create a history by name, open it by name, read it as a table in SQL."""
+    name = f"{_namespace(spark)}.events"
+    create_history(table(spark, sf_dir, "events"), name)
+    assert load_history(spark, name).head() == 1
+    return spark.sql(f"SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM {name} GROUP BY event_type")
+
+
+@query("""
+SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' OR o_orderstatus IS DISTINCT FROM 'F'
+""")
+def named_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ensure by name, delete and append through the name; the table of that name shows both."""
+    orders = table(spark, sf_dir, "orders")
+    name = f"{_namespace(spark)}.orders"
+    append(ensure_history(spark, name, orders.schema), orders.where("o_orderdate < timestamp_ntz'1995-01-01'"))
+    delete_where(load_history(spark, name), "o_orderstatus = 'F'")
+    append(ensure_history(spark, name, "unused int"), orders.where(
+        "o_orderdate >= timestamp_ntz'1995-01-01' OR o_orderdate IS NULL AND NOT o_orderstatus <=> 'F'"))
+    return spark.table(name)
+
+
+@query(_LONG_SQL)
+def view_history_after_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view over a history, read by another session after an append that came later."""
+    lineitem = table(spark, sf_dir, "lineitem")
+    namespace = _namespace(spark)
+    h = create_history(lineitem.where(EARLY), f"{namespace}.lineitem")
+    create_view(spark, f"{namespace}.long_trips", _LONG_SELECT.format(f"{namespace}.lineitem"), LONG_TRIPS)
+    append(h, lineitem.where(LATE))
+    return spark.newSession().table(f"{namespace}.long_trips")
+
+
 @query("""
 WITH tips AS (SELECT event_id, value FROM events)
 SELECT event_id, value FROM tips WHERE value > 0 AND value < (SELECT stddev_pop(value) FROM tips) * 3
