@@ -119,12 +119,11 @@ def compact(h: History, target_bytes: int | None = None, *, branch: str | None =
     hits = h.removals_of(seen)
     if not seen.batches:
         return h, CompactCounts(0, 0, 0, 0)
-    found = _files(h, seen, hits, target_bytes)
-    totals = {r["batch"]: r for r in found.groupBy("batch").agg(
+    listing = _files(h, seen)
+    totals = {r["batch"]: r for r in listing.groupBy("batch").agg(
         F.count("*").alias("files"), F.sum("length").alias("bytes")).collect()}
     before, size = (sum(r[n] for r in totals.values()) for n in ("files", "bytes"))
-    candidates = found.where("must OR small").collect()
-    chosen = _groups(candidates, target_bytes)
+    chosen = _groups(_marked(h, seen, hits, listing, target_bytes).where("must OR small").collect(), target_bytes)
     if not chosen:
         return h, CompactCounts(before, before, size, 0)
 
@@ -155,19 +154,24 @@ def compact(h: History, target_bytes: int | None = None, *, branch: str | None =
     return new, CompactCounts(before, before - len(chosen) + new_files, size, len(names), len(chosen))
 
 
-def _files(h: History, seen: Visible, hits: dict[int, list[int]], target_bytes: int) -> DataFrame:
-    """(batch, file, folder, length, must, small) of every visible file; must: it is to be rewritten in any case."""
+def _files(h: History, seen: Visible) -> DataFrame:
+    """(batch, file, folder, length) of every visible file."""
     listing = files.data_files(h.spark, [h.rows_path(b) for b in seen.batches]).select(
         F.regexp_extract("file", r"^spec=\d+/batch=(\d+)/", 1).cast("long").alias("batch"), "file",
         F.regexp_extract("file", r"^spec=\d+/batch=\d+/attempt=[^/]*/(.*/)?", 1).alias("folder"), "length")
     gone = h.dropped_files(seen, seen.batches)
     if gone:
         listing = listing.where(~F.col("file").isin(gone))
+    return listing
+
+
+def _marked(h: History, seen: Visible, hits: dict[int, list[int]], listing: DataFrame, target_bytes: int) -> DataFrame:
+    """Adds must (the file is to be rewritten in any case) and small."""
     dirty = _dirty_files(h, seen, hits)
     other_spec = [b for b in seen.batches if h.commits[b].spec_id != h.spec_id]
     must = F.col("batch").isin(other_spec) | (F.col("length") > target_bytes * LARGE_SHARE)
     if dirty is not None:
-        listing = listing.join(dirty.withColumn("dirty", F.lit(True)), "file", "left")
+        listing = listing.join(F.broadcast(dirty.withColumn("dirty", F.lit(True))), "file", "left")  # a name a file
         must = must | F.col("dirty").isNotNull()
     return listing.select("batch", "file", "folder", "length", must.alias("must"),
                           (F.col("length") < target_bytes * SMALL_SHARE).alias("small"))

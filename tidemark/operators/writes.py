@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import operator
 from collections.abc import Sequence
 from dataclasses import replace
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -177,20 +179,16 @@ def reconcile(src: DataFrame, df: DataFrame) -> DataFrame:
         for side in given
     ]
     hashed = [_with_hashes(side) for side in sides]
-    prints = [
-        h.groupBy("bucket").agg(F.count("*").alias("n"), *[
-            F.sum(part).alias(f"s{i}") for i, part in enumerate(_halves("h1") + _halves("h2"))])
-        for h in hashed
-    ]
-    source, written = (p.toDF("bucket", *[f"{tag}{c}" for c in p.columns[1:]]) for p, tag in zip(prints, ("a_", "b_")))
+    # one text a bucket, so that both uses below read the same columns and share one scan of each side
+    source, written = (
+        h.groupBy("bucket").agg(F.concat_ws(":", F.count("*"), *[
+            F.sum(part) for part in _halves("h1") + _halves("h2")]).alias(name))
+        for h, name in zip(hashed, ("source", "written"))
+    )
     both = source.join(written, "bucket", "full_outer")
-    sums = [c for c in prints[0].columns if c != "bucket"]
-    same = F.lit(True)
-    for c in sums:
-        same = same & F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
-    differ = F.broadcast(both.where(~same).select("bucket"))  # RECONCILE_BUCKETS rows at most
-    sizes = both.agg(F.coalesce(F.sum("a_n"), F.lit(0).cast("long")).alias("source_rows"),
-                     F.coalesce(F.sum("b_n"), F.lit(0).cast("long")).alias("written_rows"))
+    differ = F.broadcast(both.where(~F.col("source").eqNullSafe(F.col("written"))).select("bucket"))  # bounded
+    rows_in = lambda c: F.coalesce(F.sum(F.element_at(F.split(c, ":"), 1).cast("long")), F.lit(0).cast("long"))
+    sizes = both.agg(rows_in("source").alias("source_rows"), rows_in("written").alias("written_rows"))
     values = [f"c{i}" for i in range(len(names))]
     tagged = [
         h.join(differ, "bucket", "left_semi").select(*values, F.lit(sign).cast("long").alias("side"))
@@ -222,9 +220,12 @@ def _as_text(c: Column) -> Column:
 
 def _with_hashes(side: DataFrame) -> DataFrame:
     """Rows with two independent hashes of all columns, nulls included, and the bucket they fall in."""
-    parts = []
-    for c in side.columns:
-        parts += [F.col(c), F.col(c).isNull()]  # a hash passes over nulls, so say where they are
+    # a hash passes over nulls, so say where they are: one bit a column, 62 columns a number
+    flags = []
+    for i in range(0, len(side.columns), 62):
+        bits = [F.col(c).isNull().cast("long") * F.lit(1 << k) for k, c in enumerate(side.columns[i : i + 62])]
+        flags.append(reduce(operator.add, bits))
+    parts = [*flags, *[F.col(c) for c in side.columns]]
     h1, h2 = F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)
     out = side.select("*", h1.alias("h1"), h2.alias("h2"))
     return out.withColumn("bucket", F.pmod(F.col("h1"), F.lit(RECONCILE_BUCKETS)))
