@@ -6,6 +6,7 @@ from tidemark.operators.changes import UpsertCounts, delete_where, update_where,
 from tidemark.operators.evolve import add_column, rename_column
 from tidemark.operators.snapshots import read_at, snapshots
 from tidemark.operators.writes import append, create_history, load_history, overwrite
+from tidemark.operators import changes
 from tidemark.plans import history
 from tidemark.plans.files import BehindLog
 
@@ -221,3 +222,16 @@ def test_values_that_would_not_survive_are_refused(spark, path):
         append(h, spark.createDataFrame([(2.7, 1.0)], "id double, x float"))
     with pytest.raises(ValueError, match="cannot write"):
         append(h, spark.createDataFrame([(2, 0.1)], "id long, x double"))
+
+
+@pytest.mark.parametrize("words", [1, 1 << 20])
+def test_a_large_source_passes_through_the_key_filter(spark, path, monkeypatch, words):
+    monkeypatch.setattr(changes, "MAX_BROADCAST_KEYS", 0)
+    monkeypatch.setattr(changes, "FILTER_WORDS", words)  # one word: every slot is taken, nothing may be lost
+    df = spark.range(2000).selectExpr("cast(id as int) as a", "if(id % 10 = 0, null, concat('k', id)) as b", "id as x")
+    h = create_history(df, path, key=["a", "b"])
+    src = spark.range(1500, 2500).selectExpr("id as a", "concat('k', id) as b", "if(id % 2 = 0, id, -id) as x").where("a % 10 > 0")
+    h, counts = upsert(h, src.select(F.col("a").cast("int"), "b", "x"))
+    assert counts == UpsertCounts(inserted=450, updated=250, unchanged=200)
+    want = df.join(src, ["a", "b"], "left_anti").union(src)
+    assert rows(read_at(h)) == rows(want)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from tidemark.operators import stats as stats_of
-from tidemark.operators.changes import delete_where, update_where
+from tidemark.operators.changes import delete_partition, delete_where, update_where
 from tidemark.operators.evolve import add_column, rename_column, retype_column
 from tidemark.operators.maintenance import cluster_by, compact, expire, read_range, set_partition_spec, stored_rows
 from tidemark.operators.snapshots import cherrypick, create_branch, enable_wap, read_at
@@ -247,3 +247,67 @@ def test_a_mass_delete_is_listed_by_the_word(spark, path):
     assert c.removed == {1: 80_000} and c.removed_words < 1700
     assert h.read_removals([2]).count() == c.removed_words
     assert read_at(h).count() == 20_000 and isinstance(load_history(spark, path), History)
+
+
+# -- whole partitions -----------------------------------------------------------------------------
+
+
+def daily(spark, path, **kw):
+    df = spark.range(0, 240, 1, 4).selectExpr(
+        "id", "timestamp_ntz'2024-01-01' + make_dt_interval(cast(id % 6 as int), cast(id % 24 as int)) as ts",
+        "if(id % 40 = 39, null, cast(id % 3 as int)) as g")
+    return create_history(df, path, spec=[("day", "ts"), ("identity", "g")], **kw), df
+
+
+def test_a_partition_goes_by_its_files(spark, path, monkeypatch):
+    h, df = daily(spark, path)
+    monkeypatch.setattr(History, "write_removals", None)  # no key is listed
+    h = delete_partition(h, "day", "ts", "2024-01-03")
+    want = df.where("to_date(ts) <> date'2024-01-03'")
+    assert rows(read_at(h)) == rows(want) and h.commits[2].removed == {} and h.commits[2].removed_rows == 240 - want.count()
+    h = delete_partition(h, "identity", "g", 1)
+    h = delete_partition(h, "identity", "g", None)
+    want = want.where("g <> 1")
+    assert rows(read_at(h)) == rows(want) and h.commits[4].total_rows == want.count()
+    h = delete_partition(h, "day", "ts", "2030-01-01")  # nothing there
+    assert h.commits[5].removed_rows == 0
+    assert read_at(h, snapshot_id=1).count() == 240
+    files = len(glob.glob(f"{h.path}/rows/**/*.parquet", recursive=True))
+    kept, _ = expire(h, LATER)
+    assert rows(read_at(kept)) == rows(want) and stored_rows(kept).count() == want.count()
+    assert len(glob.glob(f"{h.path}/rows/**/*.parquet", recursive=True)) < files
+    with pytest.raises(ValueError):
+        delete_partition(kept, "week", "ts", "2024-01-01")
+
+
+def test_partitions_of_older_specs_and_removed_rows(spark, path):
+    h, df = daily(spark, path)
+    h = delete_where(h, "id = 2")
+    h = append(set_partition_spec(h, [("hour", "ts")]), df.withColumn("id", F.col("id") + 1000))
+    h = delete_partition(h, "day", "ts", "2024-01-03")
+    want = df.where("id <> 2").union(df.withColumn("id", F.col("id") + 1000)).where("to_date(ts) <> date'2024-01-03'")
+    assert rows(read_at(h)) == rows(want) and h.commits[4].total_rows == want.count()
+    assert h.commits[4].dropped and set(h.commits[4].removed) == {3}
+    h = delete_partition(h, "hour", "ts", "2024-01-02 07:00:00")
+    want = want.where("date_trunc('hour', ts) <> timestamp_ntz'2024-01-02 07:00:00'")
+    assert rows(read_at(h)) == rows(want)
+    h, _ = compact(h, 1 << 20)
+    assert rows(read_at(h)) == rows(want)
+
+
+def test_text_partitions_tell_null_from_nothing(spark, path):
+    df = spark.createDataFrame([(1, ""), (2, None), (3, "a b")], "id int, k string")
+    h = delete_partition(create_history(df, path, spec=[("identity", "k")]), "identity", "k", None)
+    assert rows(read_at(h)) == [(1, ""), (3, "a b")]
+    assert rows(read_at(delete_partition(h, "identity", "k", "a b"))) == [(1, "")]
+
+
+def test_a_staged_partition_delete_is_picked_by_keys(spark, path):
+    h, df = daily(spark, path)
+    h = delete_partition(enable_wap(h), "day", "ts", "2024-01-03", wap_id="w")
+    h = append(h, df.where("id < 30").withColumn("id", F.col("id") + 5000))  # main moves on, new rows of that day too
+    h, _ = compact(h, 1 << 20)
+    h = cherrypick(h, 2)
+    want = df.where("to_date(ts) <> date'2024-01-03'").union(df.where("id < 30").withColumn("id", F.col("id") + 5000))
+    assert rows(read_at(h)) == rows(want) and sum(h.commits[h.head()].removed.values()) == 40
+    assert h.commits[h.head()].total_rows == want.count()

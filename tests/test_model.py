@@ -9,14 +9,14 @@ from hypothesis import strategies as st
 
 from conftest import rows
 from tidemark.operators import snapshots as snap
-from tidemark.operators.changes import delete_where, update_where, upsert
+from tidemark.operators.changes import delete_partition, delete_where, update_where, upsert
 from tidemark.operators.maintenance import compact, expire, set_partition_spec, stored_rows
 from tidemark.operators.snapshots import read_at
 from tidemark.operators.writes import append, create_history, load_history, overwrite
 
 SCHEMA = "k long, g int, v long"
 NAMES = ["append", "delete", "update", "upsert", "overwrite", "stage", "pick", "branch", "forward", "rollback",
-         "compact", "expire", "spec", "reload", "update_all"]
+         "compact", "expire", "spec", "reload", "update_all", "drop", "stage_drop"]
 
 steps = st.lists(
     st.tuples(st.sampled_from(NAMES), st.integers(0, 5), st.sampled_from(["main", "main", "dev"])),
@@ -113,6 +113,12 @@ def play(spark, script):
         elif name == "stage":
             h = update_where(h, {"v": "v + 1"}, f"g = {n % 3}", branch=branch, wap_id=f"w{new}", at=now)
             m.commit(new, branch, hit, m.fresh(changed), staged=True)
+        elif name == "drop":
+            h = delete_partition(h, "identity", "g", n % 3, branch=branch, at=now)
+            m.commit(new, branch, hit, frozenset())
+        elif name == "stage_drop":
+            h = delete_partition(h, "identity", "g", n % 3, branch=branch, wap_id=f"w{new}", at=now)
+            m.commit(new, branch, hit, frozenset(), staged=True)
         elif name == "pick":
             staged = [s for s, c in h.commits.items() if "wap.id" in c.summary and not c.expired]
             if not staged:

@@ -78,7 +78,21 @@ def test_a_large_upsert_shuffles_the_table_once(spark, h, tmp_path):
     finally:
         spark.conf.set(threshold, before)
     assert text.count("SortMergeJoin") == 2
-    assert text.count("Exchange hashpartitioning") == 3  # the table once, the source (shared when run) twice
+    # the table once, the source (shared when run) twice, words of the key filter
+    assert text.count("Exchange hashpartitioning") == 4
+    table = text[text.index("SortMergeJoin", text.index("SortMergeJoin") + 1):]  # below the join with the keys
+    assert table.index("Exchange hashpartitioning") < table.index("BroadcastHashJoin") < table.index("FileScan")
+
+
+def test_the_key_filter_lets_few_others_through(spark):
+    from tidemark.operators.changes import _may_match
+
+    keys = spark.range(0, 30_000, 3).selectExpr("id as a", "concat('k', id) as b")
+    rows = spark.range(300_000).selectExpr("id as a", "concat('k', id) as b", "id * 2 as x")
+    passed = _may_match(rows, keys)
+    assert passed.where("a < 30000 and a % 3 = 0").count() == 10_000 and passed.count() < 10_500
+    text = plan(passed)
+    assert "BroadcastHashJoin" in text and "Exchange" not in text[: text.index("BroadcastExchange")]
 
 
 def test_no_python_in_changes_and_reads(h):

@@ -5,7 +5,7 @@ from tidemark.operators.analytics import (
     below_k_stddev, distinct_values, group_count, histogram, profile, trim_outliers, zscore,
 )
 from tidemark.operators.audit import AuditError, audit_values
-from tidemark.operators.changes import UpsertCounts, delete_where, update_where, upsert
+from tidemark.operators.changes import UpsertCounts, delete_partition, delete_where, update_where, upsert
 from tidemark.operators.evolve import (
     add_column, comment_column, describe, move_column, rename_column, retype_column, union_schema,
 )

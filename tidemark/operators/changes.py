@@ -14,11 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.plans.fields import check_incoming, col, find, stored_name
-from tidemark.plans.history import ROW_KEY, History
+from tidemark.plans.fields import check_incoming, col, field_id, find, stored_name
+from tidemark.plans.history import ROW_KEY, History, Prune, Visible
+from tidemark.plans.partitioning import check_spec, derive
 
 MAX_BROADCAST_KEYS = 1_000_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+#: Slots of the bit filter of a larger source's keys, in words of 64: a million broadcast rows at most. Beyond so many keys
+#: half of all rows would pass, and the filter is left out.
+FILTER_WORDS, MAX_FILTER_KEYS = 1 << 20, 40_000_000
 
 _PREVIOUS = T.StructType([T.StructField("_prev_in", T.LongType()), T.StructField("_prev_id", T.LongType())])
 
@@ -74,6 +78,65 @@ def delete_where(h: History, cond: Column | str, *, branch: str | None = None, w
                     wap_id=wap_id, at=at, summary=summary, supersedes=target.emptied(removed), **listed)
 
 
+def delete_partition(h: History, transform: str, column: str, value, *, branch: str | None = None,
+                     wap_id: str | None = None, at: datetime | None = None,
+                     summary: dict[str, str] | None = None) -> History:
+    """Delete the rows of one partition value, such as ("day", "ts", "2024-01-05") or ("identity", "level", "error").
+
+    Files written under a spec with that transform are dropped by name: no row of them is read, unless earlier removals
+    hit their batch and live rows must be counted. Rows of other specs are listed by key as `delete_where` does. `value`
+    is a value of the derived column's type or a string that casts to it (hours: a timestamp); None means NULL.
+    """
+    h = h.writable(wap_id)
+    target, batch = _Target(h, branch), h.next_snapshot_id
+    field = find(h.schema, column)
+    check_spec([(transform, column)], h.schema)
+    literal = F.lit(value).cast(field.dataType if transform != "day" else T.DateType())
+    wanted = derive(transform, literal, field.dataType) if transform == "hour" else literal
+    here = [b for b in target.seen.batches if _names_files(h, b, transform, field)]
+    by_key = [b for b in target.seen.batches if b not in here]
+
+    def in_partition(t: str, f: T.StructField, part: Column) -> Column | None:
+        return part.eqNullSafe(wanted) if (t, field_id(f)) == (transform, field_id(field)) else None
+
+    names, dropped, gone_rows = [], {}, 0
+    if here:
+        for spec_id in sorted({h.commits[b].spec_id for b in here}):
+            members = [b for b in here if h.commits[b].spec_id == spec_id]
+            names += _files_in(h, target.seen, spec_id, members, in_partition)
+        for f in names:
+            b = int(f.split("/")[1].removeprefix("batch="))
+            dropped[b] = dropped.get(b, 0) + 1
+        if names:
+            gone_rows = h.rows_of(target.seen, target.hits, sorted(dropped), in_partition).count()
+    listed = {}
+    if by_key:
+        rows = h.rows_of(target.seen, target.hits, by_key)
+        h.write_removals(batch, rows.where(derive(transform, col(column), field.dataType).eqNullSafe(wanted)))
+        listed = h.listed(batch)
+        gone_rows += sum(listed["removed"].values())
+    if names:
+        h.spark.createDataFrame([(int(f.split("/")[1].removeprefix("batch=")), f) for f in names], "batch long, file string") \
+            .coalesce(1).write.parquet(h.dropped_path(batch))
+    return h.commit("delete", snapshot_id=batch, removed_rows=gone_rows, spec_id=h.spec_id, branch=branch, wap_id=wap_id,
+                    at=at, summary=summary, dropped=dropped, **listed)
+
+
+def _names_files(h: History, batch: int, transform: str, field: T.StructField) -> bool:
+    """Do the folders of a batch tell the partition value apart? Folder names keep '' and NULL as one."""
+    spec = [(t, field_id(f)) for t, f in h.spec(h.commits[batch].spec_id)]
+    return (transform, field_id(field)) in spec and not (transform == "identity" and isinstance(field.dataType, T.StringType))
+
+
+def _files_in(h: History, seen: Visible, spec_id: int, batches: list[int], prune: Prune) -> list[str]:
+    """Visible files of some batches that lie in a partition, from the listing alone."""
+    listing = h.partition_listing(spec_id, batches, prune)
+    dropped = h.dropped_files(seen, batches)
+    if dropped:
+        listing = listing.where(~F.col("file").isin(dropped))
+    return [r["file"] for r in listing.collect()]
+
+
 def update_where(h: History, set: dict[str, Column | str], where: Column | str | None = None, *,
                  branch: str | None = None, wap_id: str | None = None, at: datetime | None = None,
                  summary: dict[str, str] | None = None) -> History:
@@ -145,7 +208,8 @@ def upsert(h: History, src: DataFrame, key: Sequence[str] | None = None, *, bran
     total, key_bytes = _check_keys(src, key)
     target, batch = _Target(h, branch), h.next_snapshot_id
 
-    h.write_rows(batch, _classified(target.live(), src, key, h.schema, _fits(total, key_bytes)), extra=_PREVIOUS.names)
+    few, filtered = _fits(total, key_bytes), total <= MAX_FILTER_KEYS
+    h.write_rows(batch, _classified(target.live(), src, key, h.schema, few, filtered), extra=_PREVIOUS.names)
     stored_key = [T.StructField(stored_name(f), f.dataType) for f in (find(h.schema, n) for n in key)]
     written = h.written(batch, T.StructType(_PREVIOUS.fields + stored_key))
     listed = _list_replaced(h, batch, written)
@@ -193,11 +257,28 @@ def _count_written(written: DataFrame, key: list[str]) -> int:
     return row["total"] or 0
 
 
-def _classified(live: DataFrame, src: DataFrame, key: list[str], schema: T.StructType, few: bool) -> DataFrame:
+def _key_filter(keys: DataFrame) -> DataFrame:
+    """One slot bit for each key, in words: (_slot_word, _slot_mask), FILTER_WORDS rows at most."""
+    slot = F.pmod(F.xxhash64(*[col(n) for n in keys.columns]), F.lit(FILTER_WORDS * 64))
+    slots = keys.select(F.shiftright(slot, 6).alias("_slot_word"), slot.bitwiseAND(F.lit(63)).cast("int").alias("_slot_bit"))
+    return slots.groupBy("_slot_word").agg(F.expr("bit_or(shiftleft(1L, _slot_bit))").alias("_slot_mask"))
+
+
+def _may_match(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose key may be among `keys`: all that are, few others. The broadcast is bounded and nothing is shuffled."""
+    slot = F.pmod(F.xxhash64(*[col(n) for n in keys.columns]), F.lit(FILTER_WORDS * 64))
+    bit = F.getbit("_slot_mask", slot.bitwiseAND(F.lit(63)).cast("int"))
+    return rows.join(
+        F.broadcast(_key_filter(keys)), (F.shiftright(slot, 6) == F.col("_slot_word")) & (bit == 1), "left_semi")
+
+
+def _classified(live: DataFrame, src: DataFrame, key: list[str], schema: T.StructType, few: bool,
+                filtered: bool = True) -> DataFrame:
     """Source rows to write, with the row key of the row each replaces (NULL for an insert).
 
-    The target is first cut down to the source's keys, by broadcasting them if they are `few`, else by a
-    shuffle on the key that the outer join after it shares. Only matches go on to that join.
+    The target is first cut down to the source's keys, by broadcasting them if they are `few`. Otherwise a broadcast bit
+    filter of the keys lets candidates through to a shuffle on the key, which the outer join after it shares. Only
+    matches go on to that join.
     """
     given = [n for n in src.columns if n not in key]
     values = {n: col(n).cast(schema[n].dataType).alias(n) for n in src.columns}
@@ -205,6 +286,8 @@ def _classified(live: DataFrame, src: DataFrame, key: list[str], schema: T.Struc
     old = live.select(*[col(n) for n in key], *[col(n).alias(f"_old_{n}") for n in live.columns if n not in key])
     old = old.withColumn("_found", F.lit(True))
     keys = src.select(*[col(n) for n in key])
+    if not few and filtered:
+        old = _may_match(old, keys)
     matches = old.join(F.broadcast(keys) if few else keys, key, "left_semi")
     joined = src.join(matches, key, "left_outer")
     differs = F.col("_found").isNull()

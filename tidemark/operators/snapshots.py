@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.plans import files
 from tidemark.plans.fields import col
 from tidemark.plans.history import RESERVED_FACTS, History, Visible
 from tidemark.plans.removals import ROW_KEY, keys_of
@@ -171,7 +172,18 @@ def cherrypick(h: History, snapshot_id: int, branch: str | None = None, *, at: d
     h = h.writable()
     batch, now, then = h.next_snapshot_id, h.visible(head), h.visible(picked.parent_id)
     effect = {}
-    if source.removed:
+    if source.dropped:
+        # A partition was dropped by its files; elsewhere the same rows go by their keys.
+        base = Visible(sorted(source.dropped), [], {b: [source.snapshot_id] for b in source.dropped})
+        lost = [files.file_name().isin(h.dropped_files(base, base.batches))]
+        gone = h.rows_of(then, h.removals_of(then), base.batches, chosen=lost).select(*ROW_KEY)
+        origins = {o for b in base.batches for o in h.commits[b].origins}
+        if source.removed:
+            gone = gone.union(keys_of(h.read_removals([source.snapshot_id])))
+            origins |= set(source.removed)
+        h.write_removals(batch, gone)
+        effect = h.listed(batch)
+    elif source.removed:
         gone, origins = keys_of(h.read_removals([source.snapshot_id])), set(source.removed)
     else:
         # A full update or overwrite lists no keys; what it removed is all that its base showed.

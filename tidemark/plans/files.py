@@ -71,6 +71,12 @@ def data_files(spark: SparkSession, paths: list[str], pattern: str = "*.parquet"
     )
 
 
+def bytes_setting(spark: SparkSession, name: str) -> int:
+    """A size setting of the session, such as 128MB, in bytes."""
+    value = spark.conf.get(name)
+    return spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(value)
+
+
 def size_of(spark: SparkSession, paths: list[str], pattern: str = "*.parquet") -> tuple[int, int]:
     """(number of files, bytes) below `paths`."""
     if not paths:

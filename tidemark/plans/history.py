@@ -341,6 +341,25 @@ class History:
             F.col(stored_name(f)).alias(f.name, metadata=f.metadata) for f in self.schema
         ], *extra)
 
+    def partition_listing(self, spec_id: int, batches: list[int], prune: Prune) -> DataFrame:
+        """(file, length) of files whose partition folders pass `prune`; no file is opened."""
+        schema = T.StructType([
+            T.StructField(n, t) for n, t in (("path", T.StringType()), ("modificationTime", T.TimestampType()),
+                                             ("length", T.LongType()), ("content", T.BinaryType()))])
+        for t, f in self.spec(spec_id):
+            schema = schema.add(self._partition_name(t, f), partitioning.derived_type(t, f.dataType))
+        df = (
+            self.spark.read.format("binaryFile")
+            .schema(schema.add("batch", T.LongType()).add("attempt", T.StringType()))
+            .option("basePath", f"{self.path}/rows/spec={spec_id}").option("pathGlobFilter", "*.parquet")
+            .load([self.rows_path(b, spec_id) for b in batches])
+        )
+        for t, f in self.spec(spec_id):
+            bound = prune(t, f, F.col(self._partition_name(t, f)))
+            if bound is not None:
+                df = df.where(bound)
+        return df.select(files.file_name().alias("file"), "length")
+
     def read_removals(self, removals: Iterable[int]) -> DataFrame:
         """What snapshots removed, as bit words."""
         paths = [self.removals_path(r) for r in sorted(set(removals))]

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.plans import files
 from tidemark.plans.fields import col
+from tidemark.sources.json_arrays import parsed, records
 
 
 def read_parquet(spark: SparkSession, *paths: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -15,11 +18,19 @@ def read_parquet(spark: SparkSession, *paths: str, schema: T.StructType | str |
     return reader.parquet(*paths)
 
 
-def read_json_array(spark: SparkSession, *paths: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Files that each hold one JSON array of objects (a task per file).
+def read_json_array(spark: SparkSession, *paths: str, schema: T.StructType | str | None = None,
+                    split: bool | None = None) -> DataFrame:
+    """Files that each hold one JSON array of objects.
 
-    Types are inferred with a pass over the data unless a schema is given.
+    Types are inferred with a pass over the data unless a schema is given. split: read each file by several tasks, in two
+    passes (see `json_arrays`); by default where some file is larger than one task's share. The rows are the same either
+    way; a file whose array does not end, or holds something else than objects, is an error when split.
     """
+    if split is None:
+        share = F.expr(f"{files.bytes_setting(spark, 'spark.sql.files.maxPartitionBytes')}L")
+        split = not files.data_files(spark, list(paths), "*").where(F.col("length") > share).isEmpty()
+    if split:
+        return parsed(records(spark, list(paths)), schema)
     reader = spark.read.option("multiLine", True)
     return (reader if schema is None else reader.schema(schema)).json(list(paths))
 

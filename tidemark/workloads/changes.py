@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import ieee_divide
-from tidemark.operators.changes import UpsertCounts, delete_where, update_where, upsert
+from tidemark.operators.changes import UpsertCounts, delete_partition as drop_partition, delete_where, update_where, upsert
 from tidemark.operators.evolve import add_column, rename_column
-from tidemark.operators.snapshots import create_branch, read_at
+from tidemark.operators.snapshots import cherrypick, create_branch, enable_wap, read_at, staged_snapshot_id
 from tidemark.operators.writes import (
     add_derived, append, append_files as append_written, create_history, insert_positional, overwrite,
 )
@@ -197,3 +197,25 @@ def append_with_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = orders.where("o_totalprice > 100000").withColumn("o_orderkey", -F.col("o_orderkey"))
     h = append(history_of(spark, sf_dir, "orders"), more, summary={"rows": "2", "note": "night run"})
     return read_at(delete_where(h, "o_orderstatus = 'F'")).select("o_orderkey", "o_totalprice")
+
+
+@query("""
+SELECT * FROM events WHERE ts IS NULL OR ts < TIMESTAMP '2024-01-10' OR ts >= TIMESTAMP '2024-01-11'
+""")
+def delete_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One day of a history by day: its files are dropped by name, no row of them is read."""
+    h = history_of(spark, sf_dir, "events", spec=[("day", "ts")])
+    return read_at(drop_partition(h, "day", "ts", "2024-01-10"))
+
+
+@query("""
+SELECT * FROM events WHERE ts IS NULL OR ts < TIMESTAMP '2024-01-10' OR ts >= TIMESTAMP '2024-01-11'
+UNION ALL SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-10 12:00:00'
+""")
+def pick_partition_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A staged partition delete, picked after main got more rows of that day: only the staged rows go, by key."""
+    h = enable_wap(history_of(spark, sf_dir, "events", spec=[("day", "ts")]))
+    h = drop_partition(h, "day", "ts", "2024-01-10", wap_id="cleanup")
+    h = append(h, table(spark, sf_dir, "events").where(
+        "ts >= timestamp_ntz'2024-01-10' AND ts < timestamp_ntz'2024-01-10 12:00:00'"))
+    return read_at(cherrypick(h, staged_snapshot_id(h, "cleanup")))

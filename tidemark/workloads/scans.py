@@ -31,6 +31,17 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in orders.schema])
 
 
+@query("SELECT event_id, event_type, props, l.n AS line FROM events CROSS JOIN (SELECT 7 AS n) l")
+def json_split_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events, with their JSON text inside, as a single JSON array that several tasks read."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    path = work_path(spark, "events-json")
+    nested = events.withColumn("nested", F.struct(F.array(F.lit(7)).alias("list"), F.lit('}"{').alias("odd")))
+    write_json_arrays(nested.coalesce(1), path)
+    back = read_json_array(spark, path, split=True)
+    return back.select("event_id", "event_type", "props", F.col("nested.list")[0].cast("int").alias("line"))
+
+
 @query("SELECT event_id, ts, user_id, event_type, value FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00'")
 def scan_filter_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = scan(table(spark, sf_dir, "events"), "ts >= '2024-01-15T00:00:00.000000'")
