@@ -102,3 +102,17 @@ def test_no_python_in_changes_and_reads(h):
 
 def test_every_query_has_its_sql():
     assert set(QUERIES) == set(ORACLES)
+
+
+def test_overlapping_writes_restore_the_session(spark):
+    from tidemark.plans.partitioning import session_settings
+
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    first, second = session_settings(spark, {name: "1000"}), session_settings(spark, {name: "2000"})
+    first.__enter__()
+    second.__enter__()
+    first.__exit__(None, None, None)
+    assert spark.conf.get(name) == "2000"
+    second.__exit__(None, None, None)
+    assert spark.conf.get(name) == before

@@ -223,3 +223,20 @@ def test_reconcile_types_and_nested_nulls(spark):
     moments = "select timestamp_ntz'2024-01-01 00:00:00.00000{}' as ts, array(timestamp_ntz'2024-01-01 00:00:00.00000{}') as l"
     a, b = spark.sql(moments.format(1, 1)), spark.sql(moments.format(1, 2))
     assert rows(reconcile(a, a)) == [(1, 1, 0, 0)] and rows(reconcile(a, b)) == [(1, 1, 1, 1)]
+
+
+def test_drop_column(spark, path):
+    from tidemark.operators.evolve import add_column, drop_column
+
+    h = create_history(spark.createDataFrame([(1, "a", 2.0)], "id int, s string, x double"), path, key=["id"],
+                       spec=[("identity", "s")])
+    for name in ("id", "s", "nope"):
+        with pytest.raises(ValueError):
+            drop_column(h, name)
+    h = drop_column(h, "x")
+    assert read_at(h).columns == ["id", "s"]
+    h = add_column(h, "x", "string")
+    assert rows(read_at(h)) == [(1, "a", None)] and rows(read_at(h, snapshot_id=1)) == [(1, "a", None)]
+    only = create_history(spark.range(1), path + "2")
+    with pytest.raises(ValueError, match="last column"):
+        drop_column(only, "id")

@@ -7,7 +7,7 @@ from tidemark.operators.analytics import (
 from tidemark.operators.audit import AuditError, audit_values
 from tidemark.operators.changes import UpsertCounts, delete_partition, delete_where, update_where, upsert
 from tidemark.operators.evolve import (
-    add_column, comment_column, describe, move_column, rename_column, retype_column, union_schema,
+    add_column, comment_column, describe, drop_column, move_column, rename_column, retype_column, union_schema,
 )
 from tidemark.operators.maintenance import (
     add_partition_field, cluster_by, compact, drop_partition_field, expire, partition_spec, read_range, set_partition_spec,

@@ -7,6 +7,7 @@ directories a writer made.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
@@ -70,7 +71,8 @@ def with_partitions(df: DataFrame, spec: Sequence[tuple[str, str]], names: Seque
     })
 
 
-#: Partitions that a sized write begins with at most; larger data then comes out in larger files.
+#: Partitions that a sized write begins with at most. Adaptive execution cuts partitions above the target between the shares
+#: of map tasks, so files miss the target only where one map task alone writes more than this many times the target.
 MAX_PARTITIONS = 20_000
 
 
@@ -120,14 +122,33 @@ def _partitions_for(df: DataFrame, target_bytes: int) -> int:
     return min(max(default, -(-size // target_bytes)), MAX_PARTITIONS)
 
 
+_LOCK = threading.Lock()
+#: By session and option: the value before any write, and the values of the writes that hold it now.
+_HELD: dict[tuple[int, str], tuple[str | None, list[tuple[object, str]]]] = {}
+
+
 @contextmanager
 def session_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
-    """Set session options for the duration of a write."""
-    before = {name: spark.conf.get(name, None) for name in settings}
-    try:
+    """Set session options for the duration of a write.
+
+    Writes of several threads may overlap: the option is what the last one that still runs has set, and what it was
+    before them once all are done.
+    """
+    token, session = object(), id(spark)
+    with _LOCK:
         for name, value in settings.items():
+            before, held = _HELD.setdefault((session, name), (spark.conf.get(name, None), []))
+            held.append((token, value))
             spark.conf.set(name, value)
+    try:
         yield
     finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+        with _LOCK:
+            for name in settings:
+                before, held = _HELD[session, name]
+                held[:] = [h for h in held if h[0] is not token]
+                if held:
+                    spark.conf.set(name, held[-1][1])
+                    continue
+                del _HELD[session, name]
+                spark.conf.unset(name) if before is None else spark.conf.set(name, before)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import evolve
 from tidemark.operators.analytics import profile
 from tidemark.operators.snapshots import read_at
-from tidemark.operators.writes import append
+from tidemark.operators.writes import append, create_history
+from tidemark.plans.files import work_path
 from tidemark.workloads.registry import history_of, query, table
 
 
@@ -21,6 +22,18 @@ def schema_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_at(evolve.rename_column(h, "l_discount", "distance"))
 
 
+@query("""
+SELECT s_suppkey, s_name, s_nationkey, CAST(NULL AS DOUBLE) AS s_acctbal FROM supplier
+UNION ALL SELECT -s_suppkey - 1, s_name, s_nationkey, s_acctbal FROM supplier
+""")
+def schema_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column is dropped and another one added under its name: older rows do not show the old values."""
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    h = evolve.drop_column(create_history(supplier, work_path(spark, "supplier")), "s_acctbal")
+    h = evolve.add_column(h, "s_acctbal", "double")
+    return read_at(append(h, supplier.withColumn("s_suppkey", -F.col("s_suppkey") - 1)))
+
+
 @query("""
 SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size FROM part
 UNION ALL SELECT -p_partkey - 1, CAST(p_size AS BIGINT) + 10000000000 FROM part
