@@ -67,6 +67,9 @@ ITEMS = [
     "How many of the green birds that sing before noon are still there when the rain has stopped again",
     "tiny item of five words",
     None, "", "7 7 7 7 7 7 7 7 7",
+    "What is 37 * 48 + 120?", "Hello", "2 + 2 = ?",
+    "Then Tom has 3 apples and Anna has 4 pears, so how many more apples must Tom buy to have 9 in all",
+    "In the first round Kim gave 5 coins and in the next round Kim gave 5 coins again before the game was over for good",
 ]
 
 
@@ -76,10 +79,17 @@ def cases(spark):
         "So it goes. " + ITEMS[1] + ". And so on.",
         "So it goes. " + ITEMS[1].upper() + "!!! And so on.",
         "A train leaves London at 8 with 340 people and reaches the old town after 5 hours with 60 people left.",
-        # the same template, but one item value stands for two values here
+        # two item values stand for one value here, which other figures may do
         "A train leaves London at 8 with 340 people and reaches the old town after 8 hours with 60 people left.",
         "There is a tiny item of five words in here", "nothing of the kind is in this text at all, as far as one can see",
         None, "", " ".join(f"t{i}" for i in range(3000)) + " " + ITEMS[1], "7 7 7 7 7 7 7 7 7 7 7",
+        "Before noon. What is 37 * 48 + 120? Nobody knew.",  # 10: exact arithmetic
+        "Before noon. What is 38 * 48 + 120? Nobody knew.",  # its template is all that is left, which is too little
+        "Then Tom has 7 apples and Anna has 7 pears, so how many more apples must Tom buy to have 12 in all",  # 12
+        "Then Tom has 5 apples and Anna has 9 pears, so how many more apples must Tom buy to have 12 in all",
+        # 14: one item value stands for two values; the windows that hold the rarer one are dropped
+        "In the first round Kim gave 6 coins and in the next round Kim gave 8 coins again before the game was over for good",
+        "she said hello to us", "Hello", "hello!", "It is 2 2 today", "2 2", "3 2",  # 15 to 20
     ] + random_texts(8, 30)
     docs = docs_of(spark, texts)
     items = spark.createDataFrame(list(enumerate(ITEMS)), "item_id long, text string")
@@ -88,7 +98,34 @@ def cases(spark):
 
 def test_decontamination_finds_exact_and_reparameterised(spark, cases):
     got = {(r.doc_id, r.item_id): r.exact for r in decontaminate(*cases).collect()}
-    assert got == {(0, 1): True, (1, 1): True, (2, 0): False, (4, 2): True, (8, 1): True}
+    assert got == {
+        (0, 1): True, (1, 1): True, (2, 0): False, (3, 0): False, (4, 2): True, (8, 1): True, (9, 5): True, (10, 6): True,
+        (12, 9): False, (13, 9): False, (14, 10): False, (16, 7): True, (17, 7): True, (19, 8): True,
+    }
+
+
+def test_a_clash_drops_its_windows_only(spark, cases):
+    found = {(r.doc_id, r.item_id): (r.n_matched, r.n_windows) for r in decontaminate(*cases).collect()}
+    matched, windows = found[14, 10]
+    assert 0 < matched < windows and found[12, 9][0] == found[12, 9][1]
+
+
+def test_exact_windows_are_all_those_poor_in_plain_words(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.decontaminate import LEAST_PLAIN, _exact_hash, _exact_windows, slots_of
+
+    r = random.Random(3)
+    texts = [[r.choice(["#q1", "#nb", "a", "b", "c"]) for _ in range(r.randrange(14))] for _ in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t array<string>")
+    df = df.withColumn("s", slots_of(F.col("t")))
+    got = df.select("i", F.explode(_exact_windows(F.col("t"), F.col("s"), [2, 4, 5, 8])).alias("x"))
+    got = got.select("i", "x.at", "x.h").collect()
+    want = [
+        (i, at + 1, t[at : at + k]) for i, t in enumerate(texts) for k in (2, 4, 5, 8) for at in range(len(t) - k + 1)
+        if (len(t) == k if k < LEAST_PLAIN else sum(x[0] != "#" for x in t[at : at + k]) < LEAST_PLAIN)]
+    hashed = spark.createDataFrame(want, "i int, at int, p array<string>").select("i", "at", _exact_hash(F.col("p")).alias("h"))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, hashed.collect()))
 
 
 def test_decontamination_equals_its_sql(spark, cases):
