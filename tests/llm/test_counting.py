@@ -1,5 +1,7 @@
 """Packing, token counts, language model."""
 
+from collections import Counter
+
 import zlib
 from collections import Counter
 
@@ -189,3 +191,49 @@ def test_scores_of_awkward_rows(spark):
 def test_a_level_without_shards_knows_nothing():
     level = Level(pd.DataFrame({"first": np.empty(0, "uint64"), "n": np.empty(0, "int64"), "path": []}))
     assert level.ranks(np.array([1, 2], np.uint64)).tolist() == [-1, -1]
+
+
+def plain_paths(word, scores, unknown):
+    """The known pieces on the best path of a word, over all pieces at each place; the earlier start wins ties."""
+    best = [(0.0, [])] + [None] * len(word)
+    for end in range(1, len(word) + 1):
+        for start in range(end):
+            piece = word[start:end]
+            if piece in scores:
+                here = best[start][0] + scores[piece]
+                if best[end] is None or here > best[end][0]:
+                    best[end] = here, [*best[start][1], piece]
+        if word[end - 1] not in scores:
+            here = best[end - 1][0] + unknown
+            if best[end] is None or here > best[end][0]:
+                best[end] = here, best[end - 1][1]
+    return best[-1][1]
+
+
+def test_fitted_scores_are_those_of_plain_counting(spark):
+    import math
+
+    import sentencepiece
+
+    from tidemark.llm.token_count import ADDED, FIT_PASSES, UNKNOWN_PENALTY, fitted
+
+    texts = [*random_texts(6, 40, 60), "the the other  others", " leading", "naïve 中文 ▁mark", None, "", "zzqqxx \U0001f600 a"]
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    names = [p for p, _ in vocabulary(path)]
+    own = sentencepiece.SentencePieceProcessor(model_file=path)
+    count = Counter()
+    for t in texts:
+        if t:
+            t = t.replace("▁", " ")
+            count.update((t[1:] if t[0] == " " else t).split(" "))
+    scores = None
+    for _ in range(FIT_PASSES + 1):
+        total = Counter()
+        for w, n in count.items():
+            pieces = own.encode_as_pieces(w) if scores is None else plain_paths("▁" + w, scores, min(scores.values()) - UNKNOWN_PENALTY)
+            for p in pieces:
+                total[p] += n
+        norm = math.log(sum(total[p] + ADDED for p in names))
+        scores = {p: math.log(total[p] + ADDED) - norm for p in names}
+    got = dict(fitted(docs_of(spark, texts)))
+    assert got.keys() == scores.keys() and max(abs(got[p] - scores[p]) for p in names) < 1e-9

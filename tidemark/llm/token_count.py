@@ -7,7 +7,8 @@ model, whose counts these are: white-space prefix on each space-separated part,
 score less ten, counted as their bytes where the vocabulary has byte pieces, as one piece a run where it has not.
 
 The vocabulary at hand is a BPE model, whose scores are negative merge ranks. `fitted` gives its pieces unigram log
-probabilities: counts of its own segmentation of all documents' words first, then of the best paths, in turns.
+probabilities: counts of its own segmentation of all documents' words first, then of the best paths, in turns. While
+fitting, the pieces themselves are wanted and not just how many, so there the library's model finds the paths.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pandas as pd
 import public_tokenizers
@@ -27,7 +29,7 @@ from tidemark.llm.registry import query
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Distinct words a worker keeps the counts of; past it the memory starts anew.
+#: Distinct words a worker keeps the counts of; past it the older half stays, where the frequent words are.
 KNOWN_WORDS = 1_000_000
 #: Passes over the distinct words after the first, and what is added to each piece's count.
 FIT_PASSES, ADDED = 2, 0.1
@@ -60,51 +62,40 @@ class PieceCounter:
         self.known: dict[str, tuple[int, float]] = {}
 
     def word(self, text: str) -> tuple[int, float]:
-        """(pieces, score) of one part, by the best path that ends at each place."""
+        """(pieces, score) of one part, by the best path that ends at each place.
+
+        The automaton gives matches by their end, longest first, so of equal scores the piece that starts first is kept.
+        """
         n = len(text)
         score, count, in_run = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        found: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for end, match in self.automaton.iter(text):
-            found[end + 1].append(match)
-        for end in range(1, n + 1):
-            best = None
-            for length, s in sorted(found[end], reverse=True):  # the piece that starts first comes first
-                here = s + score[end - length]
-                if best is None or here > best:
-                    best, pieces, run = here, count[end - length] + 1, False
-            last = text[end - 1]
-            if last not in self.singles:
-                here = self.unknown + score[end - 1]
-                if best is None or here > best:
-                    best, run = here, True
-                    if self.bytes:
-                        pieces = count[end - 1] + len(last.encode("utf-8", "surrogatepass"))
-                    else:
-                        pieces = count[end - 1] + (not in_run[end - 1])
-            score[end], count[end], in_run[end] = best, pieces, run
+        best: list[float | None] = [None] * (n + 1)
+        closed = 0  # places up to here have their best path
+
+        def close(upto: int) -> None:
+            for end in range(closed + 1, upto + 1):
+                here = best[end]
+                last = text[end - 1]
+                if last not in self.singles:
+                    unknown = self.unknown + score[end - 1]
+                    if here is None or unknown > here:
+                        here, in_run[end] = unknown, True
+                        if self.bytes:
+                            count[end] = count[end - 1] + len(last.encode("utf-8", "surrogatepass"))
+                        else:
+                            count[end] = count[end - 1] + (not in_run[end - 1])
+                score[end] = here
+
+        for end, (length, s) in self.automaton.iter(text):
+            end += 1
+            if closed < end - 1:
+                close(end - 1)
+                closed = end - 1
+            here = s + score[end - length]
+            if best[end] is None or here > best[end]:
+                best[end], count[end] = here, count[end - length] + 1
+        close(n)
         return count[n], score[n]
 
-    def pieces(self, text: str) -> list[str]:
-        """The known pieces on the best path of one part."""
-        score, back = [0.0] * (len(text) + 1), [-1] * (len(text) + 1)
-        found: list[list[tuple[int, float]]] = [[] for _ in range(len(text) + 1)]
-        for end, match in self.automaton.iter(text):
-            found[end + 1].append(match)
-        for end in range(1, len(text) + 1):
-            best = None
-            for length, s in sorted(found[end], reverse=True):
-                if best is None or s + score[end - length] > best:
-                    best, back[end] = s + score[end - length], end - length
-            if text[end - 1] not in self.singles and (best is None or self.unknown + score[end - 1] > best):
-                best, back[end] = self.unknown + score[end - 1], -1
-            score[end] = best
-        out, end = [], len(text)
-        while end:
-            if back[end] >= 0:
-                out.append(text[back[end] : end])
-            end = back[end] if back[end] >= 0 else end - 1
-        return out
-
     def __call__(self, text: str | None) -> tuple[int, float]:
         if not isinstance(text, str) or not text:
             return 0, 0.0
@@ -113,8 +104,8 @@ class PieceCounter:
         found = list(map(self.known.get, parts))
         if None in found:
             if len(self.known) > KNOWN_WORDS:
-                self.known = {}
-                found = [None] * len(parts)
+                self.known = dict(islice(self.known.items(), KNOWN_WORDS // 2))
+                found = list(map(self.known.get, parts))
             for i, f in enumerate(found):
                 if f is None:
                     part = parts[i]
@@ -137,6 +128,18 @@ def _fitted_counter(pieces: tuple[tuple[str, float], ...]) -> PieceCounter:
     return PieceCounter(list(pieces))
 
 
+def _path_finder(pieces: tuple[tuple[str, float], ...]):
+    """The known pieces on the best path of a word, by the `tokenizers` unigram model of these scores."""
+    from tokenizers.models import Unigram
+
+    model, unknown = Unigram(list(pieces), 0, False), pieces[0][0]
+
+    def cut(word: str) -> list[str]:
+        return [t.value for t in model.tokenize(MARK + word) if t.id or t.value == unknown]
+
+    return cut
+
+
 def fitted(docs: DataFrame, model_path: str | None = None, passes: int = FIT_PASSES) -> tuple[tuple[str, float], ...]:
     """The model's pieces with log probabilities from all documents.
 
@@ -156,8 +159,7 @@ def fitted(docs: DataFrame, model_path: str | None = None, passes: int = FIT_PAS
 
                 cut = sentencepiece.SentencePieceProcessor(model_file=path).encode_as_pieces
             else:
-                counter = _fitted_counter(pieces)
-                cut = lambda w: counter.pieces(MARK + w)
+                cut = _path_finder(pieces)
             total: Counter[str] = Counter()
             for frame in frames:
                 for w, n in zip(frame["word"], frame["n"].tolist()):
