@@ -1,7 +1,5 @@
 """Packing, token counts, language model."""
 
-from collections import Counter
-
 import zlib
 from collections import Counter
 

@@ -48,6 +48,14 @@ def test_chain_feeds_earlier_probabilities_to_later_models(spark):
     assert train_chain(docs, again)[1][SLOTS] > 0.3
 
 
+def test_the_chain_does_not_depend_on_the_order_of_rows(spark):
+    docs, labels = labelled(spark, 120)
+    docs = docs.union(docs_of(spark, ["another text of the same id", "zz zz"], 3)).union(docs)
+    labels = labels.union(spark.createDataFrame([(5, 0, 1), (300, 1, 1)], "doc_id long, quality int, toxic int"))
+    first, second = train_chain(docs, labels), train_chain(docs.orderBy("text").repartition(7), labels.repartition(3))
+    assert all((a == b).all() for a, b in zip(first, second))
+
+
 def test_fit_without_rows_or_with_one_class():
     slots = [features_of("a b"), features_of("c")]
     assert predict(fit([], np.zeros((0, 0)), np.zeros(0)), slots[0], []) < 1e-3

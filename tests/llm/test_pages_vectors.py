@@ -52,6 +52,23 @@ def test_main_text_of_a_page_and_of_awkward_ones(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("page,want", [
+    ('<p title="a > b">Body<p title=\'<b>\'>two', ["Body", "two"]),
+    ("<p title=don't>Body</p><p>it's</p>", ["Body", "it's"]),
+    ('<p title="never closed>Body</p><p>two', ["Body", "two"]),
+    ("<article><p>One.<svg><p>Two", ["One.", "Two"]),
+    ("<article><p>One.<noscript><p>Two", ["One.", "Two"]),
+    ("<article><p>One.<object>x</article><p>Two", ["One.", "Two"]),
+    ("<div>One <iframe>no <div>no</div></div><svg><svg></svg></svg>Two", ["One", "Two"]),
+    ("<p>One <noscript><p>no</p><div>no</noscript> more <svg><path d='M>'/><text>no</text></svg>end", ["One more end"]),
+    ("<p>a<template><p>no<template>no</template></template>b<svg/>c<math>no</math>", ["a bc"]),
+    ("<p>a<script>if (a < b) { x = '<p>' }</script>b<textarea>no</textarea><style>no", ["a b"]),
+    ("<div>One<svg>no<div>Two<svg>no</svg></div>", ["One", "Two"]),
+])
+def test_blocks_of_markup_with_quotes_and_unclosed_elements(page, want):
+    assert [t for t, _ in blocks_of(page)] == want
+
+
 def vectors(spark, seed=4, n=400, dim=16):
     r = np.random.default_rng(seed)
     base = r.standard_normal((n // 4, dim))

@@ -66,14 +66,22 @@ def test_stages_on_awkward_and_empty_tables(spark, sf_dir):
     assert n == 0
 
 
+def test_unlike_rows_of_one_id_stay_and_repeated_rows_go(spark, sf_dir):
+    texts = ["one two three four five six", "something else entirely here now", "one two three four five six"]
+    docs = docs_of(spark, texts[:1]).union(docs_of(spark, texts[1:2])).union(docs_of(spark, texts[:1]))
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert sorted(r.text for r in kept.collect()) == sorted(texts[:2])
+
+
 def test_all_queries_are_registered_and_run(spark):
     names = entry_points.queries()
     ops = [n for n in names if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in ops) == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in ops) == list(range(1, 14)) and "pipeline" in names
     assert set(entry_points.oracle_sql()) <= set(names)
     if os.path.isdir(SF_DIR):
         for n in ops:
-            assert names[n](spark, SF_DIR).limit(1).count() <= 1
+            found = names[n](spark, SF_DIR)
+            assert found.columns and (found.limit(1).count() == 1 or n.split("_")[0] in ("op4", "op6"))  # these find few
 
 
 def test_the_library_works_without_this_part(tmp_path):

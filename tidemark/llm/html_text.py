@@ -29,22 +29,40 @@ BLOCK_TAGS = frozenset(
     "search section select summary table tbody td tfoot th thead tr ul".split())
 SELF_ENDING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
                "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-HIDDEN_TAGS = frozenset("script style title template noscript svg textarea iframe object math".split())
+RAW_TEXT_TAGS = frozenset("script style title textarea".split())
+HIDDEN_TAGS = frozenset("template noscript svg iframe object math".split())
 SECTIONS = frozenset("article main header footer nav aside form section blockquote figure table".split())
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
+#: Quotes count where a value begins, so ">" inside quoted values ends no tag.
+_TOKEN = re.compile(
+    r"""<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>|[^<]+|<""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+def _closing(page: str, tag: str, at: int) -> re.Match | None:
+    """The end tag that belongs to an element whose start tag ends at `at`; None if it is never closed."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+        depth += -1 if m[1] else (not m[0].endswith("/>"))
+        if not depth:
+            return m
+    return None
+
+
 def blocks_of(page: str | None) -> list[tuple[str, list[str]]]:
-    """(text, features) of each leaf block with text, in page order."""
+    """(text, features) of each leaf block with text, in page order.
+
+    Text of hidden elements is left out: up to the end tag, or where there is none, until the element around it ends or,
+    for svg and math, the next block element begins.
+    """
     if not isinstance(page, str):
         return []
     stack: list[tuple[str, list[str]]] = []
     out: list[tuple[str, list[str]]] = []
     text: list[str] = []
     linked = in_link = 0
+    hidden: tuple[str, int] | None = None  # an unclosed hidden element, and how deep the stack was at its start
 
     def flush() -> None:
         nonlocal linked
@@ -61,17 +79,25 @@ def blocks_of(page: str | None) -> list[tuple[str, list[str]]]:
         at = m.end()
         tag = m[2]
         if tag is None:
-            if m[0][0] != "<" or m[0] == "<":
+            if not hidden and (m[0][0] != "<" or m[0] == "<"):
                 part = html.unescape(m[0])
                 text.append(part)
                 linked += len(part) if in_link else 0
             continue
         tag = tag.lower()
-        if tag in HIDDEN_TAGS:
-            if not m[1] and not m[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
+        if tag in RAW_TEXT_TAGS:
+            if not m[1]:
+                close = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
                 at = close.start() if close else end
                 text.append(" ")
+        elif tag in HIDDEN_TAGS:
+            if not m[1] and not m[3].endswith("/"):
+                close = _closing(page, tag, at)
+                if close:
+                    at = close.end()
+                elif not hidden:
+                    hidden = tag, len(stack)
+                text.append(" ")
         elif tag == "a":
             in_link = 0 if m[1] else 1
         elif tag not in BLOCK_TAGS:
@@ -84,9 +110,13 @@ def blocks_of(page: str | None) -> list[tuple[str, list[str]]]:
                     if stack[k][0] == tag:
                         del stack[k:]
                         break
+                if hidden and len(stack) < hidden[1]:
+                    hidden = None
                 continue
             if stack and (stack[-1][0] in SELF_ENDING.get(tag, ()) or (stack[-1][0] == "p" and tag not in ("label", "button", "select"))):
                 stack.pop()
+            if hidden and (len(stack) < hidden[1] or hidden[0] in ("svg", "math")):
+                hidden = None
             if tag != "hr":
                 names = [w.lower() for n in _NAMES.findall(m[3]) for w in _PARTS.findall(n[0] or n[1] or n[2])]
                 stack.append((tag, names))

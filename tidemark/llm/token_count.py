@@ -29,6 +29,7 @@ from tidemark.llm.registry import query
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+_NEVER = float("-inf")
 #: Distinct words a worker keeps the counts of; past it the older half stays, where the frequent words are.
 KNOWN_WORDS = 1_000_000
 #: Passes over the distinct words after the first, and what is added to each piece's count.
@@ -67,6 +68,14 @@ class PieceCounter:
         The automaton gives matches by their end, longest first, so of equal scores the piece that starts first is kept.
         """
         n = len(text)
+        if self.singles.issuperset(text):  # each place is reached by known pieces
+            score, count = [0.0] + [_NEVER] * n, [0] * (n + 1)
+            for end, (length, s) in self.automaton.iter(text):
+                end += 1
+                here = s + score[end - length]
+                if here > score[end]:
+                    score[end], count[end] = here, count[end - length] + 1
+            return count[n], score[n]
         score, count, in_run = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
         best: list[float | None] = [None] * (n + 1)
         closed = 0  # places up to here have their best path

@@ -138,14 +138,20 @@ def _fit_task(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
 def train_chain(
     docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, max_rows: int = MAX_TRAINING_ROWS
 ) -> list[np.ndarray]:
-    """Weights per category. Only they, a fixed size, reach the driver."""
+    """Weights per category. Only they, a fixed size, reach the driver.
+
+    Of rows that repeat a doc_id the one with the least text counts, of texts with equal features that with the least
+    doc_id, and of labels that repeat a doc_id the largest.
+    """
     known = labels.where(" AND ".join(f"{c} IS NOT NULL" for c in ("doc_id", *categories)))
     known = known.groupBy("doc_id").agg(*[F.max(c).cast("double").alias(f"y_{c}") for c in categories])
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     slots = F.pandas_udf(lambda s: s.map(features_of), "array<int>")
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most max_rows rows
-    # copies would make the words of one text look telling
-    rows = rows.dropDuplicates(["doc_id"]).withColumn("slots", slots("text")).drop("text").dropDuplicates(["slots"])
+    # copies would make the words of one text look telling; which row stays does not depend on the order of rows
+    marks = [f"y_{c}" for c in categories]
+    rows = rows.groupBy("doc_id", *marks).agg(F.min("text").alias("text")).withColumn("slots", slots("text"))
+    rows = rows.groupBy("slots").agg(F.min(F.struct("doc_id", *marks)).alias("row")).select("slots", "row.*")
     rows = written(rows.withColumn("earlier", F.array().cast("array<double>")).withColumn(
         "fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int")), "chain-rows")
     models = []
