@@ -31,11 +31,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each group linked by 5-word shingles at 0.8 or more.
 
-    Of rows with the same doc_id one stays. Documents without words or without a doc_id stay.
+    Rows that repeat whole are one; unlike rows of one doc_id stay together. Documents without words or without a
+    doc_id stay.
     """
     groups = ngram_jaccard_join(docs, words=5, num=80, den=100)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi")
+    named = named.withColumn("__row", F.xxhash64(*[F.struct(F.col(c).isNull(), c) for c in docs.columns]))
+    named = named.dropDuplicates(["doc_id", "__row"])
     return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
