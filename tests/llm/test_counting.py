@@ -109,7 +109,7 @@ def test_quantised_probabilities_round_down():
     assert (back[:4] <= p[:4] * (1 + 1e-9)).all() and (back[:4] >= p[:4] * 0.99).all() and back[4] == 0
 
 
-def plain_model(texts, order=3, least=2):
+def plain_model(texts, order=3, least=1):
     """The same model in dictionaries."""
     docs = [["\n"] + words(lower(t)) + [""] for t in texts]
     counts = [Counter(tuple(d[i : i + k]) for d in docs for i in range(1 if k == 1 else 0, len(d) - k + 1)) for k in range(1, order + 1)]
@@ -131,7 +131,8 @@ def plain_model(texts, order=3, least=2):
     def p(gram):
         if len(gram) == 1:
             n = counts[0].get(gram, 0)
-            return (n - cuts[0]) / total if n else cuts[0] * len(counts[0]) / total
+            spread = cuts[0] * len(counts[0]) / total / (len(counts[0]) + 1)
+            return (n - cuts[0]) / total + spread if n else spread
         k = len(gram) - 1
         under = p(gram[1:])
         all_of = {g: n for g, n in raw[k].items() if g[:-1] == gram[:-1]}
@@ -149,17 +150,20 @@ def plain_model(texts, order=3, least=2):
             out += np.log10(p(tuple(d[max(0, i - order + 1) : i + 1])))
         return out
 
+    score.p = lambda gram: np.log10(p(gram))
     return score
 
 
-def test_scores_are_those_of_the_plain_model(spark):
+@pytest.mark.parametrize("least", [1, 2])
+def test_scores_are_those_of_the_plain_model(spark, least):
     texts = [t.title() if i % 5 == 0 else t for i, t in enumerate(random_texts(9, 50, 30))]
-    got = {r.doc_id: r for r in score_texts(docs_of(spark, texts)).collect()}
+    got = {r.doc_id: r for r in score_texts(docs_of(spark, texts), least_count=least).collect()}
     out = {d for d in range(len(texts)) if zlib.crc32(str(d).encode()) % 7 == 2}
     train = [t for d, t in enumerate(texts) if d not in out]
     seen = Counter(w for t in train for w in [*words(lower(t)), ""])
     n, v = sum(seen.values()), len(seen)
-    score = plain_model(train)
+    score = plain_model(train, least=least)
+    assert sum(10 ** score.p((w,)) for w in [*seen, "never seen"]) == pytest.approx(1)
     for d, t in enumerate(texts):
         w, r = [*words(lower(t)), ""], got[d]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (d in out, len(w), sum(seen[x] > 0 for x in w), n)
@@ -179,6 +183,14 @@ def test_the_query_keeps_ngrams_seen_once(spark, tmp_path):
         assert got[d] == pytest.approx(score(t), rel=2e-3, abs=(len(words(t)) + 1) * 2e-3)
 
 
+def test_too_many_entries_are_an_error(spark, monkeypatch):
+    import tidemark.llm.ngram_lm as lm
+
+    monkeypatch.setattr(lm, "MAX_NGRAMS", 20)
+    with pytest.raises(ValueError, match="entries in a level"):
+        score_texts(docs_of(spark, random_texts(9, 20, 30))).collect()
+
+
 def test_scores_of_awkward_rows(spark):
     got = score_texts(awkward(spark)).collect()
     assert len(got) == 13 and all(np.isfinite(r.score) for r in got)

@@ -7,7 +7,8 @@ pointers to their children, and children coded relative to their context, with s
 16 bits. Tasks map the shards they need from the shared folder and find n-grams by successor search in the range of
 the context. Smoothing is interpolated absolute discounting; n-grams above the unigram that are seen less often than a
 given count are left to their back-off, whose weight takes their whole mass, so each context's probabilities still add
-up to 1 before quantising. The query keeps all n-grams.
+up to 1 before quantising. The query keeps all n-grams. What the discount leaves of the words' own mass is spread evenly
+over all known words and one unknown word, so an unknown word is as likely as the discount of one word allows.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ from tidemark.llm.registry import query
 from tidemark.plans.files import work_path
 
 ORDER = 3
-#: N-grams of two and more words below this count are left to their back-off, unless the caller asks for another one.
-LEAST_COUNT = 2
+#: N-grams of two and more words below this count are left to their back-off; 1 keeps all.
+LEAST_COUNT = 1
+#: Word ids and n-gram ranks that fit their half of a key.
+MAX_WORDS, MAX_NGRAMS = 1 << 31, 1 << 32
 SHARD_ENTRIES = 1_000_000
 #: Decoded shards a worker keeps, in bytes.
 DECODED_BYTES = 64 << 20
@@ -330,7 +333,10 @@ def _write_keys(folder: str, hashes: bool):
 
 def _level(keyed: DataFrame, folder: str, hashes: bool) -> Level:
     """Write a level's keys. The driver sees one row per shard."""
-    shards = 1 + keyed.count() // SHARD_ENTRIES
+    n, most = keyed.count(), MAX_WORDS if hashes else MAX_NGRAMS
+    if n >= most:
+        raise ValueError(f"{n} entries in a level whose ids reach to {most}")
+    shards = 1 + n // SHARD_ENTRIES
     unsigned = F.col("key").bitwiseXOR(F.lit(-(1 << 63)))  # so that longs sort like the unsigned keys they hold
     sorted_keys = keyed.select("key").repartitionByRange(shards, unsigned).sortWithinPartitions(unsigned)
     found = written(sorted_keys.mapInPandas(_write_keys(folder, hashes), "first string, n long, path string"), "lm-shards")
@@ -384,11 +390,12 @@ def train(docs: DataFrame, order: int = ORDER, least_count: int = LEAST_COUNT) -
     # mass that a context's kept n-grams take; its n-grams are as many as it has occurrences, as each is followed by one
     masses = [written(kept[k].groupBy(node).agg((F.sum("n") - F.lit(cuts[k]) * F.count("*")).alias("mass")), "lm-masses")
               for k in range(1, order)]
+    spread = cuts[0] * words / tokens / (words + 1) if tokens else 1.0
     start, parents = 1.0, None
     for k in range(order):
         rows = written(_ranked(kept[k], levels[k], "key", "n"), "lm-ranks")
         if k == 0:
-            shares = rows.withColumn("share", (F.col("n") - cuts[0]) / F.lit(float(max(1, tokens))))
+            shares = rows.withColumn("share", (F.col("n") - cuts[0]) / F.lit(float(max(1, tokens))) + F.lit(spread))
         else:
             of = parents.select(F.col("rank").alias("node"), F.col("n").alias("total"))
             if k == 1:
@@ -408,8 +415,7 @@ def train(docs: DataFrame, order: int = ORDER, least_count: int = LEAST_COUNT) -
         dropped(found, *([parents] if parents is not None else []))
         parents = rows
     dropped(parents, *kept, *masses)
-    unknown = cuts[0] * words / tokens if tokens else 1.0
-    return {"levels": levels, "tokens": tokens, "words": words, "unknown": unknown, "start": start}, ids
+    return {"levels": levels, "tokens": tokens, "words": words, "unknown": spread, "start": start}, ids
 
 
 def _score(model: dict):
@@ -446,7 +452,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, least_count: int = LEAST_CO
 
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10). Null and empty texts are
     one end token. Rows with a null doc_id are in training. Without training rows every token has the unknown
-    class's probability 1. An empty table gives no rows; repeated rows each give one.
+    word's probability 1. More words or n-grams than ids can tell apart are an error. An empty table gives no rows; repeated rows each give one.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
     docs = docs.select("doc_id", "text", held.alias("held_out"))
