@@ -111,3 +111,14 @@ def test_reading_stops_early():
     assert best.score.tolist() == np.sort(total)[::-1][:10].tolist()
     poor = Block(np.arange(n), np.zeros(n, bool), np.arange(n), np.ones(n, np.int64), r.integers(1, 1000, n))
     assert poor.search([0, 1], best) == 0  # nothing of this block can reach the tenth best
+
+
+def test_scores_beyond_64_bits_are_an_error():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([
+        pa.array([1]), pa.array([False]), pa.array([1 << 40]), pa.array([[0]], pa.list_(pa.int32())), pa.array([[5]], pa.list_(pa.int64())),
+    ], schema=ranked.INDEX)
+    with pytest.raises(OverflowError):
+        list(ranked.blocks_of([batch], np.array([1000]), 1 << 30, 1 << 41, 10))
+    assert len(list(ranked.blocks_of([batch], np.array([1000]), 1000, 1 << 41, 10))) == 1

@@ -161,6 +161,8 @@ def blocks_of(batches, weights: np.ndarray, n_docs: int, n_terms: int, size: int
 
     def block() -> Block:
         doc, no_id, lengths, n, term, tf = (np.concatenate(c) for c in zip(*held))
+        if len(n) and 50 * int(n.max()) * n_docs >= 1 << 63:
+            raise OverflowError(f"a document of {int(n.max())} terms among {n_docs} documents: scores need more than 64 bits")
         m = 50 + (50 * n * n_docs) // n_terms
         at = np.repeat(np.arange(len(doc)), lengths)
         impact = weights[term] * ((1_000_000_000 * tf) // (1000 * tf + 20 * m[at]))
