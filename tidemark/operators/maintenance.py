@@ -141,9 +141,10 @@ def compact(h: History, target_bytes: int | None = None, *, branch: str | None =
         h.spark.createDataFrame([(b, f) for b, files_of in partial.items() for f in files_of], "batch long, file string") \
             .coalesce(1).write.parquet(h.dropped_path(batch))
     rows = rows[0].union(rows[1]) if len(rows) > 1 else rows[0]
-    wanted = max(1, -(-sum(r["length"] for r in chosen) // target_bytes))
-    # Only files to be cut need their rows counted first.
-    cut = any(r["length"] > target_bytes for r in chosen)
+    size_chosen = sum(r["length"] for r in chosen)
+    # Only files to be cut need their rows counted first; others are merged to about the target, not cut to it.
+    cut = any(r["length"] > target_bytes * LARGE_SHARE for r in chosen)
+    wanted = max(1, -(-size_chosen // target_bytes) if cut else round(size_chosen / target_bytes))
     h.write_rows(batch, rows, keep_keys=F.lit(True), files_wanted=wanted, rows_total=rows.count() if cut else None,
                  target_bytes=target_bytes)
     new_files, _ = files.size_of(h.spark, [h.rows_path(batch, h.spec_id)])

@@ -101,15 +101,16 @@ def range_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '1994-03-01' AND l_shipdate < TIMESTAMP '1994-05-15'
+SELECT * FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-03-01' AND l_shipdate < TIMESTAMP '1996-05-15'
 """)
 def range_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A range of an unpartitioned history in ranges of the column; files whose bounds miss it stay closed."""
     lineitem = table(spark, sf_dir, "lineitem")
-    h = create_history(lineitem.where("l_shipdate < timestamp_ntz'1995-01-01'"), work_path(spark, "lineitem"))
+    late = lineitem.where("l_shipdate >= timestamp_ntz'1998-01-01' OR l_shipdate IS NULL")
+    h = create_history(late, work_path(spark, "lineitem"), properties={"target_file_bytes": str(1 << 20)})
     h = gather_stats(maintenance.cluster_by(h, "l_shipdate"), always=True)
-    h = append(h, lineitem.where("l_shipdate >= timestamp_ntz'1995-01-01' OR l_shipdate IS NULL"))
-    return maintenance.read_range(h, "l_shipdate", "1994-03-01", "1994-05-15")
+    h = append(h, lineitem.where("l_shipdate < timestamp_ntz'1998-01-01'"))
+    return maintenance.read_range(h, "l_shipdate", "1996-03-01", "1996-05-15")
 
 
 @query("""

@@ -77,16 +77,16 @@ def named_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' OR o_orderstatus IS DISTINCT FROM 'F'
+SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' OR o_orderstatus IS DISTINCT FROM 'F'
 """)
 def named_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ensure by name, delete and append through the name; the table of that name shows both."""
     orders = table(spark, sf_dir, "orders")
     name = f"{_namespace(spark)}.orders"
-    append(ensure_history(spark, name, orders.schema), orders.where("o_orderdate < timestamp_ntz'1995-01-01'"))
+    append(ensure_history(spark, name, orders.schema), orders.where("o_orderdate < timestamp_ntz'1998-01-01'"))
     delete_where(load_history(spark, name), "o_orderstatus = 'F'")
     append(ensure_history(spark, name, "unused int"), orders.where(
-        "o_orderdate >= timestamp_ntz'1995-01-01' OR o_orderdate IS NULL AND NOT o_orderstatus <=> 'F'"))
+        "o_orderdate >= timestamp_ntz'1998-01-01' OR o_orderdate IS NULL AND NOT o_orderstatus <=> 'F'"))
     return spark.table(name)
 
 
