@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from llm.texts import awkward, docs_of, empty, lower, random_texts, words
-from tidemark.llm.ngram_lm import Level, ef_decode, ef_encode, quantised, score_texts
+from tidemark.llm.ngram_lm import EliasFano, Words, ef_decode, ef_encode, quantised, score_texts
 from tidemark.llm.packing import best_fit_packing, plan
 from tidemark.llm.token_count import PieceCounter, piece_counter, token_counts, vocabulary
 
@@ -103,6 +103,22 @@ def test_elias_fano_round_trip():
     assert (ef_decode(ef_encode(v)) == v).all()
 
 
+def test_elias_fano_is_searched_in_place():
+    r = np.random.default_rng(4)
+    for n, top in [(1, 5), (300, 600), (5000, 2**40), (3000, 2**63), (2000, 2100)]:
+        v = np.unique(r.integers(0, top, n)).astype(np.uint64)
+        code = EliasFano(ef_encode(v))
+        asked = np.r_[v, v + np.uint64(1), r.integers(0, top, 500).astype(np.uint64), np.array([0, 2**64 - 1], np.uint64)]
+        at = np.searchsorted(v, asked)
+        plain = np.where((at < len(v)) & (v[np.minimum(at, len(v) - 1)] == asked), at, -1)
+        assert (code.find(asked) == plain).all()
+        lo, hi = r.integers(0, len(v), len(asked)), r.integers(0, len(v) + 1, len(asked))
+        assert (code.find(asked, lo, hi) == np.where((plain >= lo) & (plain < hi), plain, -1)).all()
+    runs = np.sort(np.r_[np.arange(5000), 2**50 + np.arange(5000)]).astype(np.uint64)  # many entries of one high part
+    assert (EliasFano(ef_encode(runs)).find(runs) == np.arange(10000)).all()
+    assert (EliasFano(ef_encode(runs[:0])).find(runs[:9]) == -1).all()
+
+
 def test_quantised_probabilities_round_down():
     p = np.array([1, 0.5, 1e-3, 1e-30, 0, 1e-40])
     back = np.r_[10.0 ** (-np.arange(65535) / 2048), 0.0][quantised(p)]
@@ -154,8 +170,9 @@ def plain_model(texts, order=3, least=1):
     return score
 
 
-@pytest.mark.parametrize("least", [1, 2])
-def test_scores_are_those_of_the_plain_model(spark, least):
+@pytest.mark.parametrize("least, entries", [(1, 1_000_000), (1, 40), (2, 1_000_000), (2, 40)])
+def test_scores_are_those_of_the_plain_model(spark, monkeypatch, least, entries):
+    monkeypatch.setattr("tidemark.llm.ngram_lm.SHARD_ENTRIES", entries)  # 40: many shards of each level
     texts = [t.title() if i % 5 == 0 else t for i, t in enumerate(random_texts(9, 50, 30))]
     got = {r.doc_id: r for r in score_texts(docs_of(spark, texts), least_count=least).collect()}
     out = {d for d in range(len(texts)) if zlib.crc32(str(d).encode()) % 7 == 2}
@@ -199,8 +216,7 @@ def test_scores_of_awkward_rows(spark):
 
 
 def test_a_level_without_shards_knows_nothing():
-    level = Level(pd.DataFrame({"first": np.empty(0, "uint64"), "n": np.empty(0, "int64"), "path": []}))
-    assert level.ranks(np.array([1, 2], np.uint64)).tolist() == [-1, -1]
+    assert Words("/none", []).ids(np.array([1, 2], np.uint64)).tolist() == [-1, -1]
 
 
 def plain_paths(word, scores, unknown):
