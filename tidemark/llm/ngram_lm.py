@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_group, dropped, groups, mixed, table, word_hashes, words_of, written
+from tidemark.llm.common import by_group, dropped, groups, mixed, table, words_of, written
 from tidemark.llm.registry import query
 from tidemark.plans.files import delete, work_path
 
@@ -76,27 +76,34 @@ def ef_encode(values: np.ndarray) -> dict[str, np.ndarray]:
     rest = values - first
     universe = int(rest[-1]) + 1 if n else 1
     width = min(8, max(0, -(-(universe // max(1, n)).bit_length() // 8)))
-    low = rest.view(np.uint8).reshape(n, 8)[:, :width] if n else np.empty((0, width), np.uint8)
+    low = np.r_[rest.view(np.uint8).reshape(n, 8)[:, :width].ravel(), np.zeros(8, np.uint8)]  # 8 bytes may be read anywhere
     high = (rest >> np.uint64(8 * width) if width < 8 else np.zeros(n, np.uint64)).astype(np.int64)
     ones = high + np.arange(n)
     bits = np.zeros(-(-(int(ones[-1]) + 2 if n else 1) // 64) * 64, bool)  # one zero at least after the last one
     bits[ones] = True
     words = np.packbits(bits, bitorder="little").view(np.uint64)
     zeros = np.cumsum(64 - np.bitwise_count(words).astype(np.int64))
-    return {"first": np.array([first], np.uint64), "n": np.array([n, width]), "low": low.copy(), "high": words,
+    return {"first": np.array([first], np.uint64), "n": np.array([n, width]), "low": low, "high": words,
             "zeros": np.r_[0, zeros[:-1]]}
 
 
+_ODD, _PAIRS, _NIBBLES = (np.uint64(int(x * 8, 16)) for x in ("55", "33", "0f"))
+_EACH, _TOPS, _BYTE = np.uint64(int("01" * 8, 16)), np.uint64(int("80" * 8, 16)), np.uint64(255)
+_1, _2, _4, _8 = (np.uint64(x) for x in (1, 2, 4, 8))
+
+
 def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Place of the k-th one (from 0) in `words`, of which `before` ones stand before each word."""
     at = np.searchsorted(before, k, "right") - 1
-    k = k - before[at]
-    octets = np.ascontiguousarray(words[at]).view(np.uint8).reshape(-1, 8)
-    upto = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.int64)
-    octet = (upto <= k[:, None]).sum(axis=1)
-    row = np.arange(len(k))
-    mine = octets[row, octet]
-    return at * 64 + octet * 8 + _IN_BYTE[mine, k - upto[row, octet] + np.bitwise_count(mine)]
+    k = (k - before[at]).astype(np.uint64)
+    word = words[at]
+    upto = word - ((word >> _1) & _ODD)  # ones of each two bits, four bits, byte, and of all bytes up to each
+    upto = (upto & _PAIRS) + ((upto >> _2) & _PAIRS)
+    upto = ((upto + (upto >> _4)) & _NIBBLES) * _EACH
+    bits = np.bitwise_count((((k * _EACH) | _TOPS) - upto) & _TOPS).astype(np.uint64) * _8  # bytes that end before it
+    mine = (word >> bits) & _BYTE
+    k -= ((upto << _8) >> bits) & _BYTE
+    return at * 64 + bits.astype(np.int64) + _IN_BYTE[mine.astype(np.int64), k.astype(np.int64)]
 
 
 class EliasFano:
@@ -104,14 +111,14 @@ class EliasFano:
 
     def __init__(self, code: dict[str, np.ndarray]):
         self.n, self.width = (int(x) for x in code["n"])
-        self.first, self.low, self.words, self.zeros = code["first"][0], code["low"], code["high"], code["zeros"]
+        self.first, self.words, self.zeros = code["first"][0], code["high"], code["zeros"]
+        self.mask = np.uint64((1 << 8 * self.width) - 1)
+        self.low = np.ndarray((self.n,), np.uint64, code["low"], strides=(self.width,))
         self.ones = np.arange(len(self.words)) * 64 - self.zeros
         self.top = int(self.zeros[-1]) + 64 - int(np.bitwise_count(self.words[-1])) - 1  # the last zero
 
     def _low(self, i: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(i), 8), np.uint8)
-        out[:, : self.width] = self.low[i]
-        return out.view(np.uint64).reshape(len(i))
+        return self.low[i] & self.mask
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         value = self._low(i)
@@ -126,7 +133,7 @@ class EliasFano:
         high = (rest >> np.uint64(8 * self.width) if self.width < 8 else np.zeros(len(x), np.uint64))
         inside = (x >= self.first) & (high <= np.uint64(self.top))
         h = np.where(inside, high, 0).astype(np.int64)
-        low = rest & np.uint64((1 << 8 * self.width) - 1)
+        low = rest & self.mask
         # entries with the same high part stand between two zeros
         not_words = ~self.words
         start = np.where(h > 0, _select(not_words, self.zeros, np.maximum(h - 1, 0)) + 1, 0) - h
@@ -265,7 +272,7 @@ class Words:
 
 
 def _shard_of(pairs: np.ndarray, shards: int) -> np.ndarray:
-    return (mixed(pairs) % np.uint64(shards)).astype(np.int64)
+    return (mixed(pairs) % np.uint64(shards)).astype(np.min_scalar_type(shards))
 
 
 def _chunks(frames: Iterator[pd.DataFrame], column: str, read) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
@@ -285,7 +292,8 @@ def _chunks(frames: Iterator[pd.DataFrame], column: str, read) -> Iterator[tuple
 
 def _token_hashes(text: str | None) -> np.ndarray:
     """Hashes of the words, and the end token."""
-    return np.append(word_hashes(words_of(text, lower=True)), END)
+    words = words_of(text, lower=True)
+    return np.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), END)
 
 
 def _count_words(frames) -> Iterator[pd.DataFrame]:
@@ -509,16 +517,16 @@ def _searched(model: dict, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
     words = model["words"]
     pair_p, back, child_p = (np.full(len(ids), x, np.uint16) for x in (65535, 0, 65535))
     at = at[(ids[at - 1] >= 0) & (ids[at] >= 0)]
-    pairs, of = np.unique(ids[at - 1].astype(np.uint64) * np.uint64(words.size) + ids[at].astype(np.uint64), return_inverse=True)
+    if not len(at):
+        return pair_p, back, child_p
+    pairs = ids[at - 1].astype(np.uint64) * np.uint64(words.size) + ids[at].astype(np.uint64)
+    order = np.argsort(pairs)
+    order = order[np.argsort(_shard_of(pairs[order], model["shards"]), kind="stable")]
+    at, pairs = at[order], pairs[order]
+    new = np.r_[True, pairs[1:] != pairs[:-1]]
+    of, pairs = np.cumsum(new) - 1, pairs[new]
     shard = _shard_of(pairs, model["shards"])
-    order = np.argsort(shard, kind="stable")  # pairs stay sorted within a shard
-    rank = np.empty(len(pairs), np.int64)
-    rank[order] = np.arange(len(pairs))
-    of = rank[of]
-    pairs, shard = pairs[order], shard[order]
-    sort = np.argsort(of, kind="stable")
-    at, of = at[sort], of[sort]
-    cuts = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)] if len(shard) else [0]
+    cuts = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)]
     for lo, hi in zip(cuts[:-1], cuts[1:]):
         values = _mapped(f"{words.folder}/values/{shard[lo]}")
         if not len(values["pair"]):
