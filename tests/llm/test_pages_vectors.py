@@ -141,3 +141,34 @@ def test_copies_and_tight_groups_larger_than_the_window(spark):
     want = plain(rows)
     assert {x.vec_id: x.n_links for x in got} == {i: len(want.get(i, ())) for i, _, _ in rows}
     assert {x.component_id for x in got if x.vec_id < 153} == {0} and {x.component_id for x in got if 153 <= x.vec_id < 303} == {153}
+
+
+@pytest.mark.parametrize("kind,of", [
+    ("string", lambda g: f"class {g}"), ("long", lambda g: (1 << 40) + g), ("double", lambda g: [0.5, -0.0, float("nan")][g])])
+def test_labels_of_other_types(spark, kind, of):
+    rows = [(i, v, g) for i, v, g in vectors(spark)]
+    schema = SCHEMA.replace("label int", f"label {kind}")
+    named = [(i, v, of(g), 1, "x") for i, v, g in rows]
+    got = sorted_projection_join(spark.createDataFrame(named, schema)).collect()
+    want = plain([r for r in rows if of(r[2]) == of(r[2])])
+    assert {r.vec_id: r.n_links for r in got} == {i: len(want.get(i, ())) for i, _, _ in rows}
+
+
+def test_links_met_in_several_passes_count_once(spark):
+    r = np.random.default_rng(13)
+    centres = r.standard_normal((40, 16))
+    group = [c + r.standard_normal(16) * 0.12 for c in centres for _ in range(12)]
+    rows = [(i, [float(x) for x in np.float32(v)], 1) for i, v in enumerate(group)]
+    many = [(*x, 1, "x") for x in rows]
+    got = sorted_projection_join(spark.createDataFrame(many, SCHEMA), passes=12, window=30, block=100).collect()
+    want = plain(rows)
+    assert {x.vec_id: x.n_links for x in got} == {i: len(want.get(i, ())) for i, _, _ in rows}
+    root = roots([i for i, _, _ in rows], [(a, b) for a, bs in want.items() for b in bs])
+    assert {x.vec_id: x.component_id for x in got} == root
+
+
+def test_unlike_rows_of_one_id_give_the_same_in_every_run(spark):
+    rows = [(1, [1.0, 0.0], 1, 1, "x"), (2, [1.0, 0.0], 2, 1, "x"), (2, [0.0, 1.0], 1, 1, "x"), (3, [0.0, 1.0], 1, 1, "x")]
+    for order in (rows, rows[::-1]):
+        got = sorted_projection_join(spark.createDataFrame(order, SCHEMA).repartition(3)).collect()
+        assert {(x.vec_id, x.n_links, x.component_id) for x in got} == {(1, 0, 1), (2, 1, 2), (3, 1, 2)}
