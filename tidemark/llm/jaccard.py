@@ -236,15 +236,15 @@ def ngram_jaccard_join(
     hub = F.col("hub").alias("cluster")
     placed = near.select(hub, "c1").unionByName(near.select(hub, F.col("hub").alias("c1")).distinct())
     member = classes.join(placed, "c1").select("cluster", F.col("first").alias("doc_id"), "text_key", "n")
-    member = written(member, "cluster-members")
+    every_member = written(member, "cluster-members")
     # a set goes on only if another set of its cluster has a size that allows a link; a window sees distinct sizes only
     by_size = Window.partitionBy("cluster").orderBy("n")
     smaller, larger = F.lag("n").over(by_size), F.lead("n").over(by_size)
     fits = (F.col("sets") > 1) | (smaller * den >= F.col("n") * num) | (F.col("n") * den >= larger * num)
-    fitting = member.groupBy("cluster", "n").agg(F.count("*").alias("sets")).withColumn("fits", fits)
-    member = member.join(fitting.where("fits").select("cluster", "n"), ["cluster", "n"], "left_semi")
+    fitting = every_member.groupBy("cluster", "n").agg(F.count("*").alias("sets")).withColumn("fits", fits)
+    member = every_member.join(fitting.where("fits").select("cluster", "n"), ["cluster", "n"], "left_semi")
     member = written(member, "fitting-members")
-    dropped(keyed_sets, hubs, near)
+    dropped(keyed_sets, hubs, near, every_member)
     texts = written(docs.join(member.select("doc_id", "text_key").distinct(), ["doc_id", "text_key"]), "cluster-texts")
 
     # bands of the large clusters; the one band of any other has the cluster's own name
