@@ -1,12 +1,14 @@
 """Exact Jaccard components against all pairs."""
 
+import random
+
 import numpy as np
 import pytest
 
 from llm.texts import awkward, docs_of, empty, lower, random_texts, roots, words
 from tidemark.llm import jaccard
 from tidemark.llm.common import components
-from tidemark.llm.jaccard import SignatureTree, bucket_keys, ngram_jaccard_join
+from tidemark.llm.jaccard import SignatureFilter, SignatureTree, bucket_keys, ngram_jaccard_join, signature
 
 
 def shingles(text, n):
@@ -64,6 +66,50 @@ def test_tree_finds_what_all_pairs_find():
     assert groups(tree.find) == groups(want.get)
 
 
+def test_signatures_rule_out_no_link():
+    r = np.random.default_rng(5)
+    base = [np.unique(r.integers(0, 2**63, int(n)).astype(np.uint64)) for n in (3, 40, 900, 1100, 2100, 60000)]
+    sets = [np.unique(np.r_[b[r.random(len(b)) > 0.06], b[:1]]) for b in base for _ in range(4)]
+    found = SignatureFilter([len(s) for s in sets], [signature(s) for s in sets])
+    found.join(80, 100)
+    for j in range(len(sets)):
+        for i in range(j):
+            k = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * k >= 80 * (len(sets[i]) + len(sets[j]) - k):
+                assert found.find(i) == found.find(j)
+    assert len({found.find(i) for i in range(4, len(sets))}) >= 5  # unlike sets stay apart
+
+
+def test_a_text_goes_along_once(spark, monkeypatch):
+    """Sets share single-shingle buckets with many unlike ones, but texts go only where a link is possible."""
+    r = random.Random(6)
+    common = [f"c{i} c{i} c{i} c{i}" for i in range(60)]
+    body = lambda: " ".join(f"{r.random():.9f}" for _ in range(20))
+    texts = [" ".join(f"{c} {body()}" for c in r.sample(common, 12)) for _ in range(60)]
+    texts += [" ".join(t.split()[:-2]) for t in texts[::3]]
+    sent = {}
+    plainly = jaccard.written
+
+    def noted(df, name):
+        out = plainly(df, name)
+        sent[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", noted)
+    got = ngram_jaccard_join(docs_of(spark, texts), 4, 85, 100).collect()
+    assert {tuple(row) for row in got} == plain(texts, 4, 85, 100)
+    assert sent["fitting-members"] > 60 and sent["bands"] == 40
+
+
+@pytest.mark.parametrize("block_docs", [2, 4000])
+def test_unlike_texts_of_one_doc_id_keep_their_links(spark, block_docs):
+    a, b = " ".join(f"a{i}" for i in range(200)), " ".join(f"b{i}" for i in range(200))
+    docs = spark.createDataFrame(
+        [(5, a), (5, b), (6, f"{a} x"), (7, f"{b} x"), (8, f"{a} y"), (9, f"x {b}"), (5, a)], "doc_id long, text string")
+    got = ngram_jaccard_join(docs, 4, 85, 100, block_docs=block_docs).collect()
+    assert sorted(r.doc_id for r in got) == [5, 5, 5, 6, 7, 8, 9] and {r.component_id for r in got} == {5}
+
+
 def test_awkward_rows(spark):
     got = ngram_jaccard_join(awkward(spark)).collect()
     assert len(got) == 13

@@ -7,7 +7,12 @@ have (plus a few for empty buckets), so two linked sets agree in a whole bucket.
 first is its hub, and a hub's cluster is all sets of its buckets; both sets of a link are in the cluster of any bucket
 they share. In each cluster a signature tree is bulk-loaded: a node holds the OR of its sets' token bitmaps and their
 range of sizes. A dual traversal drops pairs of nodes whose largest possible overlap is too small for a link, or which
-a single component holds already, and counts the overlap of what is left exactly.
+a single component holds already, and looks at each pair that is left.
+
+This is done twice. The first time only the sets' own bitmaps travel, a few bits a shingle, and connect what their
+overlap does not rule out; a set that stays alone has no link there. The others form groups over all clusters, and one
+text of each goes to its group, once, where the overlap is counted exactly. A cluster or group too large for a tree
+keeps the texts of each of its clusters.
 
 A cluster of very many documents is cut into bands of sizes: linked sets lie in the same band or in neighbouring ones,
 so each document goes to its own band and, as a guest, to the next. A band that is still too large for a tree is cut
@@ -36,6 +41,8 @@ SHINGLE_WORDS, NUM, DEN = 5, 80, 100
 #: Documents, and shingles of theirs, that one tree holds.
 BLOCK_DOCS, BLOCK_SHINGLES = 4_000, 6_000_000
 BITS, FAN_OUT = 1024, 8
+#: The bitmap of a set has two to four bits a shingle, but at least BITS and at most so many.
+MOST_BITS = 1 << 16
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -72,20 +79,36 @@ def bucket_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def signature(s: np.ndarray, width: int | None = None) -> bytes:
+    """Bitmap of a set: a bit for each remainder of its hashes by the width, a power of two."""
+    width = width or max(BITS, min(MOST_BITS, 2 << len(s).bit_length()))
+    flags = np.zeros(width, bool)
+    flags[(s % np.uint64(width)).astype(np.int64)] = True
+    return np.packbits(flags).tobytes()
+
+
+def _folded(bits: int, width: int, to: int) -> int:
+    """The bitmap of the same set at a smaller width."""
+    while width > to:
+        width //= 2
+        bits = bits >> width | bits & (1 << width) - 1
+    return bits
+
+
 class SignatureTree:
     """Signature tree over shingle sets, with the components found so far."""
 
     def __init__(self, sets: list[np.ndarray], roots: list[int] | None = None):
         self.sets = sets
-        self.size = [len(s) for s in sets]
-        self.bits, self.extra = [], []
-        for s in sets:
-            flags = np.zeros(BITS, bool)
-            flags[(s % np.uint64(BITS)).astype(np.int64)] = True
-            self.bits.append(int.from_bytes(np.packbits(flags).tobytes(), "big"))
-            self.extra.append(len(s) - int(flags.sum()))
-        self.parent = list(range(len(sets))) if roots is None else roots
-        order = sorted(range(len(sets)), key=lambda i: (self.size[i].bit_length(), int(sets[i][0]), self.size[i]))
+        bits = [int.from_bytes(signature(s, BITS), "big") for s in sets]
+        self._load([len(s) for s in sets], bits, [int(s[0]) for s in sets], roots)
+
+    def _load(self, size: list[int], bits: list[int], near: list[int], roots: list[int] | None = None) -> None:
+        """Build the tree; sets with close values of `near` share nodes."""
+        self.size, self.bits = size, bits
+        self.extra = [n - b.bit_count() for n, b in zip(size, bits)]
+        self.parent = list(range(len(size))) if roots is None else roots
+        order = sorted(range(len(size)), key=lambda i: (size[i].bit_length(), near[i], size[i]))
         nodes = [self._node(None, order[i : i + FAN_OUT]) for i in range(0, len(order), FAN_OUT)]
         while len(nodes) > 1:
             nodes = [self._node(nodes[i : i + FAN_OUT], None) for i in range(0, len(nodes), FAN_OUT)]
@@ -167,9 +190,26 @@ class SignatureTree:
                 need = -(-num * (a + b) // (num + den))
                 if min(a, b) < need or (self.bits[i] & self.bits[j]).bit_count() + min(self.extra[i], self.extra[j]) < need:
                     continue
-                if len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)) >= need:
+                if self._linked(i, j, need):
                     self.parent[max(ri, rj)] = min(ri, rj)
 
+    def _linked(self, i: int, j: int, need: int) -> bool:
+        return len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True)) >= need
+
+
+class SignatureFilter(SignatureTree):
+    """The same over sizes and signatures alone; connects sets that these leave room for a link."""
+
+    def __init__(self, size: list[int], signatures: list[bytes]):
+        self.wide = [int.from_bytes(s, "big") for s in signatures]
+        self.width = [8 * len(s) for s in signatures]
+        self._load(size, [_folded(b, w, BITS) for b, w in zip(self.wide, self.width)], self.wide)
+
+    def _linked(self, i: int, j: int, need: int) -> bool:
+        to = min(self.width[i], self.width[j])
+        a, b = _folded(self.wide[i], self.width[i], to), _folded(self.wide[j], self.width[j], to)
+        return (a & b).bit_count() + min(self.size[i] - a.bit_count(), self.size[j] - b.bit_count()) >= need
+
 
 def _sets(frames, n: int, num: int, den: int):
     for frame in frames:
@@ -178,8 +218,19 @@ def _sets(frames, n: int, num: int, den: int):
             s = shingle_set(text, n)
             both = xxhash.xxh3_128_intdigest(s.tobytes())
             c1, c2 = np.array([both & (1 << 64) - 1, both >> 64], np.uint64).view(np.int64)
-            rows.append((doc_id, key, len(s), c1, c2, signed(bucket_keys(s, num, den))))
-        yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n", "c1", "c2", "keys"])
+            rows.append((doc_id, key, len(s), c1, c2, signed(bucket_keys(s, num, den)), signature(s)))
+        yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n", "c1", "c2", "keys", "bits"])
+
+
+def _possible(frame: pd.DataFrame, num: int, den: int) -> Iterator[pd.DataFrame]:
+    """The sets of a cluster that signatures connect with others, with the first document of what they are part of."""
+    frame = frame.sort_values(["doc_id", "text_key"], ignore_index=True)
+    tree = SignatureFilter(frame["n"].tolist(), frame["bits"].tolist())
+    tree.join(num, den)
+    roots = np.array([tree.find(i) for i in range(len(frame))])
+    frame["root"] = frame["doc_id"].to_numpy()[roots]
+    frame["part"] = roots
+    yield frame.loc[np.bincount(roots)[roots] > 1, ["cluster", "root", "part", "doc_id", "text_key", "n"]]
 
 
 def _tree_of(frame: pd.DataFrame, n: int, num: int, den: int) -> Iterator[pd.DataFrame]:
@@ -187,7 +238,7 @@ def _tree_of(frame: pd.DataFrame, n: int, num: int, den: int) -> Iterator[pd.Dat
 
     Two guests are left to their own band.
     """
-    frame = frame.drop_duplicates("doc_id").sort_values("doc_id")
+    frame = frame.drop_duplicates(["doc_id", "text_key"]).sort_values(["doc_id", "text_key"])
     ids, guest = frame["doc_id"].to_numpy(), frame["guest"].to_numpy()
     tree = SignatureTree([shingle_set(t, n) for t in frame["text"]])
     tree.join(num, den, (lambda i, j: guest[i] and guest[j]) if guest.any() else None)
@@ -197,7 +248,8 @@ def _tree_of(frame: pd.DataFrame, n: int, num: int, den: int) -> Iterator[pd.Dat
 
 def _rest_of(frame: pd.DataFrame, n: int, num: int, den: int) -> Iterator[pd.DataFrame]:
     """Links between a share of the unconnected documents and one block of their band."""
-    frame = frame.sort_values(["asks", "doc_id"], ascending=[False, True]).drop_duplicates("doc_id").sort_values("doc_id")
+    frame = frame.sort_values("asks", ascending=False).drop_duplicates(["doc_id", "text_key"])
+    frame = frame.sort_values(["doc_id", "text_key"])
     ids, asks = frame["doc_id"].to_numpy(), frame["asks"].to_numpy()
     first = {}
     for i, r in enumerate(frame["root"]):
@@ -221,8 +273,8 @@ def ngram_jaccard_join(
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     keyed_sets = written(docs.mapInPandas(
         lambda frames: _sets(frames, words, num, den),
-        "doc_id long, text_key long, n long, c1 long, c2 long, keys array<long>"), "shingle-sets")
-    sets = written(keyed_sets.drop("keys"), "sets")
+        "doc_id long, text_key long, n long, c1 long, c2 long, keys array<long>, bits binary"), "shingle-sets")
+    sets = written(keyed_sets.drop("keys", "bits"), "sets")
     named = sets.where("doc_id IS NOT NULL AND n > 0")
     classes = written(named.groupBy("c1", "c2").agg(
         F.min("doc_id").alias("first"), F.min_by("text_key", F.struct("doc_id", "text_key")).alias("text_key"),
@@ -244,7 +296,9 @@ def ngram_jaccard_join(
     fitting = every_member.groupBy("cluster", "n").agg(F.count("*").alias("sets")).withColumn("fits", fits)
     member = every_member.join(fitting.where("fits").select("cluster", "n"), ["cluster", "n"], "left_semi")
     member = written(member, "fitting-members")
-    dropped(keyed_sets, hubs, near, every_member)
+    dropped(hubs, near, every_member)
+    member = _grouped(member, keyed_sets, num, den, block_docs, block_shingles)
+    dropped(keyed_sets)
     texts = written(docs.join(member.select("doc_id", "text_key").distinct(), ["doc_id", "text_key"]), "cluster-texts")
 
     # bands of the large clusters; the one band of any other has the cluster's own name
@@ -264,7 +318,7 @@ def ngram_jaccard_join(
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     dealt = rows.withColumn(
         "block", F.explode(F.when(F.col("doc_id") == F.col("hub"), every).otherwise(F.array(block))))
-    dealt = texts.join(dealt, ["doc_id", "text_key"]).select("band", "block", "guest", "doc_id", "text")
+    dealt = texts.join(dealt, ["doc_id", "text_key"]).select("band", "block", "guest", "doc_id", "text_key", "text")
     found = by_group(dealt, ["band", "block"], lambda g: _tree_of(g, words, num, den), "a long, b long")
     edges = written(found.where("a <> b").select("a", "b").distinct(), "links")
     split = written(rows.where("blocks > 1"), "split-bands")
@@ -278,6 +332,34 @@ def ngram_jaccard_join(
     return out.select("doc_id", "n_shingles", F.coalesce(linked, "doc_id").alias("component_id"))
 
 
+def _grouped(member: DataFrame, keyed_sets: DataFrame, num: int, den: int, block_docs: int, block_shingles: int) -> DataFrame:
+    """Members of clusters as members of groups: both sets of a link are in one group, and most sets in one group only.
+
+    What signatures connect, over all clusters, is one group if a tree holds it; otherwise each cluster's part of it is.
+    """
+    size = member.groupBy("cluster").agg((F.count("*") > block_docs).alias("large"))
+    member = member.join(size, "cluster")
+    asked = member.where("NOT large").drop("large")
+    wanted = asked.select("doc_id", "text_key").distinct()
+    signatures = keyed_sets.select("doc_id", "text_key", "bits").join(wanted, ["doc_id", "text_key"], "left_semi")
+    signatures = written(signatures.dropDuplicates(["doc_id", "text_key"]), "signatures")
+    asked = asked.join(signatures, ["doc_id", "text_key"]).select("cluster", "doc_id", "text_key", "n", "bits")
+    parts = written(by_group(
+        asked, ["cluster"], lambda g: _possible(g, num, den),
+        "cluster long, root long, part long, doc_id long, text_key long, n long"), "cluster-parts")
+    labels = components(parts.where("root <> doc_id").select(F.col("root").alias("a"), F.col("doc_id").alias("b")))
+    parts = parts.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    parts = parts.withColumn("component", F.coalesce("component", "doc_id"))
+    whole = (F.count("*") <= block_docs) & (F.sum("n") <= block_shingles)
+    whole = parts.select("component", "doc_id", "text_key", "n").distinct().groupBy("component").agg(whole.alias("whole"))
+    group = F.when(F.col("whole"), F.xxhash64("component")).otherwise(F.xxhash64("cluster", "part"))
+    found = parts.join(whole, "component").select(group.alias("cluster"), "doc_id", "text_key", "n").distinct()
+    rest = member.where("large").select("cluster", "doc_id", "text_key", "n")
+    groups = written(found.unionByName(rest), "groups")
+    dropped(signatures)
+    return groups
+
+
 def _between_blocks(texts: DataFrame, edges: DataFrame, split: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between the blocks of split bands, beyond those that already connect their documents."""
     known = components(edges)
@@ -292,7 +374,7 @@ def _between_blocks(texts: DataFrame, edges: DataFrame, split: DataFrame, words:
     asking = both.where("rest").withColumn("share", share).withColumn("block", to("blocks")).withColumn("asks", F.lit(True))
     asked = both.withColumn("block", block).withColumn("share", to("shares")).withColumn("asks", F.lit(False))
     rows = texts.join(asking.unionByName(asked), ["doc_id", "text_key"])
-    rows = rows.select("band", "block", "share", "doc_id", "text", "root", "asks")
+    rows = rows.select("band", "block", "share", "doc_id", "text_key", "text", "root", "asks")
     more = by_group(rows, ["band", "block", "share"], lambda g: _rest_of(g, words, num, den), "a long, b long")
     return written(more.where("a <> b").distinct(), "rest-links")
 
