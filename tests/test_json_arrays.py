@@ -3,6 +3,7 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 
 from conftest import rows
@@ -70,6 +71,24 @@ def test_a_record_longer_than_several_blocks(spark, tmp_path, small_blocks):
     assert rows(got) == [(d["id"], d["s"]) for d in data]
 
 
+def test_a_task_gives_out_records_batch_by_batch():
+    """What a task holds depends on the batches it gets, not on how much text its block has."""
+    taken = []
+
+    def batches():
+        for k in range(40):
+            values = [f'{"[" if not k and not i else ","}{{"a": {i}, "s": "x"' for i in range(500)]
+            taken.append(k)
+            yield pd.DataFrame({"file": "f", "block": 0, "value": values})
+        yield pd.DataFrame({"file": ["f"], "block": [0], "value": ["]"]})
+
+    rows_out = 0
+    for n, out in enumerate(json_arrays._pieces(batches(), {("f", 0): (0, False)})):
+        assert len(taken) <= n + 1 and len(out) <= 500
+        rows_out += len(out)
+    assert rows_out == 40 * 500
+
+
 @pytest.mark.parametrize("text", ['[{"a": 1}, {"a": 2', '[{"a": 1}, 5]', '[{"a": 1}, null, {"a": 2}]', '{"a": 1}', '["x}y", {"a": 1}]'])
 def test_what_is_no_array_of_objects_is_an_error(spark, tmp_path, text):
     (tmp_path / "a.json").write_text(text)

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +42,7 @@ def _effect(value: str) -> tuple[int, int, bool]:
     return change[0], change[1], len(parts) % 2 == 0
 
 
-def _runs(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple[str, int], str]]:
+def _runs(frames: Iterable[pd.DataFrame]) -> Iterator[tuple[tuple[str, int], str]]:
     """((file, block), value) row by row."""
     for frame in frames:
         yield from zip(zip(frame["file"], frame["block"].tolist()), frame["value"])
@@ -134,6 +134,24 @@ class _Block:
             raise ValueError(f"the array in {self.file} holds something else than objects: {text[:80]!r}")
 
 
+def _pieces(frames: Iterator[pd.DataFrame], starts: dict[tuple[str, int], tuple[int, bool]]) -> Iterator[pd.DataFrame]:
+    """(file, block, kind, value) of what ends in each batch of fragments; a task holds one batch and an open record."""
+    columns = ["file", "block", "kind", "value"]
+    at = block = None
+    for frame in frames:
+        rows = []
+        for key, value in _runs([frame]):
+            if key != at:
+                if block is not None and (left := block.rest()):
+                    rows.append((*at, *left))
+                at, block = key, _Block(key[0], *starts[key])
+            if ended := block.take(value):
+                rows.append((*at, *ended))
+        yield pd.DataFrame(rows, columns=columns)
+    if block is not None and (left := block.rest()):
+        yield pd.DataFrame([(*at, *left)], columns=columns)
+
+
 def _stitched(pieces: pd.DataFrame) -> pd.DataFrame:
     """The records of one file that go over the edges of its blocks."""
     out, held = [], []
@@ -153,27 +171,10 @@ def records(spark: SparkSession, paths: list[str]) -> DataFrame:
     found = fragments(spark, paths)
     starts = spark.sparkContext.broadcast(_starts(_block_effects(found)))
 
-    def run(frames) -> Iterator[pd.DataFrame]:
-        at = block = None
-        rows, size = [], 0
-        for key, value in _runs(frames):
-            if key != at:
-                if block is not None and (left := block.rest()):
-                    rows.append((*at, *left))
-                at, block = key, _Block(key[0], *starts.value[key])
-            if ended := block.take(value):
-                rows.append((*at, *ended))
-                size += len(ended[1])
-                if size > 16 << 20:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows, size = [], 0
-        if block is not None and (left := block.rest()):
-            rows.append((*at, *left))
-        yield pd.DataFrame(rows, columns=columns)
-
-    columns = ["file", "block", "kind", "value"]
     path = work_path(spark, "json-records")
-    found.mapInPandas(run, "file string, block long, kind int, value string").write.parquet(path)
+    cut = found.mapInPandas(
+        lambda frames: _pieces(frames, starts.value), "file string, block long, kind int, value string")
+    cut.write.parquet(path)
     pieces = spark.read.parquet(path)
     whole = pieces.where(F.col("kind") == _WHOLE).select("value")
     edges = pieces.where(F.col("kind") != _WHOLE).groupBy("file").applyInPandas(_stitched, "value string")
