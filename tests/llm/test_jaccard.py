@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from llm.texts import awkward, docs_of, empty, lower, random_texts, roots, words
@@ -101,6 +102,67 @@ def test_a_text_goes_along_once(spark, monkeypatch):
     assert sent["fitting-members"] > 60 and sent["bands"] == 40
 
 
+def test_a_line_that_many_texts_repeat_is_no_cluster(spark, monkeypatch):
+    """Texts that share a line, as long as a link allows to differ in, meet only their own near copies."""
+    r = random.Random(8)
+    line = " ".join(f"line{i}" for i in range(30))
+    body = lambda: " ".join(f"{r.random():.9f}" for _ in range(r.choice((60, 90))))
+    texts = [f"{body()} {line} {body()}" for _ in range(120)]
+    texts += [" ".join(t.split()[:-2]) for t in texts[::6]]
+    sent = {}
+    plainly = jaccard.written
+
+    def noted(df, name):
+        out = plainly(df, name)
+        sent[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", noted)
+    got = ngram_jaccard_join(docs_of(spark, texts), 4, 85, 100, block_docs=50).collect()
+    assert {tuple(row) for row in got} == plain(texts, 4, 85, 100)
+    assert sent["fitting-members"] == sent["bands"] == 40
+
+
+@pytest.mark.parametrize("num,den,n", [(85, 100, 4), (80, 100, 5), (50, 100, 2), (100, 100, 3)])
+def test_components_with_counted_shingles_are_those_of_all_pairs(spark, num, den, n):
+    texts = random_texts(num + n, 80)
+    got = ngram_jaccard_join(docs_of(spark, texts).repartition(5), n, num, den, block_docs=40).collect()
+    assert {tuple(r) for r in got} == plain(texts, n, num, den)
+
+
+def test_linked_sets_share_a_bucket_in_any_order_of_shingles():
+    r = np.random.default_rng(9)
+    levels = r.integers(0, 227, jaccard.CELLS).astype(np.uint8)
+    for _ in range(300):
+        a = np.unique(r.integers(0, 2**63, int(r.integers(6, 600))).astype(np.uint64))
+        b = a[r.random(len(a)) > r.random() * 0.15]
+        b = np.unique(np.r_[b, r.integers(0, 2**63, int(r.integers(0, len(a) * 0.1 + 1))).astype(np.uint64)])
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 85 * (len(a) + len(b) - both) and len(a) + len(b) > 2 * both:
+            assert len(np.intersect1d(bucket_keys(a, 85, 100, levels), bucket_keys(b, 85, 100, levels)))
+    order = np.argsort(levels[jaccard._cells(a)], kind="stable")
+    assert bucket_keys(a, 85, 100, levels).tolist() == a[order][: len(bucket_keys(a, 85, 100))].tolist()
+
+
+def test_levels_grow_with_the_texts_that_hold_a_shingle(spark):
+    texts = [f"a b c d{i}" for i in range(300)] + [f"e f{i % 2} g" for i in range(20)] + [None, ""]
+    levels = jaccard._levels(docs_of(spark, texts).repartition(4), 3)
+    level = lambda t: int(levels[jaccard._cells(jaccard.shingle_set(t, 3))[0]])
+    assert level("a b c") > level("e f0 g") == level("e f1 g") > level("b c d7") == level("b c d9") > level("not there at all"[:7])
+    counts = np.r_[np.zeros(100), np.ones(50), 2, 70_000, 2.0**40].astype(np.uint64)
+    assert (np.diff(jaccard.levels_of(counts).astype(int)[[0, 100, 150, 151]]) > 0).all()
+    assert jaccard.levels_of(np.zeros(8, np.uint64)).tolist() == [0] * 8
+
+
+def test_groups_are_whole_across_batches():
+    rows = pd.DataFrame({"k": [1, 1, 1, 1, 2, 3, 3, 3], "j": [1, 1, 1, 1, 1, 1, 1, 2], "v": range(8)})
+    want = [[0, 1, 2, 3], [4], [5, 6], [7]]
+    for cuts in ([0, 8], [0, 2, 3, 3, 4, 6, 8], list(range(9)), [0, 4, 5, 7, 8]):
+        frames = [rows.iloc[lo:hi] for lo, hi in zip(cuts, cuts[1:])]
+        assert [g["v"].tolist() for g in jaccard._whole_groups(frames, ["k", "j"])] == want
+    assert list(jaccard._whole_groups([rows[:0]], ["k"])) == []
+
+
 @pytest.mark.parametrize("block_docs", [2, 4000])
 def test_unlike_texts_of_one_doc_id_keep_their_links(spark, block_docs):
     a, b = " ".join(f"a{i}" for i in range(200)), " ".join(f"b{i}" for i in range(200))

@@ -2,10 +2,12 @@
 
 Texts become sets of hashed word n-grams. Equal sets are one class, and only a class's first document goes on.
 Trees over all documents at once would not fit a task, so classes are first dealt into clusters that hold every link:
-a set is cut into hash buckets, one more than the largest symmetric difference that two linked sets of its size can
-have (plus a few for empty buckets), so two linked sets agree in a whole bucket. Of the sets that share a bucket the
-first is its hub, and a hub's cluster is all sets of its buckets; both sets of a link are in the cluster of any bucket
-they share. In each cluster a signature tree is bulk-loaded: a node holds the OR of its sets' token bitmaps and their
+a set goes to the buckets of its rarest shingles, one more than may be missing in a set linked with it, so in one order
+of all shingles two linked sets meet in a bucket. For this order a pass over the texts counts shingles in a fixed number
+of cells. A shingle that many sets hold, like those of a line that a part of the corpus repeats, is then no bucket but
+for sets that have little else, and clusters do not grow with the corpus. Of the sets that share a bucket the first is
+its hub, and a hub's cluster is all sets of its buckets; both sets of a link are in the cluster of any bucket they share.
+In each cluster a signature tree is bulk-loaded: a node holds the OR of its sets' token bitmaps and their
 range of sizes. A dual traversal drops pairs of nodes whose largest possible overlap is too small for a link, or which
 a single component holds already, and looks at each pair that is left.
 
@@ -23,7 +25,8 @@ compared, block by block, with all others of the band.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import (
-    by_group, components, dropped, mixed, ngram_hashes, signed, table, word_hashes, words_of, written,
+    by_group, components, dropped, ngram_hashes, signed, table, word_hashes, words_of, written,
 )
 from tidemark.llm.registry import query
 
@@ -43,40 +46,90 @@ BLOCK_DOCS, BLOCK_SHINGLES = 4_000, 6_000_000
 BITS, FAN_OUT = 1024, 8
 #: The bitmap of a set has two to four bits a shingle, but at least BITS and at most so many.
 MOST_BITS = 1 << 16
+#: Shingles are counted in so many cells, CELLS_A_ROW of them in a row.
+CELLS, CELLS_A_ROW = 1 << 22, 1 << 12
+#: Rows that a task gathers of small groups before it gives them out.
+BATCH_ROWS = 10_000
+
+
+def _shingles(text: str | None, n: int) -> np.ndarray:
+    h = word_hashes(words_of(text, lower=True))
+    return ngram_hashes(h, min(n, len(h))) if len(h) else h
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles; of the whole sequence where there are fewer words."""
-    h = word_hashes(words_of(text, lower=True))
-    if not len(h):
-        return h
-    return np.unique(ngram_hashes(h, min(n, len(h))))
+    h = np.sort(_shingles(text, n))
+    return h[np.r_[True, h[1:] != h[:-1]]] if len(h) else h
+
+
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(CELLS - 1)).astype(np.int64)
 
 
-def bucket_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Hashes of whole buckets of the set; linked sets that differ share at least one.
+def bucket_keys(s: np.ndarray, num: int, den: int, levels: np.ndarray | None = None) -> np.ndarray:
+    """The shingles whose buckets the set goes to; linked sets that differ share at least one.
 
-    Sizes are dealt into classes that double. A set takes part in its own class and, if smaller sets of the class
-    below can link to it, in that one, cut into as many buckets as the class needs. A set so uneven that empty
-    buckets spoil the count adds its prefix under the order of hashes, where two such sets must meet.
+    Any link leaves at least num of den shingles of a set to both, so the first common one, in whatever order both
+    sets use, is among the first n - ceil(n * num / den) + 1 of each. The order is that of the level of a shingle's
+    cell, rare ones first, then that of hashes.
     """
     n = len(s)
     if n * (den - num) // num == 0:
         return np.empty(0, np.uint64)
-    own = n.bit_length() - 1
-    out = []
-    for c in (own, own - 1) if num * n <= den * ((1 << own) - 1) else (own,):
-        m = ((2 << c) - 1) * (den - num) // num + 4
-        h = mixed(s ^ np.uint64(0x9E37 + c))
-        bucket = h % np.uint64(m)
-        order = np.argsort(bucket, kind="stable")
-        bucket = bucket[order]
-        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        sums = np.add.reduceat(mixed(h[order]), cuts)
-        out.append(mixed(sums + bucket[cuts] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c)))
-        if m - n * (den - num) // num - (m - len(cuts)) < 1:
-            out.append(mixed(s[: n - -(-num * n // den) + 1] ^ np.uint64(0xA5A5A5A5)))
-    return np.unique(np.concatenate(out))
+    if levels is not None:
+        s = s[np.argsort(levels[_cells(s)], kind="stable")]
+    return s[: n - -(-num * n // den) + 1]
+
+
+def _packed(rows: Iterable[tuple[int, np.ndarray]]) -> pd.DataFrame:
+    """Rows of cells that are not all zero, each in the narrowest type."""
+    return pd.DataFrame(
+        [(i, zlib.compress(c.astype(np.min_scalar_type(c.max())).tobytes(), 1)) for i, c in rows if c.any()],
+        columns=["part", "counts"])
+
+
+def _unpacked(counts: bytes) -> np.ndarray:
+    raw = zlib.decompress(counts)
+    return np.frombuffer(raw, f"u{len(raw) // CELLS_A_ROW}").astype(np.uint64)
+
+
+def _counted(frames, n: int) -> Iterator[pd.DataFrame]:
+    """Of each cell, how many texts of the task have a shingle in it."""
+    counts = np.zeros(CELLS, np.uint32)
+    for frame in frames:
+        for text in frame["text"]:
+            counts[_cells(_shingles(text, n))] += 1
+    yield _packed(enumerate(counts.reshape(-1, CELLS_A_ROW)))
+
+
+def _summed(frames) -> Iterator[pd.DataFrame]:
+    total: dict[int, np.ndarray] = {}
+    for frame in frames:
+        for i, counts in zip(frame["part"], frame["counts"]):
+            total[i] = total.get(i, 0) + _unpacked(counts)
+    yield _packed(total.items())
+
+
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """A byte per cell that grows with its count: 16 levels up to the median, then ten for each halving of the rest."""
+    counts = np.minimum(counts, 1 << 20).astype(np.int64)
+    cells = np.bincount(counts)
+    below = (np.cumsum(cells) - cells) / len(counts)
+    above = np.maximum(1 - below, 1 / len(counts))
+    return np.where(below < 0.5, 32 * below, 16 - 10 * np.log2(2 * above)).astype(np.uint8)[counts]
+
+
+def _levels(docs: DataFrame, n: int) -> np.ndarray:
+    """The levels of all cells; what comes to the driver is one count a cell."""
+    counted = written(docs.select("text").mapInPandas(
+        lambda frames: _counted(frames, n), "part long, counts binary"), "shingle-counts")
+    summed = written(counted.repartition("part").mapInPandas(_summed, "part long, counts binary"), "cell-counts")
+    counts = np.zeros((CELLS // CELLS_A_ROW, CELLS_A_ROW), np.uint64)
+    for row in summed.collect():
+        counts[row["part"]] = _unpacked(row["counts"])
+    dropped(counted, summed)
+    return levels_of(counts.ravel())
 
 
 def signature(s: np.ndarray, width: int | None = None) -> bytes:
@@ -211,39 +264,83 @@ class SignatureFilter(SignatureTree):
         return (a & b).bit_count() + min(self.size[i] - a.bit_count(), self.size[j] - b.bit_count()) >= need
 
 
-def _sets(frames, n: int, num: int, den: int):
+def _sets(frames, n: int, num: int, den: int, sent=None):
+    levels = sent and np.frombuffer(sent.value, np.uint8)
     for frame in frames:
         rows = []
         for doc_id, key, text in zip(frame["doc_id"], frame["text_key"], frame["text"]):
             s = shingle_set(text, n)
             both = xxhash.xxh3_128_intdigest(s.tobytes())
             c1, c2 = np.array([both & (1 << 64) - 1, both >> 64], np.uint64).view(np.int64)
-            rows.append((doc_id, key, len(s), c1, c2, signed(bucket_keys(s, num, den)), signature(s)))
+            rows.append((doc_id, key, len(s), c1, c2, signed(bucket_keys(s, num, den, levels)), signature(s)))
         yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n", "c1", "c2", "keys", "bits"])
 
 
-def _possible(frame: pd.DataFrame, num: int, den: int) -> Iterator[pd.DataFrame]:
+def _whole_groups(frames, keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of whole groups out of the batches of a partition that is sorted by `keys`."""
+    held: list[dict[str, np.ndarray]] = []
+    whole = lambda: {c: np.concatenate([h[c] for h in held]) for c in held[0]} if len(held) > 1 else held[0]
+    for frame in frames:
+        if frame.empty:
+            continue
+        cols = {c: frame[c].to_numpy() for c in frame.columns}
+        change = np.zeros(len(frame), bool)
+        change[0] = bool(held) and any(held[-1][k][-1] != cols[k][0] for k in keys)
+        for k in keys:
+            change[1:] |= cols[k][1:] != cols[k][:-1]
+        lo = 0
+        for hi in [*np.flatnonzero(change).tolist(), len(frame)]:
+            if hi > lo:
+                held.append({c: a[lo:hi] for c, a in cols.items()})
+            if hi < len(frame):
+                yield whole()
+                held = []
+            lo = hi
+    if held:
+        yield whole()
+
+
+def _in_groups(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
+    """by_group for very many small groups: `fn` takes a group's columns, and what it gives goes on in batches."""
+    def run(frames):
+        found, rows = [], 0
+        for g in _whole_groups(frames, keys):
+            found.append(fn(g))
+            rows += len(next(iter(found[-1].values())))
+            if rows >= BATCH_ROWS:
+                yield pd.DataFrame({c: np.concatenate([f[c] for f in found]) for c in found[0]})
+                found, rows = [], 0
+        if rows:
+            yield pd.DataFrame({c: np.concatenate([f[c] for f in found]) for c in found[0]})
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
+def _possible(group: dict[str, np.ndarray], num: int, den: int) -> dict[str, np.ndarray]:
     """The sets of a cluster that signatures connect with others, with the first document of what they are part of."""
-    frame = frame.sort_values(["doc_id", "text_key"], ignore_index=True)
-    tree = SignatureFilter(frame["n"].tolist(), frame["bits"].tolist())
+    order = np.lexsort((group["text_key"], group["doc_id"]))
+    group = {c: a[order] for c, a in group.items()}
+    tree = SignatureFilter(group["n"].tolist(), group["bits"].tolist())
     tree.join(num, den)
-    roots = np.array([tree.find(i) for i in range(len(frame))])
-    frame["root"] = frame["doc_id"].to_numpy()[roots]
-    frame["part"] = roots
-    yield frame.loc[np.bincount(roots)[roots] > 1, ["cluster", "root", "part", "doc_id", "text_key", "n"]]
+    roots = np.array([tree.find(i) for i in range(len(order))])
+    group |= {"root": group["doc_id"][roots], "part": roots}
+    connected = np.bincount(roots)[roots] > 1
+    return {c: group[c][connected] for c in ("cluster", "root", "part", "doc_id", "text_key", "n")}
 
 
-def _tree_of(frame: pd.DataFrame, n: int, num: int, den: int) -> Iterator[pd.DataFrame]:
+def _tree_of(group: dict[str, np.ndarray], n: int, num: int, den: int) -> dict[str, np.ndarray]:
     """Links within one block of a band, as an edge from each document to the smallest it is connected with.
 
     Two guests are left to their own band.
     """
-    frame = frame.drop_duplicates(["doc_id", "text_key"]).sort_values(["doc_id", "text_key"])
-    ids, guest = frame["doc_id"].to_numpy(), frame["guest"].to_numpy()
-    tree = SignatureTree([shingle_set(t, n) for t in frame["text"]])
+    order = np.lexsort((group["text_key"], group["doc_id"]))
+    ids, keys = group["doc_id"][order], group["text_key"][order]
+    first = np.r_[True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]
+    ids, guest, texts = ids[first], group["guest"][order][first], group["text"][order][first]
+    tree = SignatureTree([shingle_set(t, n) for t in texts])
     tree.join(num, den, (lambda i, j: guest[i] and guest[j]) if guest.any() else None)
     roots = np.array([tree.find(i) for i in range(len(ids))])
-    yield pd.DataFrame({"a": ids[roots], "b": ids})
+    return {"a": ids[roots], "b": ids}
 
 
 def _rest_of(frame: pd.DataFrame, n: int, num: int, den: int) -> Iterator[pd.DataFrame]:
@@ -271,9 +368,14 @@ def ngram_jaccard_join(
     have a null component_id and link with nothing; repeated rows each give a row; an empty table gives none.
     """
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    # an order of shingles matters only to more sets than a tree holds
+    counted = docs.count() > block_docs
+    sent = docs.sparkSession.sparkContext.broadcast(_levels(docs, words).tobytes()) if counted else None
     keyed_sets = written(docs.mapInPandas(
-        lambda frames: _sets(frames, words, num, den),
+        lambda frames: _sets(frames, words, num, den, sent),
         "doc_id long, text_key long, n long, c1 long, c2 long, keys array<long>, bits binary"), "shingle-sets")
+    if counted:
+        sent.unpersist()
     sets = written(keyed_sets.drop("keys", "bits"), "sets")
     named = sets.where("doc_id IS NOT NULL AND n > 0")
     classes = written(named.groupBy("c1", "c2").agg(
@@ -319,7 +421,7 @@ def ngram_jaccard_join(
     dealt = rows.withColumn(
         "block", F.explode(F.when(F.col("doc_id") == F.col("hub"), every).otherwise(F.array(block))))
     dealt = texts.join(dealt, ["doc_id", "text_key"]).select("band", "block", "guest", "doc_id", "text_key", "text")
-    found = by_group(dealt, ["band", "block"], lambda g: _tree_of(g, words, num, den), "a long, b long")
+    found = _in_groups(dealt, ["band", "block"], lambda g: _tree_of(g, words, num, den), "a long, b long")
     edges = written(found.where("a <> b").select("a", "b").distinct(), "links")
     split = written(rows.where("blocks > 1"), "split-bands")
     if not split.isEmpty():
@@ -344,7 +446,7 @@ def _grouped(member: DataFrame, keyed_sets: DataFrame, num: int, den: int, block
     signatures = keyed_sets.select("doc_id", "text_key", "bits").join(wanted, ["doc_id", "text_key"], "left_semi")
     signatures = written(signatures.dropDuplicates(["doc_id", "text_key"]), "signatures")
     asked = asked.join(signatures, ["doc_id", "text_key"]).select("cluster", "doc_id", "text_key", "n", "bits")
-    parts = written(by_group(
+    parts = written(_in_groups(
         asked, ["cluster"], lambda g: _possible(g, num, den),
         "cluster long, root long, part long, doc_id long, text_key long, n long"), "cluster-parts")
     labels = components(parts.where("root <> doc_id").select(F.col("root").alias("a"), F.col("doc_id").alias("b")))
