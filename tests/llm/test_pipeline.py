@@ -1,6 +1,7 @@
 """The pipeline's stages, the registered queries, and the library without this subpackage."""
 
 import os
+import random
 import subprocess
 import sys
 
@@ -12,6 +13,7 @@ from llm.test_filters import BAD, ITEMS, labelled
 from llm.test_jaccard import plain as plain_groups
 from llm.test_substring import plain as plain_repeats
 from llm.texts import awkward, docs_of, empty, random_texts, words
+from tidemark.llm import jaccard
 
 SF_DIR = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -73,6 +75,29 @@ def test_unlike_rows_of_one_id_stay_and_repeated_rows_go(spark, sf_dir):
     assert sorted(r.text for r in kept.collect()) == sorted(texts[:2])
 
 
+def test_near_duplicates_among_texts_that_repeat_a_line(spark, sf_dir, monkeypatch):
+    """Documents over one tree's number that share a line are not compared for it; copies still go."""
+    r = random.Random(3)
+    line = " ".join(f"line{i}" for i in range(40))
+    body = lambda: " ".join(f"{r.random():.9f}" for _ in range(90))
+    texts = [f"{line} {body()}" for _ in range(90)]
+    texts += [" ".join(t.split()[:-3]) for t in texts[::3]]
+    sent = {}
+    plainly = jaccard.written
+
+    def noted(df, name):
+        out = plainly(df, name)
+        sent[name] = out.count()
+        return out
+
+    join = lambda docs, **kw: jaccard.ngram_jaccard_join(docs, **kw, block_docs=20)
+    monkeypatch.setattr(jaccard, "written", noted)
+    monkeypatch.setattr(corpus_pipeline, "ngram_jaccard_join", join)
+    kept = corpus_pipeline.near_duplicates(spark, docs_of(spark, texts), sf_dir)
+    assert sorted(row.doc_id for row in kept.collect()) == list(range(90))
+    assert sent["fitting-members"] == 60
+
+
 def test_all_queries_are_registered_and_run(spark):
     names = entry_points.queries()
     ops = [n for n in names if n.startswith("op")]
